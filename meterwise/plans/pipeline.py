@@ -1,0 +1,108 @@
+"""The full detection and remediation job."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+
+from meterwise.functions import constants as K
+from meterwise.operators import detection as D
+from meterwise.operators.detection import Moment
+from meterwise.operators.identity import assign_anomaly_ids, highest
+from meterwise.operators.remediation import State, fix_anomalies, fix_audit
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, conform
+from meterwise.sources.snapshots import write_version
+
+
+def detect_all(
+    metering: DataFrame,
+    existing: DataFrame | None = None,
+    *,
+    threshold: Decimal | float = K.SPIKE_THRESHOLD,
+    detected_at: Moment,
+) -> tuple[DataFrame, DataFrame]:
+    """New idle anomalies and new spikes of the whole metering table, without ids."""
+    idle = D.detect_idle(metering, existing, lookback_hours=None, exclude=(), detected_at=detected_at)
+    spikes = D.detect_cost_spike(metering, existing, threshold=threshold, detected_at=detected_at)
+    return idle, spikes
+
+
+def number_anomalies(found: DataFrame, after: Column | int = 0) -> DataFrame:
+    return conform(assign_anomaly_ids(found, after), ANOMALIES)
+
+
+def _kind(anomalies: DataFrame, kind: str) -> DataFrame:
+    return anomalies.filter(anomalies["anomaly_type"] == kind)
+
+
+def scan_rows(new: DataFrame, threshold: Decimal | float, at: Moment, after: Column | int = 0) -> DataFrame:
+    """The audit rows of an idle scan and a spike scan that found the anomalies in ``new``."""
+    idle = D.scan_audit(_kind(new, K.IDLE_COMPUTE), "idle_full", at=at, log_id=after + 1)
+    spike = D.scan_audit(_kind(new, K.COST_SPIKE), "spike", at=at, parameter=threshold, log_id=after + 2)
+    return idle.unionByName(spike)
+
+
+def run_pipeline(
+    metering: DataFrame,
+    *,
+    as_of: Moment,
+    threshold: Decimal | float = K.SPIKE_THRESHOLD,
+    detected_at: Moment | None = None,
+    applied_at: Moment | None = None,
+) -> State:
+    """Everything from empty tables, as one lazy plan. For large tables prefer :func:`rebuild_state`, which detects
+    once and reads the result back for each later step."""
+    idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
+    new = number_anomalies(idle.unionByName(spikes))
+    return _fixed(new, threshold, as_of, _or(applied_at, as_of))
+
+
+def rebuild_state(
+    metering: DataFrame,
+    root: str,
+    version: int,
+    *,
+    as_of: Moment,
+    threshold: Decimal | float = K.SPIKE_THRESHOLD,
+    detected_at: Moment | None = None,
+    applied_at: Moment | None = None,
+) -> State:
+    """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table."""
+    idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
+    found = write_version(number_anomalies(idle.unionByName(spikes)), root, "detected", version)
+    state = _fixed(found, threshold, as_of, _or(applied_at, as_of))
+    return State(
+        write_version(state.anomalies, root, "anomalies", version),
+        write_version(state.audit_log, root, "audit_log", version),
+    )
+
+
+def _or(moment: Moment | None, default: Moment) -> Moment:
+    return default if moment is None else moment
+
+
+def _fixed(new: DataFrame, threshold: Decimal | float, as_of: Moment, applied_at: Moment) -> State:
+    scans = scan_rows(new, threshold, as_of)
+    return State(fix_anomalies(new, applied_at), scans.unionByName(fix_audit(new, applied_at, after=2)))
+
+
+def scan_incrementally(
+    metering: DataFrame, state: State, *, as_of: Moment, lookback_hours: int = K.LOOKBACK_HOURS
+) -> State:
+    """One live cycle over the last hours: detect what is not logged yet, number it, log the scan, apply the fixes."""
+    idle = D.detect_idle(metering, state.anomalies, as_of=as_of, lookback_hours=lookback_hours)
+    spikes = D.detect_cost_spike(metering, state.anomalies, as_of=as_of, lookback_hours=lookback_hours)
+    new = number_anomalies(idle.unionByName(spikes), highest(state.anomalies, "anomaly_id"))
+    last = highest(state.audit_log, "log_id")
+    idle_row = D.scan_audit(_kind(new, K.IDLE_COMPUTE), "idle", at=as_of, parameter=lookback_hours, log_id=last + 1)
+    spike_row = D.scan_audit(
+        _kind(new, K.COST_SPIKE), "spike", at=as_of, parameter=K.SPIKE_THRESHOLD, log_id=last + 2
+    )
+    log = state.audit_log.unionByName(idle_row).unionByName(spike_row)
+    # Anomalies that were already open are fixed in the same run, as any open one would be.
+    everything = conform(state.anomalies, ANOMALIES).unionByName(new)
+    return State(
+        fix_anomalies(everything, as_of),
+        log.unionByName(conform(fix_audit(everything, as_of, last + 2), AUDIT_LOG)),
+    )
