@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.functions import compliance_texts as C
 from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
 
-# --- fixed values: names and advice in findings -------------------------------------------------------------
-SUSPEND_CHECK = "Auto-Suspend Timeout"
-RESUME_CHECK = "Auto-Resume Disabled"
-SIZE_CHECK = "Potentially Oversized"
-SUSPEND_ADVICE = "60-300s"
-RESUME_ADVICE = "true"
-SIZE_ADVICE = "Review utilization"
-# ------------------------------------------------------------------------------------------------------------
-
 
 def _suspend() -> Column:
     return F.coalesce(F.col("auto_suspend"), F.lit(0))
@@ -55,15 +47,15 @@ def compliance_findings(warehouses: DataFrame) -> DataFrame:
     checks = F.array(
         _finding(
             _suspend_ok(),
-            SUSPEND_CHECK,
+            C.SUSPEND_CHECK,
             "FAIL",
             F.when(_suspend() > 600, K.HIGH).otherwise(K.MEDIUM),
             F.concat(_suspend().cast("string"), F.lit("s")),
-            SUSPEND_ADVICE,
+            C.SUSPEND_ADVICE,
             T.IDLE_FIX,
         ),
-        _finding(_resume_ok(), RESUME_CHECK, "FAIL", F.lit(K.LOW), F.lit("false"), RESUME_ADVICE, T.RESUME_FIX),
-        _finding(_size_ok(), SIZE_CHECK, "WARN", F.lit(K.MEDIUM), F.col("size"), SIZE_ADVICE, T.OVERSIZE_FIX),
+        _finding(_resume_ok(), C.RESUME_CHECK, "FAIL", F.lit(K.LOW), F.lit("false"), C.RESUME_ADVICE, T.RESUME_FIX),
+        _finding(_size_ok(), C.SIZE_CHECK, "WARN", F.lit(K.MEDIUM), F.col("size"), C.SIZE_ADVICE, T.OVERSIZE_FIX),
     )
     failed = F.filter(checks, lambda check: ~check["passed"])
     return (
