@@ -72,7 +72,7 @@ def assign_anomaly_ids(anomalies: DataFrame, after: Column | int = 0) -> DataFra
 
 
 def assign_ids_along(df: DataFrame, id_column: str, key: str, after: Column | int = 0) -> DataFrame:
-    """Ids in the order of a numeric key that is itself an id; cells are blocks of about a thousand keys."""
+    """Dense ids in the order of a numeric key that is itself an id; cells are blocks of about a thousand keys."""
     return assign_ids(
         df,
         id_column,
@@ -83,6 +83,16 @@ def assign_ids_along(df: DataFrame, id_column: str, key: str, after: Column | in
     )
 
 
+def shift_ids(df: DataFrame, id_column: str, key: str, after: Column | int = 0) -> DataFrame:
+    """Ids behind ``after`` at the same distances as a unique numeric key has: one per row, in order, without a shuffle.
+
+    They are dense where the keys are. ``df`` should be read from files, as the smallest key is looked up first.
+    """
+    start = after if isinstance(after, Column) else F.lit(after)
+    first = df.agg(F.min(key)).scalar()
+    return df.withColumn(id_column, (start + F.col(key) - first + 1).cast("bigint"))
+
+
 def highest(df: DataFrame, id_column: str) -> Column:
     """The largest id so far, 0 for an empty table, as a scalar subquery column."""
     return F.coalesce(df.agg(F.max(id_column)).scalar(), F.lit(0))

@@ -9,7 +9,7 @@ from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
 from meterwise.operators.detection import Moment
-from meterwise.operators.identity import assign_ids_along
+from meterwise.operators.identity import shift_ids
 from meterwise.schemas import NOTIFICATIONS, conform
 
 
@@ -44,7 +44,7 @@ def generate_notifications(audit_log: DataFrame, anomalies: DataFrame, after: Co
             F.lit(False).alias("is_read"),
         )
     )
-    return conform(assign_ids_along(rows, "notification_id", "log_id", after), NOTIFICATIONS)
+    return conform(shift_ids(rows, "notification_id", "log_id", after), NOTIFICATIONS)
 
 
 def notification_feed(

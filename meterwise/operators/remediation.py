@@ -15,7 +15,7 @@ from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
 from meterwise.operators.detection import Moment
-from meterwise.operators.identity import assign_ids_along, highest
+from meterwise.operators.identity import assign_ids_along, highest, shift_ids
 from meterwise.schemas import AUDIT_LOG, conform
 
 
@@ -81,7 +81,10 @@ def fix_anomalies(anomalies: DataFrame, at: Moment) -> DataFrame:
 
 
 def fix_audit(anomalies: DataFrame, at: Moment, after: Column | int = 0) -> DataFrame:
-    """The audit rows of the fixes. ``at`` may be a column of ``anomalies``."""
+    """The audit rows of the fixes: a projection, numbered in step with the anomaly ids.
+
+    ``at`` may be a column of ``anomalies``.
+    """
     applied = F.col("fix_status") == K.COMPLETED
     rows = generate_fixes(anomalies, X.moment(at).alias("logged_at")).select(
         "logged_at",
@@ -93,7 +96,7 @@ def fix_audit(anomalies: DataFrame, at: Moment, after: Column | int = 0) -> Data
         F.when(applied, K.AUTO_FIX_ACTOR).alias("approved_by"),
         F.col("fix_status").alias("status"),
     )
-    return conform(assign_ids_along(rows, "log_id", "anomaly_id", after), AUDIT_LOG)
+    return conform(shift_ids(rows, "log_id", "anomaly_id", after), AUDIT_LOG)
 
 
 def fix_summary(anomalies: DataFrame) -> DataFrame:

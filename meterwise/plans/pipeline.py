@@ -70,8 +70,9 @@ def rebuild_state(
 ) -> State:
     """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table."""
     idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
-    found = write_version(number_anomalies(idle.unionByName(spikes)), root, "detected", version)
-    state = _fixed(found, threshold, as_of, _or(applied_at, as_of))
+    found = write_version(idle.unionByName(spikes), root, "found", version)
+    numbered = write_version(number_anomalies(found), root, "detected", version)
+    state = _fixed(numbered, threshold, as_of, _or(applied_at, as_of))
     return State(
         write_version(state.anomalies, root, "anomalies", version),
         write_version(state.audit_log, root, "audit_log", version),

@@ -108,6 +108,8 @@ class HourlyMonitor:
             last_anomaly, last_log = (last.last_anomaly_id, last.last_log_id) if last else (0, 0)
 
             everything = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+            # Numbering reads its input more than once, so the detection is written before.
+            everything = write_version(everything, self.folder, "found", batch_id)
             new = write_version(number_anomalies(everything, last_anomaly), self.folder, "detected", batch_id)
             last_anomaly += new.count()
             if self.fix:
