@@ -14,8 +14,8 @@ from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
 from meterwise.operators.baseline import COUNT, ROWS, SUM, latest_rows, rolling_baseline
 from meterwise.operators.identity import highest
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, conform
-from meterwise.sources.metering import scan_metering
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, conform
+from meterwise.sources.metering import lookback_bound, scan_metering
 
 Moment = dt.datetime | str | Column
 
@@ -34,11 +34,16 @@ def _as_anomalies(rows: DataFrame, kind: str, detected_at: Moment, **columns: Co
     return conform(shaped, ANOMALIES).drop("anomaly_id")
 
 
-def exclude_logged(candidates: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Drop candidates already logged for the same warehouse, start and type, whatever became of them since."""
+def exclude_logged(candidates: DataFrame, existing: DataFrame | None, since: Column | None = None) -> DataFrame:
+    """Drop candidates already logged for the same warehouse, start and type, whatever became of them since.
+
+    If no candidate began before ``since``, passing it keeps the older part of the log from being read.
+    """
     if existing is None:
         return candidates
     key = ["warehouse_name", "anomaly_start", "anomaly_type"]
+    if since is not None:
+        existing = existing.filter(F.col("anomaly_start") >= since)
     return candidates.join(existing.select(*key), key, "left_anti").select(*candidates.columns)
 
 
@@ -74,7 +79,7 @@ def detect_idle(
         description=T.fill(T.IDLE_DESCRIPTION, **words),
         suggested_fix=T.fill(T.IDLE_SUGGESTION, **words),
     )
-    return exclude_logged(found, existing)
+    return exclude_logged(found, existing, None if lookback_hours is None else lookback_bound(as_of, lookback_hours))
 
 
 def spike_rows(baselined: DataFrame, threshold: Decimal | float = K.SPIKE_THRESHOLD) -> DataFrame:
@@ -121,19 +126,28 @@ def detect_cost_spike(
     as_of: Moment | None = None,
     lookback_hours: int | None = None,
     detected_at: Moment | None = None,
+    context: DataFrame | None = None,
     chunk_hours: int = 24,
 ) -> DataFrame:
-    """New cost spikes. With a lookback, only the rows inside it are judged, against a baseline that may reach back
-    before it: for that the last three earlier rows of each warehouse are enough, and only those are shuffled."""
+    """New cost spikes.
+
+    With a lookback, only the rows inside it are judged, against a baseline that may reach back before it: for that
+    the last three earlier rows of each warehouse are enough. They are looked up in the older rows, of which only
+    three per warehouse and task are shuffled; a job that keeps them (``latest_rows`` of its last run) can pass them
+    as ``context``, and the older rows are not read at all.
+    """
+    since = None
     if lookback_hours is None:
         baselined = rolling_baseline(metering, chunk_hours)
     else:
-        bound = X.moment(as_of) - F.make_dt_interval(hours=F.lit(lookback_hours))
+        since = lookback_bound(as_of, lookback_hours)
         recent = scan_metering(metering, as_of=as_of, lookback_hours=lookback_hours)
-        context = latest_rows(metering.filter(F.col("start_time") < bound))
-        baselined = rolling_baseline(recent.unionByName(context), chunk_hours).filter(F.col("start_time") >= bound)
+        earlier = latest_rows((metering if context is None else context).filter(F.col("start_time") < since))
+        baselined = rolling_baseline(
+            conform(recent, METERING).unionByName(conform(earlier, METERING)), chunk_hours
+        ).filter(F.col("start_time") >= since)
     found = spikes_as_anomalies(spike_rows(baselined, threshold), _detection_time(detected_at, as_of))
-    return exclude_logged(found, existing)
+    return exclude_logged(found, existing, since)
 
 
 def _detection_time(detected_at: Moment | None, as_of: Moment | None) -> Moment:

@@ -74,8 +74,8 @@ def rebuild_state(
     numbered = write_version(number_anomalies(found), root, "detected", version)
     state = _fixed(numbered, threshold, as_of, _or(applied_at, as_of))
     return State(
-        write_version(state.anomalies, root, "anomalies", version),
-        write_version(state.audit_log, root, "audit_log", version),
+        write_version(state.anomalies, root, "anomalies", version, ("anomaly_start", "warehouse_name")),
+        write_version(state.audit_log, root, "audit_log", version, ("logged_at", "log_id")),
     )
 
 

@@ -119,8 +119,8 @@ def _approved(spark: SparkSession, sf_dir: str) -> State:
     root = _root(spark, sf_dir)
     if 2 not in committed_versions(spark, root, "audit_log"):
         state = _approval(spark, sf_dir)
-        write_version(state.anomalies, root, "anomalies", 2)
-        write_version(state.audit_log, root, "audit_log", 2)
+        write_version(state.anomalies, root, "anomalies", 2, ("anomaly_start", "warehouse_name"))
+        write_version(state.audit_log, root, "audit_log", 2, ("logged_at", "log_id"))
     return State(read_version(spark, root, "anomalies", 2), read_version(spark, root, "audit_log", 2))
 
 
@@ -595,7 +595,7 @@ def audit_log_of_warehouse(spark, sf_dir):
 def _replay(spark: SparkSession, sf_dir: str, monitor_options: dict) -> HourlyMonitor:
     """Append the metering table to a folder in three time slices and run the monitor after each, as a scheduler would."""
     folder = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
-    rows = write_version(derived.metering(spark, sf_dir), folder, "source", 1, cluster_by="start_time")
+    rows = write_version(derived.metering(spark, sf_dir), folder, "source", 1, ("start_time", "warehouse_name"))
     start = F.lit(None).cast("timestamp")
     for end in SLICE_ENDS:
         part = rows.filter(F.coalesce(F.col("start_time") >= start, F.lit(True)))

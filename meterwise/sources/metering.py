@@ -23,20 +23,25 @@ def read_metering(spark: SparkSession, path: str) -> DataFrame:
 def write_metering(metering: DataFrame, path: str, mode: str = "append") -> None:
     """Write metering rows in one directory per day, so that a lookback reads only the days it needs.
 
-    The shuffle key is (day, hash of warehouse and hour) rather than the day alone: a day with a third of all rows
-    is still written by many tasks.
+    The rebalance hint asks for one shuffle by day whose partitions are then merged and split by their real size: a
+    day with a third of all rows is still written by many tasks, and small days do not leave many small files.
     """
-    spread = F.pmod(F.xxhash64("warehouse_name", "start_time"), F.lit(16))
     (
         conform(metering, METERING)
         .withColumn(DAY, F.to_date("start_time"))
-        .repartition(F.col(DAY), spread)
+        .hint("rebalance", F.col(DAY))
         .write.mode(mode)
         .partitionBy(DAY)
         .parquet(path)
     )
 
 
+def lookback_bound(as_of: dt.datetime | str | Column | None, lookback_hours: int) -> Column:
+    if as_of is None:
+        raise ValueError("a lookback needs as_of")
+    return moment(as_of) - F.make_dt_interval(hours=F.lit(lookback_hours))
+
+
 def scan_metering(
     metering: DataFrame,
     *,
@@ -47,9 +52,7 @@ def scan_metering(
     """All rows, or the rows of the last ``lookback_hours`` before ``as_of``, without the excluded warehouses."""
     rows = metering
     if lookback_hours is not None:
-        if as_of is None:
-            raise ValueError("a lookback needs as_of")
-        bound = moment(as_of) - F.make_dt_interval(hours=F.lit(lookback_hours))
+        bound = lookback_bound(as_of, lookback_hours)
         rows = rows.filter(F.col("start_time") >= bound)
         if DAY in rows.columns:
             rows = rows.filter(F.col(DAY) >= F.to_date(bound))

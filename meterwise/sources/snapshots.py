@@ -7,6 +7,8 @@ overwrites that version.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +28,15 @@ def committed_versions(spark: SparkSession, root: str, table: str) -> list[int]:
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
 
-def write_version(df: DataFrame, root: str, table: str, version: int, cluster_by: str | None = None) -> DataFrame:
+def write_version(df: DataFrame, root: str, table: str, version: int, cluster_by: Sequence[str] = ()) -> DataFrame:
     """Write one version and return it as read back, which cuts the lineage.
 
     ``cluster_by`` range-sorts the rows first, so that file and row-group statistics can skip most of the table for a
-    filter on that column.
+    filter on the first of these columns; the further ones let a range be cut where many rows share the first.
     """
     path = f"{root}/{table}/version={version}"
     if cluster_by:
-        df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

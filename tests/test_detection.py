@@ -6,6 +6,7 @@ from conftest import AS_OF, by, hour, usage
 from pyspark.sql import functions as F
 
 from meterwise.operators import detection
+from meterwise.operators.baseline import latest_rows
 from meterwise.schemas import ANOMALIES
 from meterwise.sources.metering import read_metering, scan_metering, write_metering
 
@@ -99,6 +100,9 @@ def test_lookback_keeps_the_older_baseline(metering):
     rows += [usage("B", h, 1) for h in (690, 691, 692)] + [usage("B", 693, 10)]
     found = detection.detect_cost_spike(metering(rows), as_of=AS_OF, lookback_hours=24)
     assert by(found, "warehouse_name", "anomaly_start") == [("A", hour(700))]
+    kept = latest_rows(metering([r for r in rows if r[0] < hour(696)]))
+    again = detection.detect_cost_spike(metering(rows[3:5] + rows[8:]), as_of=AS_OF, lookback_hours=24, context=kept)
+    assert by(again, "warehouse_name", "anomaly_start") == [("A", hour(700))]
     full = detection.detect_cost_spike(metering(rows), as_of=AS_OF)
     assert by(full, "warehouse_name", "anomaly_start") == [("A", hour(700)), ("B", hour(693))]
 

@@ -1,0 +1,121 @@
+from decimal import Decimal as D
+
+import pytest
+from conftest import AS_OF, by, hour
+from pyspark.sql import functions as F
+
+from meterwise.operators import remediation as R
+from meterwise.operators.remediation import State
+
+
+@pytest.fixture
+def requests(spark):
+    def make(rows, actor="approved_by"):
+        return spark.createDataFrame(rows, f"anomaly_id long, {actor} string, requested_at timestamp")
+
+    return make
+
+
+@pytest.fixture
+def mixed(anomalies):
+    return anomalies(
+        [
+            {"severity": "LOW", "credits_wasted": D("0.12345")},
+            {"severity": "MEDIUM", "anomaly_type": "COST_SPIKE", "credits_wasted": D("3.455")},
+            {"severity": "HIGH", "anomaly_type": "COST_SPIKE", "credits_wasted": D("12.3")},
+            {"severity": "CRITICAL", "anomaly_type": "OTHER"},
+            {"severity": "HIGH", "status": "DISMISSED"},
+            {"severity": "LOW", "status": "ACKNOWLEDGED"},
+        ]
+    )
+
+
+def test_fixes_by_type(mixed):
+    rows = {r.anomaly_id: r for r in R.generate_fixes(mixed).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    assert rows[1].sql_executed == "ALTER WAREHOUSE WH SET AUTO_SUSPEND = 60;"
+    assert rows[1].action_details.endswith("Estimated savings: 0.1235 credits/hour.")
+    assert rows[2].sql_executed == "ALTER WAREHOUSE WH SET STATEMENT_TIMEOUT_IN_SECONDS = 3600;"
+    assert rows[2].action_details.endswith("Spike was 3.46 credits above baseline.")
+    assert rows[4].sql_executed == "-- No automated fix available for: OTHER"
+    assert rows[4].action_details == "Unknown anomaly type. Manual investigation required."
+
+
+def test_routing_touches_only_open_anomalies(mixed):
+    rows = R.fix_anomalies(mixed, AS_OF)
+    assert by(rows, "anomaly_id", "status") == [
+        (1, "RESOLVED"), (2, "RESOLVED"), (3, "ACKNOWLEDGED"), (4, "ACKNOWLEDGED"), (5, "DISMISSED"), (6, "ACKNOWLEDGED"),
+    ]
+    solved = rows.filter("anomaly_id = 1").first()
+    assert (solved.resolved_at, solved.resolved_by) == (AS_OF, "FINOPS_AGENT (auto)")
+    assert rows.filter("resolved_at is not null").count() == 2
+
+
+def test_audit_and_summary(mixed, empty_log):
+    log = R.apply_fixes(State(mixed, empty_log), AS_OF).audit_log
+    columns = ("log_id", "anomaly_id", "action_type", "status")
+    assert by(log, *columns) == [
+        (1, 1, "AUTO_ACTION", "COMPLETED"),
+        (2, 2, "AUTO_ACTION", "COMPLETED"),
+        (3, 3, "RECOMMENDATION", "PENDING_APPROVAL"),
+        (4, 4, "RECOMMENDATION", "PENDING_APPROVAL"),
+    ]
+    assert by(log.filter("approved_by is not null"), "anomaly_id", "approved_by") == [
+        (1, "FINOPS_AGENT"), (2, "FINOPS_AGENT"),
+    ]
+    row = R.fix_summary(mixed).first()
+    assert row.message == "Fix application complete. Auto-applied: 2, Pending approval: 2"
+    done = R.fix_anomalies(mixed, AS_OF)
+    assert R.fix_audit(done, AS_OF).count() == 0
+    assert R.fix_summary(done).first().auto_applied == 0
+
+
+def test_approval_of_a_set(mixed, empty_log, requests):
+    state = R.apply_fixes(State(mixed, empty_log), AS_OF)
+    asked = requests(
+        [(3, "ann", hour(9)), (3, "ben", hour(8)), (1, "ann", hour(9)), (99, "ann", hour(9))]
+    )
+    after = R.approve_fixes(state, asked, hour(10))
+    rows = {r.anomaly_id: r for r in after.anomalies.collect()}
+    assert (rows[3].status, rows[3].resolved_by, rows[3].resolved_at) == ("RESOLVED", "ben", hour(10))
+    assert rows[1].resolved_by == "FINOPS_AGENT (auto)" and rows[4].status == "ACKNOWLEDGED"
+    assert len(rows) == 6
+    log = after.audit_log
+    assert by(log.filter("anomaly_id = 3"), "log_id", "action_type", "approved_by", "status") == [
+        (3, "RECOMMENDATION", "ben", "COMPLETED"),
+        (5, "USER_ACTION", "ben", "COMPLETED"),
+    ]
+    action = log.filter("action_type = 'USER_ACTION'").first()
+    assert action.action_details == "Human approved fix for anomaly 3. Approved by: ben"
+    assert action.warehouse_name is None
+    assert log.filter("status = 'PENDING_APPROVAL'").count() == 1
+    again = R.approve_fixes(after, asked, hour(11))
+    assert again.audit_log.count() == log.count()
+    answers = R.approval_results(state.audit_log, asked)
+    assert by(answers, "anomaly_id", "approved_by", "message") == [
+        (1, "ann", "No pending approval found for anomaly ID 1"),
+        (3, "ann", "No pending approval found for anomaly ID 3"),
+        (3, "ben", "Fix approved and applied for anomaly 3 by ben"),
+        (99, "ann", "No pending approval found for anomaly ID 99"),
+    ]
+
+
+def test_dismissal(mixed, empty_log, requests):
+    state = R.apply_fixes(State(mixed, empty_log), AS_OF)
+    after = R.dismiss_fixes(state, requests([(4, "zoe", hour(9)), (6, "zoe", hour(9))], "dismissed_by"))
+    rows = {r.anomaly_id: r for r in after.anomalies.collect()}
+    assert (rows[4].status, rows[4].resolved_at, rows[4].resolved_by) == ("DISMISSED", None, None)
+    assert rows[6].status == "DISMISSED" and rows[3].status == "ACKNOWLEDGED"
+    closed = after.audit_log.filter("anomaly_id = 4").first()
+    assert (closed.status, closed.approved_by) == ("COMPLETED", "zoe")
+    assert after.audit_log.count() == state.audit_log.count()
+
+
+def test_rows_without_anomaly_or_status_pass_through(spark, mixed, empty_log, requests):
+    log = R.apply_fixes(State(mixed, empty_log), AS_OF).audit_log
+    odd = log.limit(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) if f.name in ("anomaly_id", "status") else F.col(f.name) for f in log.schema.fields]
+    )
+    state = State(mixed, log.unionByName(odd))
+    after = R.approve_fixes(state, requests([(3, "ann", hour(9))]), hour(10))
+    assert after.audit_log.count() == state.audit_log.count() + 1
