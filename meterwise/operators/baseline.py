@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from meterwise.functions import constants as K
 
 SUM, COUNT, ROWS = "baseline_sum", "baseline_count", "preceding_rows"
+# Three days of hourly rows: the rows at chunk edges, which are shuffled again, are then a twelfth of all.
+CHUNK_HOURS = 72
 _CHUNK, _EDGE, _HEAD = "_chunk", "_edge", "_head"
 
 # Time order within a warehouse. Start times are normally unique; the rest makes repeated ones come out the same way
@@ -25,7 +27,7 @@ def _baseline(window) -> dict[str, Column]:
     }
 
 
-def rolling_baseline(metering: DataFrame, chunk_hours: int = 24) -> DataFrame:
+def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """Add sum, non-null count and row count of ``credits_used`` over the three rows before each row.
 
     The frame counts rows, not hours: over a gap it reaches further back. One window per warehouse would put a
@@ -35,7 +37,7 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = 24) -> DataFrame:
     chunk has. Between the last three rows of one chunk and the first three of the next nothing is missing, so the
     second window is exact for them, gaps and short chunks included.
 
-    Lower ``chunk_hours`` if one warehouse has more rows in a chunk than a task should sort.
+    ``fitting_chunk_hours`` measures how wide a chunk may be if some warehouse is much denser than one row per hour.
     """
     chunk = F.floor(F.unix_seconds("start_time") / F.lit(chunk_hours * 3600))
     within = W.partitionBy("warehouse_name", _CHUNK).orderBy(*map(F.asc_nulls_last, _TIME_ORDER))
@@ -58,6 +60,16 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = 24) -> DataFrame:
     return inner.unionByName(edges).drop(_HEAD, _EDGE)
 
 
+def fitting_chunk_hours(metering: DataFrame, rows_per_chunk: int = 2_000_000) -> int:
+    """The widest chunk, up to 30 days, in which the densest warehouse-day leaves at most ``rows_per_chunk`` rows.
+
+    Counts rows per warehouse and day, combined before the shuffle; one number comes back to the driver.
+    """
+    per_day = metering.groupBy("warehouse_name", F.to_date("start_time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    densest = per_day.agg(F.max("n")).first()[0] or 1
+    return max(1, min(24 * 30, 24 * rows_per_chunk // densest))
+
+
 def latest_rows(metering: DataFrame, rows: int = K.BASELINE_ROWS) -> DataFrame:
     """The newest ``rows`` rows of every warehouse.
 

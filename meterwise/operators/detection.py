@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
-from meterwise.operators.baseline import COUNT, ROWS, SUM, latest_rows, rolling_baseline
+from meterwise.operators.baseline import CHUNK_HOURS, COUNT, ROWS, SUM, latest_rows, rolling_baseline
 from meterwise.operators.identity import highest
 from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, conform
 from meterwise.sources.metering import lookback_bound, scan_metering
@@ -127,7 +127,7 @@ def detect_cost_spike(
     lookback_hours: int | None = None,
     detected_at: Moment | None = None,
     context: DataFrame | None = None,
-    chunk_hours: int = 24,
+    chunk_hours: int = CHUNK_HOURS,
 ) -> DataFrame:
     """New cost spikes.
 

@@ -11,7 +11,7 @@ from meterwise.operators import detection as D
 from meterwise.operators.detection import Moment
 from meterwise.operators.identity import assign_anomaly_ids, highest
 from meterwise.operators.remediation import State, fix_anomalies, fix_audit
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, conform
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, NOTIFICATIONS, conform
 from meterwise.sources.snapshots import write_version
 
 
@@ -68,7 +68,9 @@ def rebuild_state(
     detected_at: Moment | None = None,
     applied_at: Moment | None = None,
 ) -> State:
-    """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table."""
+    """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table, and
+    one without notifications."""
+    write_version(metering.sparkSession.createDataFrame([], NOTIFICATIONS), root, "notifications", version)
     idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
     found = write_version(idle.unionByName(spikes), root, "found", version)
     numbered = write_version(number_anomalies(found), root, "detected", version)

@@ -136,10 +136,10 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written notifications, a third of them read."""
     root = _root(spark, sf_dir)
-    if not committed_versions(spark, root, "notifications"):
+    if 2 not in committed_versions(spark, root, "notifications"):
         rows = _generated(spark, sf_dir).withColumn("is_read", F.col("notification_id") % 3 == 0)
-        write_version(rows, root, "notifications", 1)
-    return read_version(spark, root, "notifications", 1)
+        write_version(rows, root, "notifications", 2)
+    return read_version(spark, root, "notifications", 2)
 
 
 def _activated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 from conftest import usage
 
-from meterwise.operators.baseline import latest_rows, rolling_baseline
+from meterwise.operators.baseline import fitting_chunk_hours, latest_rows, rolling_baseline
 
 
 def expected(rows):
@@ -81,3 +81,11 @@ def test_latest_rows(metering, uneven):
     for name in {r[3] for r in uneven}:
         assert found[name] == set(sorted(r[0] for r in uneven if r[3] == name)[-3:])
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fitting_chunk(metering):
+    rows = [usage("A", h, 1) for h in range(24)] + [usage("B", 0, 1)] * 96
+    assert fitting_chunk_hours(metering(rows), rows_per_chunk=96) == 24
+    assert fitting_chunk_hours(metering(rows), rows_per_chunk=4) == 1
+    assert fitting_chunk_hours(metering(rows)) == 720
+    assert fitting_chunk_hours(metering([])) == 720
