@@ -9,6 +9,7 @@ from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.operators.detection import Moment
 from meterwise.sources.history import scan_query_history
+from meterwise.sources.metering import rows_since
 
 
 def cost_attribution(history: DataFrame, as_of: Moment, days: int = 7, limit: int = 10) -> DataFrame:
@@ -44,7 +45,7 @@ def week_over_week(metering: DataFrame, as_of: Moment) -> DataFrame:
     this_week = F.when(start >= monday, used).otherwise(nothing)
     last_week = F.when((start >= monday - week) & (start < monday), used).otherwise(nothing)
     return (
-        metering.filter((start >= today - F.make_dt_interval(days=F.lit(14))))
+        rows_since(metering, today - F.make_dt_interval(days=F.lit(14)))
         .filter(F.col("warehouse_name") != K.PSEUDO_WAREHOUSE)
         .groupBy("warehouse_name")
         .agg(F.sum(this_week).alias("this_week"), F.sum(last_week).alias("last_week"))

@@ -25,11 +25,11 @@ class State(NamedTuple):
 
 
 def _is_open() -> Column:
-    return F.coalesce(F.col("status") == K.OPEN, F.lit(False))
+    return F.col("status").eqNullSafe(K.OPEN)
 
 
 def _is_pending() -> Column:
-    return F.coalesce(F.col("status") == K.PENDING_APPROVAL, F.lit(False))
+    return F.col("status").eqNullSafe(K.PENDING_APPROVAL)
 
 
 def _auto_fixable() -> Column:

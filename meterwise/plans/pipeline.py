@@ -11,7 +11,7 @@ from meterwise.operators import detection as D
 from meterwise.operators.detection import Moment
 from meterwise.operators.identity import assign_anomaly_ids, highest
 from meterwise.operators.remediation import State, fix_anomalies, fix_audit
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, NOTIFICATIONS, conform
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, NOTIFICATIONS, checked, conform
 from meterwise.sources.snapshots import write_version
 
 
@@ -73,11 +73,13 @@ def rebuild_state(
     write_version(metering.sparkSession.createDataFrame([], NOTIFICATIONS), root, "notifications", version)
     idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
     found = write_version(idle.unionByName(spikes), root, "found", version)
-    numbered = write_version(number_anomalies(found), root, "detected", version)
+    numbered = write_version(checked(number_anomalies(found), ANOMALIES), root, "detected", version)
     state = _fixed(numbered, threshold, as_of, _or(applied_at, as_of))
     return State(
         write_version(state.anomalies, root, "anomalies", version, ("anomaly_start", "warehouse_name")),
-        write_version(state.audit_log, root, "audit_log", version, ("logged_at", "log_id")),
+        write_version(
+            checked(state.audit_log, AUDIT_LOG), root, "audit_log", version, ("logged_at", "log_id")
+        ),
     )
 
 

@@ -111,3 +111,14 @@ def conform(df: DataFrame, schema: T.StructType, **defaults: Column) -> DataFram
             for f in schema.fields
         ]
     )
+
+
+def checked(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fail the job, naming the column, if a column that must not be null is. For frames about to be written."""
+    required = [f.name for f in schema.fields if not f.nullable]
+    return df.withColumns(
+        {
+            name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} must not be null"))).otherwise(F.col(name))
+            for name in required
+        }
+    )

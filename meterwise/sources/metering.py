@@ -42,6 +42,12 @@ def lookback_bound(as_of: dt.datetime | str | Column | None, lookback_hours: int
     return moment(as_of) - F.make_dt_interval(hours=F.lit(lookback_hours))
 
 
+def rows_since(metering: DataFrame, bound: Column) -> DataFrame:
+    """Rows that start at or after ``bound``; with a day column, only those days are read."""
+    rows = metering.filter(F.col("start_time") >= bound)
+    return rows.filter(F.col(DAY) >= F.to_date(bound)) if DAY in metering.columns else rows
+
+
 def scan_metering(
     metering: DataFrame,
     *,
@@ -52,10 +58,7 @@ def scan_metering(
     """All rows, or the rows of the last ``lookback_hours`` before ``as_of``, without the excluded warehouses."""
     rows = metering
     if lookback_hours is not None:
-        bound = lookback_bound(as_of, lookback_hours)
-        rows = rows.filter(F.col("start_time") >= bound)
-        if DAY in rows.columns:
-            rows = rows.filter(F.col(DAY) >= F.to_date(bound))
+        rows = rows_since(rows, lookback_bound(as_of, lookback_hours))
     if exclude:
         rows = rows.filter(~F.col("warehouse_name").isin(*exclude))
     return rows

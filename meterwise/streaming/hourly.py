@@ -24,7 +24,7 @@ from meterwise.operators.baseline import latest_rows, rolling_baseline
 from meterwise.operators.detection import Moment
 from meterwise.operators.remediation import fix_anomalies, fix_audit
 from meterwise.plans.pipeline import number_anomalies, scan_rows
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, conform
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, checked, conform
 from meterwise.sources.snapshots import read_all_versions, read_version, write_version
 
 _PROGRESS = T.StructType(
@@ -110,7 +110,8 @@ class HourlyMonitor:
             everything = found[0] if len(found) == 1 else found[0].unionByName(found[1])
             # Numbering reads its input more than once, so the detection is written before.
             everything = write_version(everything, self.folder, "found", batch_id)
-            new = write_version(number_anomalies(everything, last_anomaly), self.folder, "detected", batch_id)
+            numbered = checked(number_anomalies(everything, last_anomaly), ANOMALIES)
+            new = write_version(numbered, self.folder, "detected", batch_id)
             last_anomaly += new.count()
             if self.fix:
                 write_version(fix_anomalies(new, applied_at), self.folder, "anomalies", batch_id)

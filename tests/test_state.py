@@ -83,6 +83,13 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
     assert len(ids) == len(set(ids)) == 8 + full.anomalies.count()
 
 
+def test_missing_values_stop_the_write(spark, metering, tmp_path):
+    row = list(usage("A", 0, "0.2", "0.2", D(0)))
+    row[0] = None
+    with pytest.raises(Exception, match="anomaly_start must not be null"):
+        pipeline.rebuild_state(metering([tuple(row)]), str(tmp_path), 1, as_of=AS_OF)
+
+
 def test_shared_folder_follows_the_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = session.shared_folder(spark)
