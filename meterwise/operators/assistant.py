@@ -12,7 +12,7 @@ from pyspark.sql import types as T_
 from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
-from meterwise.operators.operations import pending_approvals
+from meterwise.operators.operations import waiting_fixes
 
 _CONTEXT = ("warehouse_name", "anomaly_type", "severity", "credits_wasted", "status")
 
@@ -71,7 +71,7 @@ def question_prompts(questions: DataFrame, anomalies: DataFrame, limit: int = 15
 
 def analysis_prompts(anomalies: DataFrame, audit_log: DataFrame) -> DataFrame:
     """(anomaly_id, prompt) for every anomaly whose fix waits for approval."""
-    return pending_approvals(anomalies, audit_log).select(
+    return waiting_fixes(anomalies, audit_log).select(
         "anomaly_id",
         T.fill(
             T.ANALYSIS_PROMPT,

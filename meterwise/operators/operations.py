@@ -58,8 +58,8 @@ def auto_fix_history(audit_log: DataFrame, anomalies: DataFrame, limit: int = 10
     )
 
 
-def pending_approvals(anomalies: DataFrame, audit_log: DataFrame) -> DataFrame:
-    """Acknowledged anomalies whose fix waits for approval, most expensive first."""
+def waiting_fixes(anomalies: DataFrame, audit_log: DataFrame) -> DataFrame:
+    """Acknowledged anomalies whose fix waits for approval, in no particular order."""
     waiting = audit_log.filter(F.col("status") == K.PENDING_APPROVAL).select(
         "anomaly_id", F.col("sql_executed").alias("proposed_fix"), "action_details"
     )
@@ -68,10 +68,14 @@ def pending_approvals(anomalies: DataFrame, audit_log: DataFrame) -> DataFrame:
         .select("anomaly_id", "warehouse_name", "anomaly_type", "severity", "credits_wasted", "description")
         .join(waiting, "anomaly_id")
         .withColumn("dollars_at_risk", X.dollars(F.col("credits_wasted")))
-        .orderBy(F.desc("credits_wasted"), "anomaly_id")
     )
 
 
+def pending_approvals(anomalies: DataFrame, audit_log: DataFrame) -> DataFrame:
+    """The waiting fixes, most expensive first."""
+    return waiting_fixes(anomalies, audit_log).orderBy(F.desc("credits_wasted"), "anomaly_id")
+
+
 def approval_kpis(pending: DataFrame) -> DataFrame:
     return pending.agg(
         F.count(F.lit(1)).alias("total_pending"),
@@ -104,12 +108,8 @@ def spike_queries(anomalies: DataFrame, history: DataFrame) -> DataFrame:
     pair comes out twice. The range test is then a residual condition on an equi-join, which the runtime plan may
     broadcast or split by skew.
     """
-    hour = F.expr("interval 1 hour")
-    touched = F.sequence(
-        F.date_trunc("hour", F.col("anomaly_start")),
-        F.date_trunc("hour", F.col("anomaly_end") - F.expr("interval 1 microsecond")),
-        hour,
-    )
+    last_instant = F.col("anomaly_end") - F.expr("interval 1 microsecond")
+    touched = F.sequence(X.hour_number(F.col("anomaly_start")), X.hour_number(last_instant))
     spikes = (
         anomalies.filter(
             (F.col("anomaly_type") == K.COST_SPIKE) & (F.col("anomaly_end") > F.col("anomaly_start"))
@@ -123,7 +123,7 @@ def spike_queries(anomalies: DataFrame, history: DataFrame) -> DataFrame:
         "role_name",
         "start_time",
         "credits_used_cloud_services",
-        F.date_trunc("hour", "start_time").alias("_hour"),
+        X.hour_number(F.col("start_time")).alias("_hour"),
     )
     inside = (F.col("start_time") >= F.col("anomaly_start")) & (F.col("start_time") < F.col("anomaly_end"))
     return spikes.join(queries, ["warehouse_name", "_hour"]).filter(inside).drop("_hour")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from meterwise.functions import constants as K
 from meterwise.operators import detection as D
@@ -12,7 +12,7 @@ from meterwise.operators.detection import Moment
 from meterwise.operators.identity import assign_anomaly_ids, highest
 from meterwise.operators.remediation import State, fix_anomalies, fix_audit
 from meterwise.schemas import ANOMALIES, AUDIT_LOG, NOTIFICATIONS, checked, conform
-from meterwise.sources.snapshots import write_version
+from meterwise.sources.snapshots import committed_versions, read_version, write_version
 
 
 def detect_all(
@@ -75,11 +75,13 @@ def rebuild_state(
     found = write_version(idle.unionByName(spikes), root, "found", version)
     numbered = write_version(checked(number_anomalies(found), ANOMALIES), root, "detected", version)
     state = _fixed(numbered, threshold, as_of, _or(applied_at, as_of))
+    return _write_state(state, root, version)
+
+
+def _write_state(state: State, root: str, version: int) -> State:
     return State(
         write_version(state.anomalies, root, "anomalies", version, ("anomaly_start", "warehouse_name")),
-        write_version(
-            checked(state.audit_log, AUDIT_LOG), root, "audit_log", version, ("logged_at", "log_id")
-        ),
+        write_version(checked(state.audit_log, AUDIT_LOG), root, "audit_log", version, ("logged_at", "log_id")),
     )
 
 
@@ -92,22 +94,60 @@ def _fixed(new: DataFrame, threshold: Decimal | float, as_of: Moment, applied_at
     return State(fix_anomalies(new, applied_at), scans.unionByName(fix_audit(new, applied_at, after=2)))
 
 
-def scan_incrementally(
+# --- one cycle at a time ----------------------------------------------------------------------------------------
+
+
+def find_new(
     metering: DataFrame, state: State, *, as_of: Moment, lookback_hours: int = K.LOOKBACK_HOURS
-) -> State:
-    """One live cycle over the last hours: detect what is not logged yet, number it, log the scan, apply the fixes."""
+) -> DataFrame:
+    """What the last hours hold that is not logged yet, numbered behind the anomalies there are."""
     idle = D.detect_idle(metering, state.anomalies, as_of=as_of, lookback_hours=lookback_hours)
     spikes = D.detect_cost_spike(metering, state.anomalies, as_of=as_of, lookback_hours=lookback_hours)
-    new = number_anomalies(idle.unionByName(spikes), highest(state.anomalies, "anomaly_id"))
+    return number_anomalies(idle.unionByName(spikes), highest(state.anomalies, "anomaly_id"))
+
+
+def absorb(state: State, new: DataFrame, *, as_of: Moment, lookback_hours: int = K.LOOKBACK_HOURS) -> State:
+    """The state with new anomalies added, the two scans logged and every open anomaly fixed, older ones included."""
     last = highest(state.audit_log, "log_id")
     idle_row = D.scan_audit(_kind(new, K.IDLE_COMPUTE), "idle", at=as_of, parameter=lookback_hours, log_id=last + 1)
     spike_row = D.scan_audit(
         _kind(new, K.COST_SPIKE), "spike", at=as_of, parameter=K.SPIKE_THRESHOLD, log_id=last + 2
     )
-    log = state.audit_log.unionByName(idle_row).unionByName(spike_row)
-    # Anomalies that were already open are fixed in the same run, as any open one would be.
     everything = conform(state.anomalies, ANOMALIES).unionByName(new)
+    fixes = fix_audit(everything, as_of, last + 2)
+    log = conform(state.audit_log, AUDIT_LOG).unionByName(idle_row).unionByName(spike_row).unionByName(fixes)
+    return State(fix_anomalies(everything, as_of), log)
+
+
+def state_version(spark: SparkSession, root: str) -> int:
+    """The newest version of which both tables are complete; 0 if there is none."""
+    both = set(committed_versions(spark, root, "anomalies")) & set(committed_versions(spark, root, "audit_log"))
+    return max(both, default=0)
+
+
+def load_state(spark: SparkSession, root: str) -> State:
+    version = state_version(spark, root)
+    if version == 0:
+        return State(spark.createDataFrame([], ANOMALIES), spark.createDataFrame([], AUDIT_LOG))
     return State(
-        fix_anomalies(everything, as_of),
-        log.unionByName(conform(fix_audit(everything, as_of, last + 2), AUDIT_LOG)),
+        read_version(spark, root, "anomalies", version, ANOMALIES),
+        read_version(spark, root, "audit_log", version, AUDIT_LOG),
     )
+
+
+def save_state(state: State, root: str) -> State:
+    """Write both tables as the next version, sorted by time, and return them as read back."""
+    version = state_version(state.anomalies.sparkSession, root) + 1
+    return _write_state(state, root, version)
+
+
+def run_cycle(
+    metering: DataFrame, root: str, *, as_of: Moment, lookback_hours: int = K.LOOKBACK_HOURS
+) -> State:
+    """One scheduled run on the newest state: scan, log, fix, save. The scan's result is written once and read by each
+    later step. A run that fails half way leaves the state as it was and can simply be repeated."""
+    spark = metering.sparkSession
+    state = load_state(spark, root)
+    found = find_new(metering, state, as_of=as_of, lookback_hours=lookback_hours)
+    new = write_version(checked(found, ANOMALIES), root, "detected", state_version(spark, root) + 1)
+    return save_state(absorb(state, new, as_of=as_of, lookback_hours=lookback_hours), root)

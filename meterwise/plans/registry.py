@@ -117,11 +117,9 @@ def _approval(spark: SparkSession, sf_dir: str) -> State:
 def _approved(spark: SparkSession, sf_dir: str) -> State:
     """The same, written as the next version of the tables."""
     root = _root(spark, sf_dir)
-    if 2 not in committed_versions(spark, root, "audit_log"):
-        state = _approval(spark, sf_dir)
-        write_version(state.anomalies, root, "anomalies", 2, ("anomaly_start", "warehouse_name"))
-        write_version(state.audit_log, root, "audit_log", 2, ("logged_at", "log_id"))
-    return State(read_version(spark, root, "anomalies", 2), read_version(spark, root, "audit_log", 2))
+    if pipeline.state_version(spark, root) == 1:
+        return pipeline.save_state(_approval(spark, sf_dir), root)
+    return pipeline.load_state(spark, root)
 
 
 def _pending(state: State) -> DataFrame:
@@ -277,8 +275,8 @@ def live_cycle(spark, sf_dir):
         state.anomalies.filter(F.col("anomaly_start") < yesterday),
         state.audit_log.filter(F.col("logged_at") <= yesterday),
     )
-    after = pipeline.scan_incrementally(derived.metering(spark, sf_dir), before, as_of=AS_OF)
-    return after.anomalies.select(
+    new = pipeline.find_new(derived.metering(spark, sf_dir), before, as_of=AS_OF)
+    return pipeline.absorb(before, new, as_of=AS_OF).anomalies.select(
         "anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "status", "resolved_at"
     )
 
@@ -407,7 +405,7 @@ def pending_approvals(spark, sf_dir):
 @query
 def approval_kpis(spark, sf_dir):
     state = _fixed(spark, sf_dir)
-    return operations.approval_kpis(operations.pending_approvals(state.anomalies, state.audit_log))
+    return operations.approval_kpis(operations.waiting_fixes(state.anomalies, state.audit_log))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.functions import constants as K
+from meterwise.functions.expressions import hour_number, moment
 from meterwise.schemas import METERING, QUERY_HISTORY, WAREHOUSES, conform
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -33,7 +34,7 @@ def _usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("user_id") % 20).alias("bucket"),
-        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+        F.floor(F.col("value") * 100 + 0.5).alias("cents"),
     )
 
 
@@ -42,14 +43,14 @@ def metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_cloud = F.col("event_type") == "error"
     hourly = (
         _usage_events(spark, sf_dir)
-        .groupBy("bucket", F.date_trunc("hour", "ts").alias("start_time"))
+        .groupBy("bucket", hour_number(F.col("ts")).alias("hour"))
         .agg(
             F.coalesce(F.sum(F.when(~is_cloud, F.col("cents"))), F.lit(0)).alias("compute"),
             F.coalesce(F.sum(F.when(is_cloud, F.col("cents"))), F.lit(0)).alias("cloud"),
         )
     )
     return conform(
-        hourly.select(
+        hourly.withColumn("start_time", F.timestamp_seconds(F.col("hour") * 3600)).select(
             "start_time",
             (F.col("start_time") + F.expr("interval 1 hour")).alias("end_time"),
             F.col("bucket").alias("warehouse_id"),
@@ -99,14 +100,14 @@ def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approvals(pending: DataFrame) -> DataFrame:
     """Approval requests: every pending anomaly with an even id."""
     return pending.filter(F.col("anomaly_id") % 2 == 0).select(
-        "anomaly_id", F.lit("alice").alias("approved_by"), F.lit(AS_OF).alias("requested_at")
+        "anomaly_id", F.lit("alice").alias("approved_by"), moment(AS_OF).alias("requested_at")
     )
 
 
 def dismissals(pending: DataFrame) -> DataFrame:
     """Dismiss requests: every pending anomaly whose id ends in 1."""
     return pending.filter(F.col("anomaly_id") % 10 == 1).select(
-        "anomaly_id", F.lit("bob").alias("dismissed_by"), F.lit(AS_OF).alias("requested_at")
+        "anomaly_id", F.lit("bob").alias("dismissed_by"), moment(AS_OF).alias("requested_at")
     )
 
 

@@ -6,9 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from meterwise import session
-from meterwise.operators.remediation import State
 from meterwise.plans import pipeline
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, conform
+from meterwise.schemas import METERING, conform
 from meterwise.sources import snapshots
 from meterwise.sources.metering import read_metering, write_metering
 
@@ -67,14 +66,11 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
     rows = [usage("A", h, 20 if h % 7 == 6 else 2) for h in range(72)]
     rows += [usage("B", h, "0.3", "0.3", D("0.1") if h % 3 else D(0)) for h in range(72)]
     frame = metering(rows)
-    state = State(spark.createDataFrame([], ANOMALIES), spark.createDataFrame([], AUDIT_LOG))
+    root = str(tmp_path)
     for day in (1, 2, 3, 3):
         known = frame.filter(F.col("start_time") < F.lit(hour(24 * day)))
-        after = pipeline.scan_incrementally(known, state, as_of=hour(24 * day))
-        state = State(
-            snapshots.write_version(after.anomalies, str(tmp_path), f"a{id(after)}", 1),
-            snapshots.write_version(after.audit_log, str(tmp_path), f"l{id(after)}", 1),
-        )
+        state = pipeline.run_cycle(known, root, as_of=hour(24 * day))
+    assert pipeline.state_version(spark, root) == 4
     full = pipeline.run_pipeline(frame, as_of=AS_OF)
     key = ("warehouse_name", "anomaly_start", "anomaly_type", "severity", "status", "anomaly_id")
     assert by(state.anomalies, *key) == by(full.anomalies, *key)
@@ -83,6 +79,19 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
     assert len(ids) == len(set(ids)) == 8 + full.anomalies.count()
 
 
+def test_a_half_written_state_is_ignored(spark, metering, tmp_path):
+    root = str(tmp_path)
+    assert pipeline.load_state(spark, root).anomalies.count() == 0
+    frame = metering([usage("B", h, "0.3", "0.3", D(0)) for h in range(3)])
+    pipeline.run_cycle(frame, root, as_of=hour(3))
+    pipeline.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4))
+    (tmp_path / "audit_log" / "version=2" / "_SUCCESS").unlink()
+    assert pipeline.state_version(spark, root) == 1
+    assert pipeline.load_state(spark, root).anomalies.count() == 3
+    assert pipeline.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4)).anomalies.count() == 4
+    assert pipeline.state_version(spark, root) == 2
+
+
 def test_missing_values_stop_the_write(spark, metering, tmp_path):
     row = list(usage("A", 0, "0.2", "0.2", D(0)))
     row[0] = None
