@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise.functions import constants as K
 
 SUM, COUNT, ROWS = "baseline_sum", "baseline_count", "preceding_rows"
 # Three days of hourly rows: the rows at chunk edges, which are shuffled again, are then a twelfth of all.
 CHUNK_HOURS = 72
-_CHUNK, _EDGE, _HEAD = "_chunk", "_edge", "_head"
+_CHUNK, _POSITION, _LAST = "_chunk", "_position", "_last"
 
-# Time order within a warehouse. Start times are normally unique; the rest makes repeated ones come out the same way
-# in every run.
-_TIME_ORDER = ("start_time", "end_time", "warehouse_id", "credits_used")
+
+def _time_order(metering: DataFrame) -> list[str]:
+    """Time first, then every other column: rows that still tie are equal, so that it does not matter which is which.
+
+    Start times are normally unique. The rest makes repeated ones come out the same way whenever they are sorted.
+    """
+    rest = [
+        f.name
+        for f in metering.schema.fields
+        if f.name not in ("start_time", "warehouse_name") and not isinstance(f.dataType, T.MapType)
+    ]
+    return ["start_time", *rest]
 
 
 def _baseline(window) -> dict[str, Column]:
@@ -35,29 +45,24 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS) -> Dat
     complete for every row but the first three of a chunk. Those get their values from a second window per warehouse
     that sees only the first and last three rows of each chunk: at most six rows per chunk however many rows the
     chunk has. Between the last three rows of one chunk and the first three of the next nothing is missing, so the
-    second window is exact for them, gaps and short chunks included.
+    second window is exact for them, gaps and short chunks included. All columns take part in the sort; select the ones
+    needed before.
 
     ``fitting_chunk_hours`` measures how wide a chunk may be if some warehouse is much denser than one row per hour.
     """
-    chunk = F.floor(F.unix_seconds("start_time") / F.lit(chunk_hours * 3600))
-    within = W.partitionBy("warehouse_name", _CHUNK).orderBy(*map(F.asc_nulls_last, _TIME_ORDER))
-    head = F.row_number().over(within) <= K.BASELINE_ROWS
-    tail = F.lead(F.lit(1), K.BASELINE_ROWS).over(within).isNull()
-    chunked = (
-        metering.withColumn(_CHUNK, chunk)
-        .withColumns({**_baseline(within), _HEAD: head, _EDGE: head | tail})
-        .drop(_CHUNK)
-    )
-
-    inner = chunked.filter(~F.col(_EDGE))
-    across = W.partitionBy("warehouse_name").orderBy(*map(F.asc_nulls_last, _TIME_ORDER))
-    edges = (
-        chunked.filter(_EDGE)
-        .withColumns({f"_{name}": value for name, value in _baseline(across).items()})
-        .withColumns({name: F.when(F.col(_HEAD), F.col(f"_{name}")).otherwise(F.col(name)) for name in (SUM, COUNT, ROWS)})
-        .drop(*[f"_{name}" for name in (SUM, COUNT, ROWS)])
+    chunked = metering.withColumn(_CHUNK, F.floor(F.unix_seconds("start_time") / F.lit(chunk_hours * 3600)))
+    in_time = [F.asc_nulls_last(name) for name in _time_order(metering)]
+    within = W.partitionBy("warehouse_name", _CHUNK).orderBy(*in_time)
+    position = F.row_number().over(within)
+    body = chunked.withColumns({**_baseline(within), _POSITION: position}).filter(F.col(_POSITION) > K.BASELINE_ROWS)
+
+    is_last = F.lead(F.lit(1), K.BASELINE_ROWS).over(within).isNull()
+    edges = chunked.withColumns({_POSITION: position, _LAST: is_last}).filter(
+        (F.col(_POSITION) <= K.BASELINE_ROWS) | F.col(_LAST)
     )
-    return inner.unionByName(edges).drop(_HEAD, _EDGE)
+    across = W.partitionBy("warehouse_name").orderBy(*in_time)
+    heads = edges.withColumns(_baseline(across)).filter(F.col(_POSITION) <= K.BASELINE_ROWS)
+    return body.select(*metering.columns, SUM, COUNT, ROWS).unionByName(heads.select(*metering.columns, SUM, COUNT, ROWS))
 
 
 def fitting_chunk_hours(metering: DataFrame, rows_per_chunk: int = 2_000_000) -> int:
@@ -75,5 +80,5 @@ def latest_rows(metering: DataFrame, rows: int = K.BASELINE_ROWS) -> DataFrame:
 
     Spark applies a rank limit before the shuffle as well, so each task sends on at most ``rows`` rows per warehouse.
     """
-    newest_first = W.partitionBy("warehouse_name").orderBy(*map(F.desc_nulls_first, _TIME_ORDER))
+    newest_first = W.partitionBy("warehouse_name").orderBy(*map(F.desc_nulls_first, _time_order(metering)))
     return metering.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= rows).drop("_rank")

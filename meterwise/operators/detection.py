@@ -14,11 +14,13 @@ from meterwise.functions import expressions as X
 from meterwise.functions import wording as T
 from meterwise.operators.baseline import CHUNK_HOURS, COUNT, ROWS, SUM, latest_rows, rolling_baseline
 from meterwise.operators.identity import highest
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, conform
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, conform
 from meterwise.sources.metering import lookback_bound, scan_metering
 
 Moment = dt.datetime | str | Column
 
+SPIKE_COLUMNS = ("warehouse_name", "start_time", "end_time", "credits_used")
+
 
 def _as_anomalies(rows: DataFrame, kind: str, detected_at: Moment, **columns: Column) -> DataFrame:
     """Shape detected rows as OPEN anomalies without an id."""
@@ -138,14 +140,13 @@ def detect_cost_spike(
     """
     since = None
     if lookback_hours is None:
-        baselined = rolling_baseline(metering, chunk_hours)
+        baselined = rolling_baseline(metering.select(*SPIKE_COLUMNS), chunk_hours)
     else:
         since = lookback_bound(as_of, lookback_hours)
-        recent = scan_metering(metering, as_of=as_of, lookback_hours=lookback_hours)
-        earlier = latest_rows((metering if context is None else context).filter(F.col("start_time") < since))
-        baselined = rolling_baseline(
-            conform(recent, METERING).unionByName(conform(earlier, METERING)), chunk_hours
-        ).filter(F.col("start_time") >= since)
+        recent = scan_metering(metering, as_of=as_of, lookback_hours=lookback_hours).select(*SPIKE_COLUMNS)
+        older = (metering if context is None else context).filter(F.col("start_time") < since).select(*SPIKE_COLUMNS)
+        baselined = rolling_baseline(recent.unionByName(latest_rows(older)), chunk_hours)
+        baselined = baselined.filter(F.col("start_time") >= since)
     found = spikes_as_anomalies(spike_rows(baselined, threshold), _detection_time(detected_at, as_of))
     return exclude_logged(found, existing, since)
 

@@ -138,4 +138,4 @@ class HourlyMonitor:
         timely = conform(marked.filter(~is_late), METERING)
         write_version(conform(latest_rows(timely.unionByName(carried)), METERING), self.folder, "carry", batch_id)
         both = timely.withColumn(_NEW, F.lit(True)).unionByName(carried.withColumn(_NEW, F.lit(False)))
-        return rolling_baseline(both).filter(_NEW).drop(_NEW)
+        return rolling_baseline(both.select(*D.SPIKE_COLUMNS, _NEW)).filter(_NEW).drop(_NEW)

@@ -63,6 +63,13 @@ def test_repeated_start_times_all_survive(metering):
     assert [(r.credits_used, r.baseline_sum) for r in out] == [(1, None), (1, 1), (5, 2), (7, 7)]
 
 
+def test_ties_lose_no_row(metering):
+    """Rows that differ only in how their credits split still come out once each."""
+    rows = [usage("A", 0, 2, D(n) / 100, 2 - D(n) / 100) for n in range(40)]
+    out = rolling_baseline(metering(rows).repartition(8))
+    assert sorted(r.credits_used_cloud_services for r in out.collect()) == [D(n) / 100 for n in range(40)]
+
+
 def test_hot_warehouse_is_split(metering, uneven):
     """The window per warehouse sees a filtered few rows; the window over all rows is split by time as well."""
     lines = rolling_baseline(metering(uneven))._jdf.queryExecution().optimizedPlan().toString().splitlines()

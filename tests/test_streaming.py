@@ -9,7 +9,7 @@ from meterwise.operators import detection
 from meterwise.plans import pipeline
 from meterwise.schemas import METERING
 from meterwise.sources import snapshots
-from meterwise.sources.metering import read_metering
+from meterwise.sources.metering import write_metering
 from meterwise.streaming.hourly import HourlyMonitor, metering_stream
 
 KEY = ("anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "credits_wasted", "status")
@@ -106,6 +106,12 @@ def test_an_empty_trigger_starts_no_batch(spark, run):
 
 
 def test_stream_reads_the_table_layout(spark, metering, tmp_path):
-    metering(all_rows()).write.parquet(str(tmp_path / "t"))
-    assert metering_stream(spark, str(tmp_path / "t")).schema == METERING
-    assert read_metering(spark, str(tmp_path / "t")).count() == len(all_rows())
+    """A table written by day can be streamed as it is."""
+    rows = all_rows()
+    write_metering(metering(rows), str(tmp_path / "in"))
+    stream = metering_stream(spark, str(tmp_path / "in"))
+    assert stream.schema.names[: len(METERING)] == METERING.names
+    monitor = HourlyMonitor(str(tmp_path / "out"), detected_at=AS_OF)
+    monitor.start(stream).awaitTermination()
+    idle, spikes = pipeline.detect_all(metering(rows), detected_at=AS_OF)
+    assert monitor.detected(spark).count() == idle.count() + spikes.count() > 0
