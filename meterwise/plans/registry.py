@@ -500,17 +500,17 @@ def ask_prompts(spark, sf_dir):
     return assistant.question_prompts(asked, _fixed(spark, sf_dir).anomalies)
 
 
-def echo_client() -> assistant.Complete:
-    """Stands in for a model: answers with the prompt's length and its last line."""
-    return lambda prompts: [f"{len(p)} characters, ending: {p.splitlines()[-1]}" for p in prompts]
-
-
 @query
 def complete_batch(spark, sf_dir):
-    """An analysis of every anomaly that waits for approval."""
+    """An analysis of every anomaly that waits for approval. The client stands in for a model: it answers with the
+    prompt's length and last line. Defined here, it travels to the workers by value."""
+
+    def make_client():
+        return lambda prompts: [f"{len(p)} characters, ending: {p.splitlines()[-1]}" for p in prompts]
+
     state = _fixed(spark, sf_dir)
     prompts = assistant.analysis_prompts(state.anomalies, state.audit_log)
-    return assistant.complete_batch(prompts, echo_client)
+    return assistant.complete_batch(prompts, make_client)
 
 
 @query
