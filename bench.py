@@ -20,7 +20,7 @@ HEADLINE = [
     "detect_cost_spike_lookback",
     "detect_incremental",
     "anomaly_ids",
-    "pipeline_full",
+    "full_rebuild",
     "apply_fixes_audit",
     "approve_fix_audit",
     "kpi_summary",

@@ -43,7 +43,7 @@ def scan_rows(new: DataFrame, threshold: Decimal | float, at: Moment, after: Col
     return idle.unionByName(spike)
 
 
-def run_pipeline(
+def detect_and_fix(
     metering: DataFrame,
     *,
     as_of: Moment,

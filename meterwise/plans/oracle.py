@@ -473,7 +473,7 @@ FROM (
             DETECTION,
             f"SELECT anomaly_id, warehouse_name, {ts('anomaly_start')} AS anomaly_start, anomaly_type FROM detected",
         ),
-        "pipeline_full": select(
+        "full_rebuild": select(
             STATE,
             f"""SELECT anomaly_id, warehouse_name, {ts('detected_at')} AS detected_at,
        {ts('anomaly_start')} AS anomaly_start, {ts('anomaly_end')} AS anomaly_end, anomaly_type, severity,

@@ -30,7 +30,7 @@ from meterwise.operators import (
     summary,
 )
 from meterwise.operators.remediation import State
-from meterwise.plans import pipeline
+from meterwise.plans import jobs
 from meterwise.session import shared_folder
 from meterwise.sources import derived
 from meterwise.sources.derived import AS_OF
@@ -87,7 +87,7 @@ def _root(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _roots:
         root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
-        pipeline.rebuild_state(
+        jobs.rebuild_state(
             derived.metering(spark, sf_dir),
             root,
             1,
@@ -117,9 +117,9 @@ def _approval(spark: SparkSession, sf_dir: str) -> State:
 def _approved(spark: SparkSession, sf_dir: str) -> State:
     """The same, written as the next version of the tables."""
     root = _root(spark, sf_dir)
-    if pipeline.state_version(spark, root) == 1:
-        return pipeline.save_state(_approval(spark, sf_dir), root)
-    return pipeline.load_state(spark, root)
+    if jobs.state_version(spark, root) == 1:
+        return jobs.save_state(_approval(spark, sf_dir), root)
+    return jobs.load_state(spark, root)
 
 
 def _pending(state: State) -> DataFrame:
@@ -219,7 +219,7 @@ def spike_severity(spark, sf_dir):
 
 @query
 def anomaly_text(spark, sf_dir):
-    idle, spikes = pipeline.detect_all(derived.metering(spark, sf_dir), detected_at=AS_OF)
+    idle, spikes = jobs.detect_all(derived.metering(spark, sf_dir), detected_at=AS_OF)
     return idle.unionByName(spikes).select(
         "warehouse_name", "anomaly_start", "anomaly_type", "description", "suggested_fix"
     )
@@ -230,7 +230,7 @@ def detect_incremental(spark, sf_dir):
     """A second run over the whole table, after a first one that ended in the middle of the month."""
     rows = derived.metering(spark, sf_dir)
     first = _detected(spark, sf_dir).filter(F.col("anomaly_start") < F.lit(FIRST_RUN_END).cast("timestamp"))
-    idle, spikes = pipeline.detect_all(rows, first, detected_at=AS_OF)
+    idle, spikes = jobs.detect_all(rows, first, detected_at=AS_OF)
     return idle.unionByName(spikes).select("warehouse_name", "anomaly_start", "anomaly_type", "severity")
 
 
@@ -250,15 +250,15 @@ def scan_audit(spark, sf_dir):
 
 @query
 def anomaly_ids(spark, sf_dir):
-    idle, spikes = pipeline.detect_all(derived.metering(spark, sf_dir), detected_at=AS_OF)
-    return pipeline.number_anomalies(idle.unionByName(spikes)).select(
+    idle, spikes = jobs.detect_all(derived.metering(spark, sf_dir), detected_at=AS_OF)
+    return jobs.number_anomalies(idle.unionByName(spikes)).select(
         "anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type"
     )
 
 
 @query
-def pipeline_full(spark, sf_dir):
-    return pipeline.run_pipeline(
+def full_rebuild(spark, sf_dir):
+    return jobs.detect_and_fix(
         derived.metering(spark, sf_dir),
         as_of=AS_OF,
         detected_at=F.col("end_time"),
@@ -275,8 +275,8 @@ def live_cycle(spark, sf_dir):
         state.anomalies.filter(F.col("anomaly_start") < yesterday),
         state.audit_log.filter(F.col("logged_at") <= yesterday),
     )
-    new = pipeline.find_new(derived.metering(spark, sf_dir), before, as_of=AS_OF)
-    return pipeline.absorb(before, new, as_of=AS_OF).anomalies.select(
+    new = jobs.find_new(derived.metering(spark, sf_dir), before, as_of=AS_OF)
+    return jobs.absorb(before, new, as_of=AS_OF).anomalies.select(
         "anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "status", "resolved_at"
     )
 

@@ -130,7 +130,7 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(alert_id, rule, metric, threshold, warehouse, condition): what each supplier would ask to be told about."""
     key = F.col("s_suppkey")
     metric = _pick(key % 5, K.ALERT_METRICS)
-    # Dollar and minute metrics get the balance itself in hundredths of a dollar's scale; counts a small number.
+    # Thresholds up to 400, taken from the cents of the balance; for query counts whole numbers below 20.
     cents = F.abs(F.round(F.col("s_acctbal") * 100).cast("bigint"))
     threshold = F.when(key % 5 == 4, cents % 20).otherwise((cents % 40000) / 100.0)
     warehouse = F.when(key % 7 == 0, K.ANY_WAREHOUSE).otherwise(warehouse_of(F.col("s_nationkey")))

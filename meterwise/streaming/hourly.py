@@ -23,7 +23,7 @@ from meterwise.operators import detection as D
 from meterwise.operators.baseline import latest_rows, rolling_baseline
 from meterwise.operators.detection import Moment
 from meterwise.operators.remediation import fix_anomalies, fix_audit
-from meterwise.plans.pipeline import number_anomalies, scan_rows
+from meterwise.plans.jobs import number_anomalies, scan_rows
 from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, checked, conform
 from meterwise.sources.snapshots import read_all_versions, read_version, write_version
 

@@ -8,7 +8,7 @@ from conftest import by
 from pyspark.sql import functions as F
 
 from meterwise.operators import audit, baseline, detection, remediation, summary
-from meterwise.plans import pipeline
+from meterwise.plans import jobs
 from meterwise.sources.metering import metering_from_rows
 
 # --- fixed values: the demo rows, in their own order: warehouse id and name, hour of 2026-07-25 in a zone seven hours
@@ -52,7 +52,7 @@ def demo(spark):
 
 @pytest.fixture(scope="module")
 def state(demo):
-    return pipeline.run_pipeline(demo, as_of=AS_OF)
+    return jobs.detect_and_fix(demo, as_of=AS_OF)
 
 
 def test_idle(demo):
@@ -110,7 +110,7 @@ def test_kpis(state):
 
 
 def test_second_run_finds_nothing(demo, state):
-    idle, spikes = pipeline.detect_all(demo, state.anomalies, detected_at=AS_OF)
+    idle, spikes = jobs.detect_all(demo, state.anomalies, detected_at=AS_OF)
     assert idle.count() == 0 and spikes.count() == 0
     row = detection.scan_audit(idle, "idle_full", at=AS_OF).first()
     assert row.action_details == "Idle compute scan (DEMO) completed. New anomalies found: 0"
@@ -128,7 +128,7 @@ def test_approval_of_the_pending_fix(spark, state):
 
 
 def test_lazy_and_written_state_agree(demo, state, tmp_path):
-    written = pipeline.rebuild_state(demo, str(tmp_path), 1, as_of=AS_OF)
+    written = jobs.rebuild_state(demo, str(tmp_path), 1, as_of=AS_OF)
     assert by(written.anomalies, "anomaly_id", "warehouse_name", "description") == by(
         state.anomalies, "anomaly_id", "warehouse_name", "description"
     )

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from meterwise import session
-from meterwise.plans import pipeline
+from meterwise.plans import jobs
 from meterwise.schemas import METERING, conform
 from meterwise.sources import snapshots
 from meterwise.sources.metering import read_metering, write_metering
@@ -69,9 +69,9 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
     root = str(tmp_path)
     for day in (1, 2, 3, 3):
         known = frame.filter(F.col("start_time") < F.lit(hour(24 * day)))
-        state = pipeline.run_cycle(known, root, as_of=hour(24 * day))
-    assert pipeline.state_version(spark, root) == 4
-    full = pipeline.run_pipeline(frame, as_of=AS_OF)
+        state = jobs.run_cycle(known, root, as_of=hour(24 * day))
+    assert jobs.state_version(spark, root) == 4
+    full = jobs.detect_and_fix(frame, as_of=AS_OF)
     key = ("warehouse_name", "anomaly_start", "anomaly_type", "severity", "status", "anomaly_id")
     assert by(state.anomalies, *key) == by(full.anomalies, *key)
     assert state.audit_log.filter("action_type = 'DETECTION'").count() == 8
@@ -81,22 +81,22 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
 
 def test_a_half_written_state_is_ignored(spark, metering, tmp_path):
     root = str(tmp_path)
-    assert pipeline.load_state(spark, root).anomalies.count() == 0
+    assert jobs.load_state(spark, root).anomalies.count() == 0
     frame = metering([usage("B", h, "0.3", "0.3", D(0)) for h in range(3)])
-    pipeline.run_cycle(frame, root, as_of=hour(3))
-    pipeline.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4))
+    jobs.run_cycle(frame, root, as_of=hour(3))
+    jobs.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4))
     (tmp_path / "audit_log" / "version=2" / "_SUCCESS").unlink()
-    assert pipeline.state_version(spark, root) == 1
-    assert pipeline.load_state(spark, root).anomalies.count() == 3
-    assert pipeline.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4)).anomalies.count() == 4
-    assert pipeline.state_version(spark, root) == 2
+    assert jobs.state_version(spark, root) == 1
+    assert jobs.load_state(spark, root).anomalies.count() == 3
+    assert jobs.run_cycle(metering([usage("B", 3, "0.3", "0.3", D(0))]), root, as_of=hour(4)).anomalies.count() == 4
+    assert jobs.state_version(spark, root) == 2
 
 
 def test_missing_values_stop_the_write(spark, metering, tmp_path):
     row = list(usage("A", 0, "0.2", "0.2", D(0)))
     row[0] = None
     with pytest.raises(Exception, match="anomaly_start must not be null"):
-        pipeline.rebuild_state(metering([tuple(row)]), str(tmp_path), 1, as_of=AS_OF)
+        jobs.rebuild_state(metering([tuple(row)]), str(tmp_path), 1, as_of=AS_OF)
 
 
 def test_shared_folder_follows_the_setting(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterwise.functions import constants as K
 from meterwise.operators import detection
-from meterwise.plans import pipeline
+from meterwise.plans import jobs
 from meterwise.schemas import METERING
 from meterwise.sources import snapshots
 from meterwise.sources.metering import write_metering
@@ -51,7 +51,7 @@ def test_stream_equals_batch(spark, metering, run):
     rows = all_rows()
     for part in split(rows, 24, 48, 96):
         monitor = run(part, fix=True)
-    batch = pipeline.run_pipeline(
+    batch = jobs.detect_and_fix(
         metering(rows), as_of=AS_OF, detected_at=F.col("end_time"), applied_at=F.col("detected_at")
     )
     assert batch.anomalies.filter("anomaly_type = 'COST_SPIKE' and warehouse_name = 'SPARSE'").count() > 0
@@ -86,7 +86,7 @@ def test_late_rows_are_kept_and_still_judged_as_idle(spark, metering, run):
     monitor = run(late)
     assert by(monitor.late_rows(spark), "start_time") == [(late[0][0],)]
     assert by(monitor.detected(spark), "anomaly_type", "anomaly_start") == [("IDLE_COMPUTE", late[0][0])]
-    idle, spikes = pipeline.detect_all(metering(rows + late), monitor.detected(spark), detected_at=AS_OF)
+    idle, spikes = jobs.detect_all(metering(rows + late), monitor.detected(spark), detected_at=AS_OF)
     assert idle.count() == 0 and spikes.count() == 0
 
 
@@ -113,5 +113,5 @@ def test_stream_reads_the_table_layout(spark, metering, tmp_path):
     assert stream.schema.names[: len(METERING)] == METERING.names
     monitor = HourlyMonitor(str(tmp_path / "out"), detected_at=AS_OF)
     monitor.start(stream).awaitTermination()
-    idle, spikes = pipeline.detect_all(metering(rows), detected_at=AS_OF)
+    idle, spikes = jobs.detect_all(metering(rows), detected_at=AS_OF)
     assert monitor.detected(spark).count() == idle.count() + spikes.count() > 0
