@@ -17,10 +17,13 @@ def generate_notifications(audit_log: DataFrame, anomalies: DataFrame, after: Co
     """One unread notification per audit row that concerns an anomaly.
 
     Waiting fixes ask for approval, approvals report success, automatic fixes warn about a spike and inform otherwise.
+    A scheduled run passes only the audit rows that are new, and the highest notification id so far as ``after``.
     """
     logged = audit_log.filter(F.col("anomaly_id").isNotNull() & (F.col("action_type") != K.DETECTION)).select(
         "log_id", "logged_at", "action_type", "anomaly_id", "action_details", "status"
     )
+    # Numbered before the join: finding the first id then takes a scan of the log and no second join.
+    logged = shift_ids(logged, "notification_id", "log_id", after)
     what = anomalies.select("anomaly_id", "anomaly_type", "warehouse_name")
     kind = (
         F.when(F.col("status") == K.PENDING_APPROVAL, K.APPROVAL_NEEDED)
@@ -35,7 +38,7 @@ def generate_notifications(audit_log: DataFrame, anomalies: DataFrame, after: Co
         logged.join(what, "anomaly_id")
         .withColumn("notification_type", kind)
         .select(
-            "log_id",
+            "notification_id",
             F.col("logged_at").alias("created_at"),
             "notification_type",
             title.alias("title"),
@@ -44,7 +47,7 @@ def generate_notifications(audit_log: DataFrame, anomalies: DataFrame, after: Co
             F.lit(False).alias("is_read"),
         )
     )
-    return conform(shift_ids(rows, "notification_id", "log_id", after), NOTIFICATIONS)
+    return conform(rows, NOTIFICATIONS)
 
 
 def notification_feed(
