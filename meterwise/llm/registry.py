@@ -7,13 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, mixing, toxicity
+from meterwise.llm import decontamination, mixing, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    archives = warc.write_archives(warc.chunk_rows(warc.records(pages)))
+    read = warc.record_table(warc.read_archives(spark, archives, payloads=False))
+    kind = pages.schema["page_id"].dataType
+    return read.withColumns({c: F.nullif(F.col(c), F.lit("")).cast(kind) for c in ("record_id", "refers_to")}).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN keeper IS NULL OR page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper IS NULL OR page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
+FROM k
+"""
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.root_weights(docs))
@@ -98,6 +131,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_chunks": op1_warc_chunks,
+        "op2_token_index": op2_token_index,
         "op3_poisson_mixture": op3_poisson_mixture,
         "op5_decontamination": op5_decontamination,
         "op10_toxicity": op10_toxicity,
@@ -105,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mixture": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_warc_chunks": OP1_SQL, "op3_poisson_mixture": OP3_SQL, "op5_decontamination": OP5_SQL}
