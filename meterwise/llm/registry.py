@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, mixing, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, mixing, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,10 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_index": op2_token_index,
         "op3_poisson_mixture": op3_poisson_mixture,
         "op5_decontamination": op5_decontamination,
+        "op7_near_embeddings": op7_near_embeddings,
         "op10_toxicity": op10_toxicity,
     }
 

@@ -31,7 +31,7 @@ PART_KEYS = 200_000
 #: Words that an encoder remembers before it starts anew.
 REMEMBERED = 400_000
 _TRAILING = b".,;:!?#$%&*()[]{}-+=/"
-_LEVEL_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LEVEL_STEP = 0x9E3779B97F4A7C15
 
 
 def byte_letters() -> list[str]:
@@ -194,7 +194,7 @@ class PerfectHash:
 
     @staticmethod
     def _slots(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(hashes + np.uint64(level + 1) * _LEVEL_STEP) % np.uint64(size)).astype(np.int64)
+        return (mix(hashes + np.uint64((level + 1) * _LEVEL_STEP % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
