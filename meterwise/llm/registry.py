@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, mixing, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, licences, mixing, rollups, tokens, toxicity, warc
+from meterwise.llm.common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +123,74 @@ def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under both tokenizer versions; then texts with an at sign are counted anew without the runs that have one,
+    and documents that repeat the text of a smaller one are deleted. The second batch is sent twice."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    state = rollups.TokenRollup(spark, scratch(spark, "rollup"))
+    text = F.col("text")
+    state.commit("first count", rollups.changes(docs, "insert", "runs-1", rollups.counted(text, "runs-1")))
+    second = rollups.changes(docs, "insert", "words-2", rollups.counted(text, "words-2"))
+    state.commit("second tokenizer", second)
+    state.commit("second tokenizer", second)
+    marked = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*")), F.lit(0))
+    revised = docs.where(F.contains(text, F.lit("@")))
+    again = rollups.changes(revised, "revise", "runs-1", rollups.counted(text, "runs-1") - marked)
+    first = docs.where("text is not null").groupBy(F.sha2(text, 256).alias("digest")).agg(F.min("doc_id").alias("first"))
+    copies = docs.where("text is not null").select("doc_id", "source", "lang", F.sha2(text, 256).alias("digest"))
+    copies = copies.join(first, "digest").where("doc_id > first")
+    state.commit("recount and removal", again.unionByName(rollups.changes(copies, "delete", None, None)))
+    return state.totals()
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy, text,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS runs,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*')) AS marked,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words
+  FROM documents
+), kept AS (SELECT * FROM d WHERE text IS NULL OR copy = 1)
+SELECT source, lang, 'runs-1' AS version, count(*) AS documents, CAST(sum(runs - marked) AS BIGINT) AS tokens FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*), CAST(sum(words) AS BIGINT) FROM kept GROUP BY source, lang
+"""
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(licences.normal(s))}, {quoted(name)})" for name, s in licences.SENTENCES.items())
+    rules = ", ".join(
+        f"({i}, {quoted(name)}, {quoted(licence)}, {quoted('%' + ''.join('%' if x == '*' else f'<{x}>' for x in sequence) + '%')})"
+        for i, (name, licence, sequence) in enumerate(licences.RULES)
+    )
+    return rf"""
+WITH known(s, name) AS (VALUES {known}), rules(n, rule, licence, pattern) AS (VALUES {rules}),
+parts AS (
+  SELECT doc_id, i, trim(list_sentence) AS s FROM (
+    SELECT doc_id, unnest(parts) AS list_sentence, generate_subscripts(parts, 1) AS i FROM (
+      SELECT doc_id, string_split(regexp_replace(regexp_replace(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.!?][ 	
+]+|[
+]+', chr(10), 'g'), '[^a-z0-9
+]+', ' ', 'g'), chr(10)) AS parts FROM documents))
+), found AS (
+  SELECT doc_id, string_agg('<' || name || '>', '' ORDER BY i) AS ids, count(*) AS n FROM parts JOIN known USING (s) GROUP BY doc_id
+), matched AS (
+  SELECT doc_id, min_by(rule, r.n) AS rule, min_by(licence, r.n) AS licence FROM found f, rules r WHERE f.ids LIKE r.pattern GROUP BY doc_id
+), each AS (
+  SELECT doc_id, licence, min(r.n) AS n FROM found f, rules r WHERE f.ids LIKE r.pattern GROUP BY doc_id, licence
+), lists AS (SELECT doc_id, string_agg(licence, ',' ORDER BY n) AS licences FROM each GROUP BY doc_id)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(n, 0) AS n_sentences, rule, licence, coalesce(licences, '') AS licences
+FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN matched USING (doc_id) LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -140,9 +209,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_poisson_mixture": op3_poisson_mixture,
         "op5_decontamination": op5_decontamination,
         "op7_near_embeddings": op7_near_embeddings,
+        "op8_token_rollup": op8_token_rollup,
+        "op9_licence_scan": op9_licence_scan,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chunks": OP1_SQL, "op3_poisson_mixture": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {
+        "op1_warc_chunks": OP1_SQL,
+        "op3_poisson_mixture": OP3_SQL,
+        "op5_decontamination": OP5_SQL,
+        "op8_token_rollup": OP8_SQL,
+        "op9_licence_scan": _op9_sql(),
+    }
