@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, licences, mixing, rollups, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, rollups, tokens, toxicity, warc
 from meterwise.llm.common import scratch
 
 
@@ -119,6 +119,10 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.shingle_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -175,8 +179,8 @@ parts AS (
     SELECT doc_id, unnest(parts) AS list_sentence, generate_subscripts(parts, 1) AS i FROM (
       SELECT doc_id, string_split(regexp_replace(regexp_replace(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[.!?][ 	
-]+|[
+        '[.!?][ 	
+]+|[
 ]+', chr(10), 'g'), '[^a-z0-9
 ]+', ' ', 'g'), chr(10)) AS parts FROM documents))
 ), found AS (
@@ -208,6 +212,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_index": op2_token_index,
         "op3_poisson_mixture": op3_poisson_mixture,
         "op5_decontamination": op5_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_near_embeddings": op7_near_embeddings,
         "op8_token_rollup": op8_token_rollup,
         "op9_licence_scan": op9_licence_scan,
