@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, rollups, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, repeats, rollups, tokens, toxicity, warc
 from meterwise.llm.common import scratch
 
 
@@ -81,6 +81,17 @@ FROM repeated
 """
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     judged = decontamination.contamination(docs.select("doc_id", "text"), items)
@@ -211,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_chunks": op1_warc_chunks,
         "op2_token_index": op2_token_index,
         "op3_poisson_mixture": op3_poisson_mixture,
+        "op4_repeated_bytes": op4_repeated_bytes,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_near_embeddings": op7_near_embeddings,
