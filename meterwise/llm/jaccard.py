@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm.common import byte_view, row_slices, staged
@@ -317,3 +317,19 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         .join(members, F.col("__id") == F.col("node"), "left")
         .select(F.col("__id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "__id").alias("component_id"))
     )
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when one document of each component does, the one with the smallest id; unchanged.
+
+    Of rows that share an id one stays. Rows without an id, and texts without words, link with nothing and stay.
+    Only the ids that go are joined, and only rows whose id repeats are compared with each other.
+    """
+    members = shingle_components(docs, id, text, shingle, percent)
+    gone = staged(members.where(F.col("component_id") != F.col(id)).select(F.col(id).alias("__gone")).distinct(), "gone")
+    again = docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__again")).agg(F.count(F.lit(1)).alias("__k")).where("__k > 1")
+    again = staged(again.select("__again"), "repeated-ids")
+    kept = docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+    order = Window.partitionBy(id).orderBy(F.col(text), F.xxhash64(*docs.columns))
+    one = kept.join(again, F.col(id) == F.col("__again"), "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return kept.join(again, F.col(id) == F.col("__again"), "left_anti").unionByName(one.drop("__row"))
