@@ -187,6 +187,8 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
 def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """All documents, with the hit words cut out of their texts and each cut closed by one blank."""
 
+    columns = docs.columns
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, where = batch.schema.get_field_index(text), batch.schema.get_field_index("__spans")
@@ -200,7 +202,7 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", **names
                     pieces.append(raw[done:].lstrip(b" "))
                     texts[row] = b" ".join(p for p in pieces if p).decode()
             arrays = [pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).select(docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).select(columns)
 
     return contamination(docs, items, text=text, **names).mapInArrow(cut, docs.schema)
 

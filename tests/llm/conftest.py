@@ -1,0 +1,18 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def docs(spark):
+    def make(rows, partitions=3):
+        """rows: (doc_id, text) or (doc_id, text, source)"""
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src0", len(r[1] or "")) for r in rows]
+        return spark.createDataFrame(full, SCHEMA).repartition(partitions)
+
+    return make

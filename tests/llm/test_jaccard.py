@@ -1,0 +1,98 @@
+"""Shingle components against all pairs."""
+
+import itertools
+import random
+
+import pytest
+from conftest_llm import brute_components
+
+from meterwise.llm import jaccard, registry
+
+
+def run(frame, **options):
+    return sorted((tuple(r) for r in jaccard.shingle_components(frame, **options).collect()), key=str)
+
+
+def corpus(seed, n=90, vocabulary=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(vocabulary)]
+    rows, bases = [], []
+    for i in range(n):
+        if bases and rng.random() < 0.6:
+            text = list(rng.choice(bases))
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(text) or 1)
+                text[k : k + 1] = rng.choices(vocabulary, k=rng.randint(0, 2))
+        else:
+            text = rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 8, 9, 12, 15, 30, 80, 200]))
+        bases.append(text or ["x"])
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_all_pairs(docs, seed):
+    rows = corpus(seed)
+    assert run(docs(rows)) == brute_components(rows)
+
+
+@pytest.mark.parametrize("limit", [0, jaccard.LARGEST_LIGHT])
+def test_either_way_alone(docs, monkeypatch, limit):
+    """Inverted lists for all sets, and subsets for all small ones, give the same."""
+    monkeypatch.setattr(jaccard, "light_limit", lambda mean, percent=80: limit)
+    rows = corpus(7, 70, 12)
+    assert run(docs(rows)) == brute_components(rows)
+
+
+def test_many_near_copies_of_one_text(docs):
+    rng = random.Random(5)
+    base = [f"word{rng.randrange(1000)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:k] + ["new"] * (i % 3) + base[k:])) for i, k in enumerate(rng.choices(range(120), k=150))]
+    rows += [(1000 + i, " ".join(rng.choices(base, k=100))) for i in range(20)]
+    assert run(docs(rows)) == brute_components(rows)
+
+
+def test_odd_rows(docs):
+    rows = [
+        (1, None), (2, ""), (3, " \t\r\n\x0b\x0c"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "two one"), (8, "a b c d e"), (9, "A B  C\nd e"),
+        (10, "é É x y z"), (11, "É É x y z"), (12, "a b"), (13, "long " * 30_000), (14, "long " * 20_000), (15, "same " * 4),
+    ]
+    frame = docs(rows).withColumnRenamed("lang", "n").withColumnRenamed("source", "component")
+    assert run(frame) == brute_components(rows)
+
+
+def test_repeated_and_missing_ids(docs):
+    """Rows with one id are one node; rows without an id have no component."""
+    long = " ".join(f"a{i}" for i in range(40))
+    rows = [(5, long), (5, "another text of six words"), (5, long), (3, "another text of six words"), (8, long), (None, long), (None, None)]
+    got = run(docs(rows))
+    n = {long: 36, "another text of six words": 1, None: 0}
+    assert got == sorted([(i, n[t], None if i is None else 3) for i, t in rows], key=str)
+
+
+def test_no_documents(docs):
+    assert run(docs([])) == [] and jaccard.representatives(docs([])).count() == 0
+
+
+def test_representatives(docs):
+    rows = corpus(4)
+    frame = docs([*rows, (0, rows[0][1]), (None, "x"), (None, "x")])
+    kept = jaccard.representatives(frame)
+    assert kept.columns == frame.columns
+    want = sorted({i for i, _, c in brute_components(rows) if i == c})
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
+    assert kept.where("doc_id is null").count() == 2
+
+
+def test_bounds():
+    for a, b in itertools.product(range(1, 60), repeat=2):
+        for common in range(min(a, b) + 1):
+            links = 100 * common >= 80 * (a + b - common)
+            assert links == (common >= jaccard.overlap(a, b))
+            assert not links or (b in jaccard.partners(a) and a - common < jaccard.prefix(a))
+    assert jaccard.light_limit(2) < jaccard.light_limit(1e9) == jaccard.LARGEST_LIGHT
+
+
+def test_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in registry.op6_jaccard_join(spark, "/root/testdata/sf0.001").collect()), key=str) == brute_components(rows)

@@ -1,0 +1,59 @@
+"""Poisson mixture: counts, determinism, odd inputs. The query itself is checked by its SQL."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from meterwise.llm import mixing
+
+
+def weights(spark, rows):
+    return spark.createDataFrame(rows, "source string, weight double")
+
+
+def test_rates_are_met(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "small").otherwise("large").alias("source"), F.lit("t").alias("text"))
+    got = mixing.mix_sources(docs, weights(spark, [("small", 3.0), ("large", 1.0)]), total=40_000)
+    n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(n["small"] - 30_000) < 6 * math.sqrt(30_000) and abs(n["large"] - 10_000) < 6 * math.sqrt(10_000)
+    # Variance as a Poisson variable's.
+    spread = got.where("source = 'small'").groupBy("doc_id").count().agg(F.var_pop("count").alias("v"), F.avg("count").alias("m")).first()
+    assert abs(spread.v - 6) < 1 and abs(spread.m - 6) < 0.3
+
+
+def test_large_means_are_sums_of_parts(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    counts = mixing.mix_sources(docs, weights(spark, [("a", 1.0)]), total=400 * 900).groupBy("doc_id").count()
+    row = counts.agg(F.avg("count").alias("m"), F.var_pop("count").alias("v")).first()
+    assert abs(row.m - 900) < 10 and 600 < row.v < 1300
+
+
+def test_shuffled_over_all_partitions_and_repeatable(spark, docs):
+    frame = docs([(i, f"t{i}", f"s{i % 3}") for i in range(500)])
+    one = mixing.mix_sources(frame, mixing.root_weights(frame), partitions=7)
+    keys = [r.shuffle_key for r in one.collect()]
+    assert keys == sorted(keys) and one.rdd.getNumPartitions() == 7
+    again = mixing.mix_sources(frame.repartition(5), mixing.root_weights(frame), partitions=3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_odd_rows(spark, docs):
+    frame = docs([(None, None, None), (1, "", "a"), (1, "", "a"), (2, "x", "b"), (3, "y", "none"), (4, "z", "null weight")])
+    frame = frame.withColumn("copy", F.lit("old")).withColumn("shuffle_key", F.lit("old"))
+    got = mixing.mix_sources(frame, weights(spark, [("a", 1.0), (None, 1.0), ("b", -1.0), ("null weight", None), ("absent", 5.0)]), total=600)
+    rows = got.groupBy("doc_id", "source").count().collect()
+    assert {r.source for r in rows} == {"a", None}
+    # The repeated row is drawn twice, each time as often.
+    assert next(r["count"] for r in rows if r.source == "a") % 2 == 0
+    assert dict(got.dtypes)["copy"] == "int"
+
+
+def test_no_documents(spark, docs):
+    frame = docs([])
+    assert mixing.mix_sources(frame, mixing.root_weights(frame)).count() == 0
+
+
+def test_no_python_in_the_plan(spark, docs):
+    frame = docs([(1, "a", "b")])
+    plan = mixing.mix_sources(frame, mixing.root_weights(frame))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
