@@ -1,7 +1,9 @@
-"""Brute-force versions that several tests use."""
+"""A fixture and plain versions that several tests use."""
 
 import re
 
+import pytest
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -32,3 +34,16 @@ def brute_components(rows):
     links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = components(ids, links)
     return sorted(((i, len(sets[i]), root[i]) for i in ids), key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def docs(spark):
+    def make(rows, partitions=3):
+        """rows: (doc_id, text) or (doc_id, text, source)"""
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src0", len(r[1] or "")) for r in rows]
+        return spark.createDataFrame(full, SCHEMA).repartition(partitions)
+
+    return make

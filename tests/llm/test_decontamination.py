@@ -2,7 +2,7 @@
 
 import re
 
-from conftest_llm import LOWER
+from plain import LOWER, docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from meterwise.llm import decontamination

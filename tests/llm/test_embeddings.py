@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest_llm import components
+from plain import components
 from pyspark.sql import functions as F
 
 from meterwise.llm import embeddings, registry

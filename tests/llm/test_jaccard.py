@@ -4,7 +4,7 @@ import itertools
 import random
 
 import pytest
-from conftest_llm import brute_components
+from plain import brute_components, docs  # noqa: F401
 
 from meterwise.llm import jaccard, registry
 

@@ -2,6 +2,8 @@
 
 import pytest
 
+from plain import docs  # noqa: F401
+
 from meterwise.llm import licences
 
 S = licences.SENTENCES

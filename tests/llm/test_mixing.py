@@ -4,6 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from plain import docs  # noqa: F401
+
 from meterwise.llm import mixing
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
-from conftest_llm import LOWER, brute_components
+from plain import LOWER, brute_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline

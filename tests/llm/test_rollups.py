@@ -2,6 +2,8 @@
 
 import random
 
+from plain import docs  # noqa: F401
+
 from meterwise.llm import rollups
 from meterwise.llm.common import scratch
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from plain import docs  # noqa: F401
+
 from meterwise.llm import registry, tokens
 from meterwise.llm.common import scratch
 

@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 
+from plain import docs  # noqa: F401
+
 from meterwise.llm import registry, toxicity
 
 SF_DIR = "/root/testdata/sf0.1"
