@@ -36,8 +36,9 @@ def change_text(this_week: Column, last_week: Column) -> Column:
 
 
 def week_over_week(metering: DataFrame, as_of: Moment) -> DataFrame:
-    """Credits per warehouse in the week of ``as_of`` (from Monday) and in the one before."""
-    today = F.to_date(X.moment(as_of)).cast("timestamp")
+    """Credits per warehouse in the week of ``as_of`` (from Monday, up to ``as_of``) and in the one before."""
+    now = X.moment(as_of)
+    today = F.to_date(now).cast("timestamp")
     monday = F.date_trunc("week", today)
     week = F.make_dt_interval(days=F.lit(7))
     start, used = F.col("start_time"), F.col("credits_used")
@@ -45,7 +46,7 @@ def week_over_week(metering: DataFrame, as_of: Moment) -> DataFrame:
     this_week = F.when(start >= monday, used).otherwise(nothing)
     last_week = F.when((start >= monday - week) & (start < monday), used).otherwise(nothing)
     return (
-        rows_since(metering, today - F.make_dt_interval(days=F.lit(14)))
+        rows_since(metering, today - F.make_dt_interval(days=F.lit(14)), now)
         .filter(F.col("warehouse_name") != K.PSEUDO_WAREHOUSE)
         .groupBy("warehouse_name")
         .agg(F.sum(this_week).alias("this_week"), F.sum(last_week).alias("last_week"))

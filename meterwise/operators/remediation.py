@@ -119,8 +119,11 @@ def apply_fixes(state: State, at: Moment) -> State:
 
 
 def _accepted(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
-    """The requests that meet a pending row; of several for one anomaly the first counts, as the rest find none."""
-    first = approvals.groupBy("anomaly_id").agg(
+    """The requests that meet a pending row; of several for one anomaly the first counts, as the rest find none.
+
+    A request that names nobody is no decision.
+    """
+    first = approvals.filter(F.col("approved_by").isNotNull()).groupBy("anomaly_id").agg(
         F.min_by("approved_by", F.struct("requested_at", "approved_by")).alias("approver")
     )
     return first.join(audit_log.filter(_is_pending()).select("anomaly_id"), "anomaly_id", "left_semi")
@@ -177,10 +180,11 @@ def approve_fixes(state: State, approvals: DataFrame, at: Moment) -> State:
 
 def approval_results(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
     """The answer to each approval request, in terms of the log before any of them is carried out."""
-    turn = F.row_number().over(W.partitionBy("anomaly_id").orderBy("requested_at", "approved_by"))
+    named = F.col("approved_by").isNotNull()
+    turn = F.row_number().over(W.partitionBy("anomaly_id").orderBy(F.desc(named), "requested_at", "approved_by"))
     pending = audit_log.filter(_is_pending()).select("anomaly_id").distinct().withColumn("_pending", F.lit(True))
     numbered = approvals.withColumn("_turn", turn).join(pending, "anomaly_id", "left")
-    granted = F.coalesce(F.col("_pending"), F.lit(False)) & (F.col("_turn") == 1)
+    granted = named & F.coalesce(F.col("_pending"), F.lit(False)) & (F.col("_turn") == 1)
     words = {"anomaly": F.col("anomaly_id"), "approver": F.col("approved_by")}
     return numbered.select(
         "anomaly_id",
@@ -188,6 +192,7 @@ def approval_results(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
         "requested_at",
         granted.alias("granted"),
         F.when(granted, T.fill(T.APPROVAL_RESULT, **words))
+        .when(~named, T.fill(T.APPROVAL_NAMELESS, **words))
         .otherwise(T.fill(T.APPROVAL_MISSING, **words))
         .alias("message"),
     )
@@ -195,7 +200,7 @@ def approval_results(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
 
 def dismiss_fixes(state: State, dismissals: DataFrame) -> State:
     """Dismiss anomalies (anomaly_id, dismissed_by, requested_at) and close their pending rows; nothing is logged."""
-    decided = dismissals.groupBy("anomaly_id").agg(
+    decided = dismissals.filter(F.col("dismissed_by").isNotNull()).groupBy("anomaly_id").agg(
         F.min_by("dismissed_by", F.struct("requested_at", "dismissed_by")).alias("approver")
     )
     anomalies = (

@@ -51,10 +51,11 @@ def snapshot_savings(anomalies: DataFrame) -> DataFrame:
 
 
 def savings_trend(history: DataFrame, as_of: Moment | None = None, days: int | None = None) -> DataFrame:
-    """Savings by day, oldest first; optionally only the last ``days`` days before ``as_of``."""
+    """Savings by day, oldest first; optionally only the ``days`` dates that end with that of ``as_of``."""
     rows = history.select("snapshot_date", "dollar_saved")
     if days is not None:
-        rows = rows.filter(F.col("snapshot_date") >= F.date_sub(F.to_date(X.moment(as_of)), days))
+        last = F.to_date(X.moment(as_of))
+        rows = rows.filter((F.col("snapshot_date") > F.date_sub(last, days)) & (F.col("snapshot_date") <= last))
     return rows.orderBy("snapshot_date")
 
 
@@ -68,10 +69,11 @@ def anomalies_by_warehouse(anomalies: DataFrame) -> DataFrame:
 
 
 def recent_anomaly_counts(anomalies: DataFrame, as_of: Moment, days: int = 7) -> DataFrame:
-    """Anomalies per warehouse detected in the last ``days`` days."""
-    bound = X.moment(as_of) - F.make_dt_interval(days=F.lit(days))
+    """Anomalies per warehouse detected in the last ``days`` days up to ``as_of``."""
+    now = X.moment(as_of)
+    bound = now - F.make_dt_interval(days=F.lit(days))
     return (
-        anomalies.filter(F.col("detected_at") >= bound)
+        anomalies.filter((F.col("detected_at") >= bound) & (F.col("detected_at") <= now))
         .groupBy("warehouse_name")
         .agg(F.count(F.lit(1)).alias("anomaly_count"))
     )

@@ -10,6 +10,7 @@ from meterwise.functions import wording as W
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 FIRST_RUN_END = "TIMESTAMP '2024-01-16 00:00:00'"
+MID_MONTH = "TIMESTAMP '2024-01-17 12:00:00'"
 
 
 def num(value: str) -> str:
@@ -60,11 +61,11 @@ def select(ctes: list[str], body: str) -> str:
 
 
 def wh(bucket: str) -> str:
-    return f"(CASE WHEN {bucket} >= 15 THEN 'ETL_WH_' ELSE 'WH_' END || lpad(CAST({bucket} AS VARCHAR), 2, '0'))"
+    return f"(CASE WHEN {bucket} % 4 = 3 THEN 'ETL_WH_' ELSE 'WH_' END || lpad(CAST({bucket} AS VARCHAR), 9, '0'))"
 
 
 USAGE = f"""usage AS (
-  SELECT event_id, user_id, event_type, ts, user_id % 20 AS bucket, {wh('user_id % 20')} AS warehouse_name,
+  SELECT event_id, user_id, event_type, ts, user_id AS bucket, {wh('user_id')} AS warehouse_name,
          {big('round(value * 100)')} AS cents
   FROM events)"""
 
@@ -82,13 +83,13 @@ BASELINE = """baseline AS (
   WINDOW w AS (PARTITION BY warehouse_name ORDER BY start_time ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
 
 WAREHOUSES = f"""warehouses AS (
-  SELECT {wh('n_nationkey')} AS name,
-         CASE WHEN n_nationkey % 3 = 0 THEN 'SUSPENDED' ELSE 'STARTED' END AS state,
-         ['X-Small', 'Small', 'Medium', 'Large', 'X-Large'][n_regionkey + 1] AS size,
-         CASE WHEN n_nationkey % 7 <> 3 THEN n_nationkey * 60 END AS auto_suspend,
-         CASE WHEN n_nationkey % 4 <> 0 THEN 'true' ELSE 'false' END AS auto_resume,
-         n_nationkey % 2 AS running, n_nationkey % 5 AS queued
-  FROM nation)"""
+  SELECT {wh('c_custkey')} AS name,
+         CASE WHEN c_custkey % 3 = 0 THEN 'SUSPENDED' ELSE 'STARTED' END AS state,
+         ['X-Small', 'Small', 'Medium', 'Large', 'X-Large'][c_nationkey % 5 + 1] AS size,
+         CASE WHEN c_custkey % 7 <> 3 THEN c_custkey % 25 * 60 END AS auto_suspend,
+         CASE WHEN c_custkey % 4 <> 0 THEN 'true' ELSE 'false' END AS auto_resume,
+         c_custkey % 2 AS running, c_custkey % 5 AS queued
+  FROM customer)"""
 
 QUERIES = f"""query_history AS (
   SELECT event_id AS query_id, warehouse_name, 'USER_' || user_id AS user_name, 'ROLE_' || (user_id % 5) AS role_name,
@@ -248,7 +249,7 @@ SAVINGS_COLUMNS = "strftime(day, '%Y-%m-%d') AS snapshot_date, CAST(saved AS DOU
 
 RECENT = f"""recent AS (
   SELECT warehouse_name, count(*) AS anomaly_count
-  FROM anomalies WHERE detected_at >= {AS_OF} - INTERVAL 7 DAY GROUP BY ALL)"""
+  FROM anomalies WHERE detected_at >= {AS_OF} - INTERVAL 7 DAY AND detected_at <= {AS_OF} GROUP BY ALL)"""
 
 BAND = "CASE WHEN score >= 80 THEN 'Healthy' WHEN score >= 50 THEN 'Needs Attention' ELSE 'Critical' END"
 
@@ -324,7 +325,9 @@ TRIGGERS = """triggers AS (
   SELECT r.alert_id, m.metric, m.warehouse_name, m.period_start, m.value, r.parsed_condition, r.parsed_threshold
   FROM metrics m JOIN alerts r ON r.parsed_metric = m.metric
    AND (r.parsed_warehouse = 'ANY' OR r.parsed_warehouse = m.warehouse_name)
-  WHERE CASE r.parsed_condition WHEN 'greater_than' THEN CAST(m.value AS DOUBLE) > r.parsed_threshold
+  WHERE m.period_start + CASE m.metric WHEN 'weekly_spend' THEN INTERVAL 7 DAY WHEN 'credits_per_hour' THEN INTERVAL 1 HOUR
+          ELSE INTERVAL 1 DAY END <= TIMESTAMP '2024-01-31 00:00:00'
+    AND CASE r.parsed_condition WHEN 'greater_than' THEN CAST(m.value AS DOUBLE) > r.parsed_threshold
              WHEN 'less_than' THEN CAST(m.value AS DOUBLE) < r.parsed_threshold
              ELSE CAST(m.value AS DOUBLE) = r.parsed_threshold END)"""
 EVALUATION = [USAGE, METERING, QUERIES, RULES, PARSED, ALERTS, METRICS, TRIGGERS]
@@ -346,18 +349,6 @@ context AS (
                     ORDER BY n.detected_at DESC, n.anomaly_id DESC) AS "table"
   FROM newest n CROSS JOIN widths w)"""
 
-ANALYSIS = f"""prompts AS (
-  SELECT anomaly_id, {fill(
-      W.ANALYSIS_PROMPT,
-      warehouse='warehouse_name',
-      kind='anomaly_type',
-      severity='severity',
-      credits=rounded_text('credits_wasted', 4),
-      description='description',
-      fix='proposed_fix',
-  )} AS prompt
-  FROM waiting)"""
-
 # --- notifications --------------------------------------------------------------------------------------------
 
 _KIND = """CASE WHEN l.status = 'PENDING_APPROVAL' THEN 'APPROVAL_NEEDED' WHEN l.action_type = 'USER_ACTION'
@@ -414,25 +405,25 @@ WEEKS = f"""weeks AS (
          {big(f"coalesce(sum(used_u) FILTER (WHERE start_time < {_MONDAY} AND start_time >= {_MONDAY} - INTERVAL 7 DAY), 0)")}
            AS last_u
   FROM metering
-  WHERE start_time >= {AS_OF} - INTERVAL 14 DAY AND warehouse_name <> 'CLOUD_SERVICES_ONLY'
+  WHERE start_time >= {AS_OF} - INTERVAL 14 DAY AND start_time < {AS_OF} AND warehouse_name <> 'CLOUD_SERVICES_ONLY'
   GROUP BY ALL)"""
 
 
 def oracle_sql() -> dict[str, str]:
     idle_base = [USAGE, METERING, IDLE]
     spike_base = [USAGE, METERING, BASELINE, SPIKE]
-    last_day = f"anomaly_start >= {AS_OF} - INTERVAL 24 HOUR"
+    last_day = f"anomaly_start >= {AS_OF} - INTERVAL 24 HOUR AND anomaly_start < {AS_OF}"
     stream_idle = [*idle_base, f"numbered AS (SELECT {numbered('idle')} AS anomaly_id, *, 'OPEN' AS status FROM idle)"]
     stream_spike = [*spike_base, f"numbered AS (SELECT {numbered('spike')} AS anomaly_id, *, 'OPEN' AS status FROM spike)"]
     slices = f"""CASE WHEN anomaly_start < TIMESTAMP '2024-01-11' THEN 1
            WHEN anomaly_start < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END"""
-    return {
+    sql = {
         "metering_scan": select(
             [USAGE, METERING],
             f"""SELECT {ts('start_time')} AS start_time, {ts('end_time')} AS end_time, warehouse_id, warehouse_name,
        {num(dec('used_u', 4, 9))} AS credits_used, {num(dec('compute_u', 4, 9))} AS credits_used_compute,
        {num(dec('cloud_u', 4, 9))} AS credits_used_cloud_services
-FROM metering WHERE start_time >= {AS_OF} - INTERVAL 24 HOUR AND warehouse_name <> 'CLOUD_SERVICES_ONLY'""",
+FROM metering WHERE start_time >= {AS_OF} - INTERVAL 24 HOUR AND start_time < {AS_OF} AND warehouse_name <> 'CLOUD_SERVICES_ONLY'""",
         ),
         "detect_idle_lookback": select(idle_base, f"SELECT {FOUND_COLUMNS} FROM idle WHERE {last_day}"),
         "detect_idle": select(idle_base, f"SELECT {FOUND_COLUMNS} FROM idle"),
@@ -507,11 +498,19 @@ FROM (SELECT count(*) FILTER (WHERE fix_status = 'COMPLETED') AS auto_applied,
         "approve_fix_audit": select(AFTER, f"SELECT {AUDIT_COLUMNS} FROM audit_log2"),
         "approve_fix_results": select(
             [*STATE, PENDING],
-            f"""SELECT anomaly_id, 'alice' AS approved_by, {ts(AS_OF)} AS requested_at, granted,
-       CASE WHEN granted THEN {fill(W.APPROVAL_RESULT, anomaly='anomaly_id', approver="'alice'")}
+            f"""SELECT anomaly_id, approved_by, {ts('requested_at')} AS requested_at, granted,
+       CASE WHEN granted THEN {fill(W.APPROVAL_RESULT, anomaly='anomaly_id', approver='approved_by')}
+            WHEN approved_by IS NULL THEN 'The approval of anomaly ' || anomaly_id || ' names nobody'
             ELSE {fill(W.APPROVAL_MISSING, anomaly='anomaly_id')} END AS message
-FROM (SELECT anomaly_id, anomaly_id IN (SELECT anomaly_id FROM pending) AS granted
-      FROM anomalies WHERE anomaly_id % 2 = 0)""",
+FROM (
+  SELECT *, approved_by IS NOT NULL AND anomaly_id IN (SELECT anomaly_id FROM pending)
+         AND row_number() OVER (PARTITION BY anomaly_id, approved_by IS NULL ORDER BY requested_at, approved_by) = 1 AS granted
+  FROM (
+    SELECT anomaly_id, 'alice' AS approved_by, {AS_OF} AS requested_at FROM anomalies WHERE anomaly_id % 2 = 0
+    UNION ALL SELECT anomaly_id, 'carol', {AS_OF} - INTERVAL 5 MINUTE FROM anomalies WHERE anomaly_id % 6 = 0
+    UNION ALL SELECT anomaly_id, NULL, {AS_OF} - INTERVAL 9 MINUTE FROM anomalies WHERE anomaly_id % 4 = 0
+    UNION ALL SELECT anomaly_id, NULL, {AS_OF} FROM anomalies WHERE anomaly_id % 5 = 1
+    UNION ALL SELECT -anomaly_id, 'dave', {AS_OF} FROM anomalies WHERE anomaly_id % 50 = 0))""",
         ),
         "dismiss_fix_anomalies": select(
             [*STATE, *DISMISSED],
@@ -544,7 +543,11 @@ FROM (SELECT CAST({SAVED} AS DECIMAL(24,9)) AS saved FROM anomalies)""",
         "snapshot_savings": select([*DETECTION, FIXED, DAILY_SAVINGS], f"SELECT {SAVINGS_COLUMNS} FROM savings"),
         "savings_trend": select(
             [*DETECTION, FIXED, DAILY_SAVINGS],
-            f"SELECT {SAVINGS_COLUMNS} FROM savings WHERE day >= DATE '2024-01-24' ORDER BY day",
+            f"SELECT {SAVINGS_COLUMNS} FROM savings ORDER BY day",
+        ),
+        "savings_trend_days": select(
+            [*DETECTION, FIXED, DAILY_SAVINGS],
+            f"SELECT {SAVINGS_COLUMNS} FROM savings WHERE day BETWEEN DATE '2024-01-25' AND DATE '2024-01-31' ORDER BY day",
         ),
         "anomalies_by_warehouse": select(
             [*DETECTION, FIXED],
@@ -631,7 +634,8 @@ FROM parsed""",
         "alert_activate": select(
             [RULES, PARSED, ALERTS],
             f"""SELECT alert_id, natural_language_rule, parsed_metric, parsed_threshold, parsed_warehouse,
-       parsed_condition, is_active, {ts('created_at')} AS created_at, 0::BIGINT AS trigger_count
+       parsed_condition, is_active, {ts('created_at')} AS created_at, 0::BIGINT AS trigger_count,
+       NULL::VARCHAR AS evaluated_until
 FROM alerts""",
         ),
         "alert_deactivate": select(
@@ -649,7 +653,19 @@ FROM alerts""",
 FROM triggers""",
         ),
         "evaluate_alerts": select(
-            [*EVALUATION, COUNTS], "SELECT alert_id, parsed_metric, parsed_warehouse, trigger_count FROM counts"
+            [*EVALUATION, COUNTS],
+            f"SELECT alert_id, parsed_metric, parsed_warehouse, trigger_count, {ts(AS_OF)} AS evaluated_until FROM counts",
+        ),
+        "evaluate_alerts_again": select(
+            [*EVALUATION, COUNTS],
+            f"SELECT alert_id, parsed_metric, parsed_warehouse, trigger_count, {ts(AS_OF)} AS evaluated_until FROM counts",
+        ),
+        "alert_triggers_new": select(
+            EVALUATION,
+            f"""SELECT alert_id, metric, warehouse_name, {ts('period_start')} AS period_start, {num('value')} AS value,
+       parsed_condition, parsed_threshold
+FROM triggers WHERE period_start + CASE metric WHEN 'weekly_spend' THEN INTERVAL 7 DAY WHEN 'credits_per_hour' THEN
+  INTERVAL 1 HOUR ELSE INTERVAL 1 DAY END > {MID_MONTH}""",
         ),
         "active_alerts": select(
             [*EVALUATION, COUNTS],
@@ -678,18 +694,12 @@ FROM anomalies WHERE severity IN ('HIGH', 'CRITICAL')""",
                 question='question',
             )} AS prompt
 FROM (SELECT 'What drives the cost of ' || name || '?' AS question FROM warehouses)""",
-        ),
-        "complete_batch": select(
-            [*STATE, WAITING, ANALYSIS],
-            """SELECT anomaly_id, prompt, length(prompt) || ' characters, ending: ' || string_split(prompt, chr(10))[-1]
-         AS response
-FROM prompts""",
         ),
         "cost_attribution": select(
             [USAGE, QUERIES],
             f"""SELECT user_name, role_name, count(*) AS queries, {num(dec('sum(cloud_u)', 4))} AS credits,
        {num(dec(half_up('sum(cloud_u) * 3', '100'), 2))} AS dollars
-FROM query_history WHERE start_time >= {AS_OF} - INTERVAL 7 DAY AND cloud_u > 0
+FROM query_history WHERE start_time >= {AS_OF} - INTERVAL 7 DAY AND start_time < {AS_OF} AND cloud_u > 0
 GROUP BY user_name, role_name ORDER BY sum(cloud_u) DESC, user_name, role_name LIMIT 10""",
         ),
         "week_over_week": select(
@@ -748,7 +758,7 @@ FROM audit_log2""",
         "audit_log_of_warehouse": select(
             AFTER,
             f"""SELECT {AUDIT_COLUMNS} FROM (
-  SELECT * FROM audit_log2 WHERE warehouse_name = 'WH_03' ORDER BY logged_at DESC, log_id DESC LIMIT 50)""",
+  SELECT * FROM audit_log2 WHERE warehouse_name = 'WH_000000004' ORDER BY logged_at DESC, log_id DESC LIMIT 50)""",
         ),
         "stream_idle": select(stream_idle, f"SELECT {STREAM_COLUMNS} FROM numbered"),
         "stream_spike": select(stream_spike, f"SELECT {STREAM_COLUMNS} FROM numbered"),
@@ -775,3 +785,11 @@ FROM audit_log2""",
         FROM (SELECT unnest([1, 1, 2, 2, 3, 3]) AS slice, unnest([1, 2, 1, 2, 1, 2]) AS place) g) r)""",
         ),
     }
+    # A scan of the past is the same scan at another time. Only the day's floor differs in the weekly one.
+    for name, at in (
+        ("metering_scan", AS_OF), ("detect_idle_lookback", AS_OF), ("recent_anomaly_counts", AS_OF), ("cost_attribution", AS_OF),
+        ("week_over_week", AS_OF),
+    ):
+        moved = sql[name].replace(f"{at} - INTERVAL 14 DAY", "TIMESTAMP '2024-01-03 00:00:00'").replace(at, MID_MONTH)
+        sql[f"{name.removesuffix('_lookback')}_mid_month"] = moved
+    return sql

@@ -7,6 +7,7 @@ table folder, as an hourly installation would find it, and the reports read it f
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -41,6 +42,7 @@ from meterwise.streaming.hourly import HourlyMonitor, metering_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_RUN_END = "2024-01-16 00:00:00"
+MID_MONTH = dt.datetime(2024, 1, 17, 12)
 SLICE_ENDS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00", None)
 
 _QUERIES: dict[str, Query] = {}
@@ -169,6 +171,31 @@ def detect_idle_lookback(spark, sf_dir):
     return detection.detect_idle(derived.metering(spark, sf_dir), as_of=AS_OF)
 
 
+@query
+def metering_scan_mid_month(spark, sf_dir):
+    return live_scan(derived.metering(spark, sf_dir), MID_MONTH)
+
+
+@query
+def detect_idle_mid_month(spark, sf_dir):
+    return detection.detect_idle(derived.metering(spark, sf_dir), as_of=MID_MONTH)
+
+
+@query
+def recent_anomaly_counts_mid_month(spark, sf_dir):
+    return summary.recent_anomaly_counts(_fixed(spark, sf_dir).anomalies, MID_MONTH)
+
+
+@query
+def cost_attribution_mid_month(spark, sf_dir):
+    return attribution.cost_attribution(derived.query_history(spark, sf_dir), MID_MONTH)
+
+
+@query
+def week_over_week_mid_month(spark, sf_dir):
+    return attribution.week_over_week(derived.metering(spark, sf_dir), MID_MONTH)
+
+
 @query
 def detect_idle(spark, sf_dir):
     return detection.detect_idle(derived.metering(spark, sf_dir), as_of=AS_OF, lookback_hours=None, exclude=())
@@ -318,9 +345,9 @@ def approve_fix_audit(spark, sf_dir):
 
 @query
 def approve_fix_results(spark, sf_dir):
-    """Answers to approvals of all anomalies with an even id, most of which wait for none."""
+    """Answers to requests of which many wait for nothing, some repeat, name nobody or mean no anomaly."""
     state = _fixed(spark, sf_dir)
-    return remediation.approval_results(state.audit_log, derived.approvals(state.anomalies))
+    return remediation.approval_results(state.audit_log, derived.approval_requests(state.anomalies))
 
 
 @query
@@ -357,6 +384,11 @@ def snapshot_savings(spark, sf_dir):
 
 @query
 def savings_trend(spark, sf_dir):
+    return summary.savings_trend(summary.snapshot_savings(_fixed(spark, sf_dir).anomalies))
+
+
+@query
+def savings_trend_days(spark, sf_dir):
     return summary.savings_trend(summary.snapshot_savings(_fixed(spark, sf_dir).anomalies), AS_OF, days=7)
 
 
@@ -462,18 +494,42 @@ def alert_metrics(spark, sf_dir):
 
 @query
 def alert_triggers(spark, sf_dir):
-    return alerts.alert_triggers(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir))
+    return alerts.alert_triggers(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir), AS_OF)
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
+    """The rule table after an evaluation of what was known at ``as_of``, as a scheduled run has written it."""
+    root = f"{_root(spark, sf_dir)}/evaluated/{as_of:%Y%m%d%H}"
+    if not committed_versions(spark, root, "smart_alerts"):
+        rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir), as_of)
+        write_version(rules, root, "smart_alerts", 1)
+    return read_version(spark, root, "smart_alerts", 1)
+
+
+@query
+def alert_triggers_new(spark, sf_dir):
+    """What an evaluation finds after one in the middle of the month."""
+    return alerts.alert_triggers(_alert_metrics(spark, sf_dir), _evaluated(spark, sf_dir, MID_MONTH), AS_OF)
 
 
 @query
 def evaluate_alerts(spark, sf_dir):
-    rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir))
-    return rules.select("alert_id", "parsed_metric", "parsed_warehouse", "trigger_count")
+    rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir), AS_OF)
+    return rules.select("alert_id", "parsed_metric", "parsed_warehouse", "trigger_count", "evaluated_until")
+
+
+@query
+def evaluate_alerts_again(spark, sf_dir):
+    """In the middle of the month, at its end, and at its end once more: the same counts as one run at the end."""
+    rules, metrics = _evaluated(spark, sf_dir, MID_MONTH), _alert_metrics(spark, sf_dir)
+    for _ in range(2):
+        rules = alerts.evaluate_alerts(metrics, rules, AS_OF)
+    return rules.select("alert_id", "parsed_metric", "parsed_warehouse", "trigger_count", "evaluated_until")
 
 
 @query
 def active_alerts(spark, sf_dir):
-    rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir))
+    rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir), AS_OF)
     shown = alerts.active_alerts(alerts.deactivate_alerts(rules, _switched_off(rules)))
     return shown.select("alert_id", "natural_language_rule", "condition_symbol", "badge")
 
@@ -500,19 +556,6 @@ def ask_prompts(spark, sf_dir):
     return assistant.question_prompts(asked, _fixed(spark, sf_dir).anomalies)
 
 
-@query
-def complete_batch(spark, sf_dir):
-    """An analysis of every anomaly that waits for approval. The client stands in for a model: it answers with the
-    prompt's length and last line. Defined here, it travels to the workers by value."""
-
-    def make_client():
-        return lambda prompts: [f"{len(p)} characters, ending: {p.splitlines()[-1]}" for p in prompts]
-
-    state = _fixed(spark, sf_dir)
-    prompts = assistant.analysis_prompts(state.anomalies, state.audit_log)
-    return assistant.complete_batch(prompts, make_client)
-
-
 @query
 def cost_attribution(spark, sf_dir):
     return attribution.cost_attribution(derived.query_history(spark, sf_dir), AS_OF)
@@ -584,7 +627,7 @@ def audit_log_filtered(spark, sf_dir):
 
 @query
 def audit_log_of_warehouse(spark, sf_dir):
-    return audit.audit_log_filtered(_approved(spark, sf_dir).audit_log, warehouse="WH_03").drop("error_message")
+    return audit.audit_log_filtered(_approved(spark, sf_dir).audit_log, warehouse="WH_000000004").drop("error_message")
 
 
 # --- streaming ------------------------------------------------------------------------------------------------

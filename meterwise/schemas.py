@@ -87,6 +87,7 @@ SMART_ALERTS = _table(
     ("is_active", T.BooleanType(), True),
     ("created_at", T.TimestampType(), True),
     ("trigger_count", T.LongType(), True),
+    ("evaluated_until", T.TimestampType(), True),
 )
 
 NOTIFICATIONS = _table(

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def warehouse_of(bucket: Column) -> Column:
-    prefix = F.when(bucket >= 15, "ETL_WH_").otherwise("WH_")
-    return F.concat(prefix, F.lpad(bucket.cast("string"), 2, "0"))
+    prefix = F.when(bucket % 4 == 3, "ETL_WH_").otherwise("WH_")
+    return F.concat(prefix, F.lpad(bucket.cast("string"), 9, "0"))
 
 
 def _credits(cents: Column) -> Column:
@@ -33,7 +33,7 @@ def _usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_type",
         F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("user_id") % 20).alias("bucket"),
+        F.col("user_id").alias("bucket"),
         F.floor(F.col("value") * 100 + 0.5).alias("cents"),
     )
 
@@ -79,16 +79,16 @@ def query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One warehouse per nation; 20 of the 25 have metering rows."""
-    key = F.col("n_nationkey")
-    size = F.element_at(F.array(*map(F.lit, ("X-Small", "Small", "Medium", "Large", "X-Large"))), F.col("n_regionkey") + 1)
+    """One warehouse per customer; there are ten customers for each user with metering rows."""
+    key = F.col("c_custkey")
+    size = F.element_at(F.array(*map(F.lit, ("X-Small", "Small", "Medium", "Large", "X-Large"))), (F.col("c_nationkey") % 5 + 1).cast("int"))
     return conform(
-        table(spark, sf_dir, "nation").select(
+        table(spark, sf_dir, "customer").select(
             warehouse_of(key).alias("name"),
             F.when(key % 3 == 0, "SUSPENDED").otherwise("STARTED").alias("state"),
             size.alias("size"),
             F.lit("STANDARD").alias("type"),
-            F.when(key % 7 != 3, key * 60).alias("auto_suspend"),
+            F.when(key % 7 != 3, (key % 25) * 60).alias("auto_suspend"),
             (key % 4 != 0).cast("string").alias("auto_resume"),
             (key % 2).alias("running"),
             (key % 5).alias("queued"),
@@ -104,6 +104,25 @@ def approvals(pending: DataFrame) -> DataFrame:
     )
 
 
+def approval_requests(anomalies: DataFrame) -> DataFrame:
+    """Requests for anomalies with an even id, some of them twice, some without a name, some for ids that do not exist."""
+    key = F.col("anomaly_id")
+
+    def asked(rows: DataFrame, id: Column, name: Column, minutes: int) -> DataFrame:
+        return rows.select(
+            id.alias("anomaly_id"), name.cast("string").alias("approved_by"),
+            (moment(AS_OF) + F.make_dt_interval(mins=F.lit(minutes))).alias("requested_at"),
+        )
+
+    return (
+        asked(anomalies.filter(key % 2 == 0), key, F.lit("alice"), 0)
+        .unionByName(asked(anomalies.filter(key % 6 == 0), key, F.lit("carol"), -5))
+        .unionByName(asked(anomalies.filter(key % 4 == 0), key, F.lit(None), -9))
+        .unionByName(asked(anomalies.filter(key % 5 == 1), key, F.lit(None), 0))
+        .unionByName(asked(anomalies.filter(key % 50 == 0), -key, F.lit("dave"), 0))
+    )
+
+
 def dismissals(pending: DataFrame) -> DataFrame:
     """Dismiss requests: every pending anomaly whose id ends in 1."""
     return pending.filter(F.col("anomaly_id") % 10 == 1).select(

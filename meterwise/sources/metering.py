@@ -42,10 +42,16 @@ def lookback_bound(as_of: dt.datetime | str | Column | None, lookback_hours: int
     return moment(as_of) - F.make_dt_interval(hours=F.lit(lookback_hours))
 
 
-def rows_since(metering: DataFrame, bound: Column) -> DataFrame:
-    """Rows that start at or after ``bound``; with a day column, only those days are read."""
+def rows_since(metering: DataFrame, bound: Column, before: Column | None = None) -> DataFrame:
+    """Rows that start at or after ``bound``, and before ``before``; with a day column, only those days are read."""
     rows = metering.filter(F.col("start_time") >= bound)
-    return rows.filter(F.col(DAY) >= F.to_date(bound)) if DAY in metering.columns else rows
+    if DAY in metering.columns:
+        rows = rows.filter(F.col(DAY) >= F.to_date(bound))
+    if before is not None:
+        rows = rows.filter(F.col("start_time") < before)
+        if DAY in metering.columns:
+            rows = rows.filter(F.col(DAY) <= F.to_date(before))
+    return rows
 
 
 def scan_metering(
@@ -58,7 +64,7 @@ def scan_metering(
     """All rows, or the rows of the last ``lookback_hours`` before ``as_of``, without the excluded warehouses."""
     rows = metering
     if lookback_hours is not None:
-        rows = rows_since(rows, lookback_bound(as_of, lookback_hours))
+        rows = rows_since(rows, lookback_bound(as_of, lookback_hours), moment(as_of))
     if exclude:
         rows = rows.filter(~F.col("warehouse_name").isin(*exclude))
     return rows

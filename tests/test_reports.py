@@ -33,7 +33,8 @@ def test_savings_by_day(anomalies):
         (dt.date(2024, 1, 1), D("9.00")), (dt.date(2024, 1, 2), D("9.02")), (dt.date(2024, 1, 5), D("21.02")),
     ]
     trend = summary.savings_trend(history, dt.datetime(2024, 1, 5), days=3)
-    assert [r.snapshot_date.day for r in trend.collect()] == [2, 5]
+    assert [r.snapshot_date.day for r in trend.collect()] == [5]
+    assert [r.snapshot_date.day for r in summary.savings_trend(history, dt.datetime(2024, 1, 5), days=4).collect()] == [2, 5]
     assert [r.snapshot_date.day for r in summary.savings_trend(history).collect()] == [1, 2, 5]
 
 
