@@ -14,22 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, row_slices, scratch, staged
+from meterwise.llm.common import byte_view, row_slices, staged
+from meterwise.llm.shared import BitFilter, shared_filter, write_filter
 from meterwise.llm.words import mix
 
 WIDTH = 50
 GRAM = 20
 #: Windows of a piece at most; also the number of minimiser candidates of a window.
 REACH = WIDTH - GRAM + 1
-#: Minimisers of a task that are told apart at once.
-COUNTED = 1_000_000
-#: Bits of the filters that are read by all tasks.
-FILTER_BITS = 26
 #: Bytes of pieces that are merged in one task, about; a minimiser with more pieces than PIECES is split by its windows.
 MERGED = 2 << 20
 PIECES = 10_000
@@ -74,7 +69,8 @@ def pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         cuts = -(-count // REACH)
         step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         begin, count = np.repeat(begin, cuts) + step * REACH, np.minimum(REACH, np.repeat(count, cuts) - step * REACH)
-    return least[begin], row[begin], begin, count
+    # Smallest hashes lie close together; mixed anew they are spread evenly.
+    return mix(least[begin]), row[begin], begin, count
 
 
 def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -90,79 +86,15 @@ def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return mix((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64) * _B)
 
 
-def write_filter(numbers: DataFrame, column: str = "minimiser") -> str:
-    """Writes a filter of the numbers as a table of words of 64 bits and returns its path; its size has a bound whatever their
-    number. Tasks read it from the shared folder."""
-    place = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER_BITS}) & 63 as int))")
-    path = scratch(numbers.sparkSession, "filter")
-    numbers.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).write.parquet(path)
-    return path
-
-
-class BitFilter:
-    """A written filter: true for all numbers that were put in, and for some others."""
-
-    def __init__(self, path: str) -> None:
-        system, base = pyarrow.fs.FileSystem.from_uri(path)
-        table = pyarrow.dataset.dataset(base, filesystem=system, format="parquet", schema=pa.schema([("word", pa.int32()), ("bits", pa.int64())])).to_table()
-        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        self.words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-
-    def passes(self, numbers: np.ndarray) -> np.ndarray:
-        place = numbers >> np.uint64(64 - FILTER_BITS)
-        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _shared_filter(texts: DataFrame, parts: int) -> str:
-    """The filter of minimisers that more than one document has.
-
-    A task packs the distinct minimisers of its documents into one row per part, so what is shuffled is eight bytes for
-    each. A part is a range of hashes, hence even; a minimiser of a third of all documents comes once per task.
-    """
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            found = np.concatenate(held)
-            numbers, first, counts = np.unique(found["n"], return_index=True, return_counts=True)
-            # Of one row at a time each minimiser was held once, so a repeated one has several rows.
-            shift = (numbers >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            cuts = np.searchsorted(shift, np.arange(parts + 1).astype(np.uint64))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(parts, dtype=np.int32)),
-                    pa.array([numbers[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                    pa.array([numbers[a:b][counts[a:b] > 1].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                ],
-                names=["part", "numbers", "repeated"],
-            )
-
-        held, size = [], 0
-        for batch in batches:
-            for part in row_slices(batch, "__text"):
-                minimiser, row, _, _ = pieces(*byte_view(part.column(part.schema.get_field_index("__text"))))
-                pairs = np.empty(len(row), [("n", np.uint64), ("row", np.int64)])
-                pairs["n"], pairs["row"] = minimiser, row
-                order = np.lexsort((minimiser, row))
-                pairs = pairs[order]
-                keep = np.ones(len(pairs), bool)
-                keep[1:] = pairs[1:] != pairs[:-1]
-                held.append(pairs[keep])
-                size += int(keep.sum())
-                if size > COUNTED:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        numbers = np.frombuffer(b"".join(frame["numbers"]), np.uint64)
-        numbers, counts = np.unique(numbers, return_counts=True)
-        shared = np.union1d(numbers[counts > 1], np.frombuffer(b"".join(frame["repeated"]), np.uint64))
-        return pd.DataFrame({"minimiser": shared.view(np.int64)})
-
-    packed = texts.mapInArrow(pack, "part int, numbers binary, repeated binary")
-    return write_filter(packed.groupBy("part").applyInPandas(merge, "minimiser long"))
+def _minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The minimisers of a batch's texts, each once per text."""
+    for part in row_slices(batch, "__text"):
+        minimiser, row, _, _ = pieces(*byte_view(part.column(part.schema.get_field_index("__text"))))
+        order = np.lexsort((minimiser, row))
+        minimiser, row = minimiser[order], row[order]
+        keep = np.ones(len(row), bool)
+        keep[1:] = (minimiser[1:] != minimiser[:-1]) | (row[1:] != row[:-1])
+        yield minimiser[keep]
 
 
 def _occurrences(texts: DataFrame, filter_path: str, with_text: bool) -> DataFrame:
@@ -327,13 +259,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", part
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("__doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("__tag"), F.col(text).cast("string").alias("__text"))
     texts = texts.where("__doc is not null and octet_length(__text) >= 50")
-    shared = _shared_filter(texts.select("__text"), parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = shared_filter(texts.select("__text"), _minimisers, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = staged(_occurrences(texts, shared, False), "occurrences")
     groups = found.groupBy("minimiser").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("piece").alias("p"), F.max("piece").alias("q"))
     groups = staged(groups.where("least < most").select("minimiser", "least", (F.col("p") == F.col("q")).alias("alone")), "minimisers")
     whole = found.join(groups.where("alone").select("minimiser", "least"), "minimiser").where("doc > least").select("doc", "tag", "at", "n")
     several = groups.where("not alone").select("minimiser")
-    again = _occurrences(texts, write_filter(several), True).drop("piece")
+    again = _occurrences(texts, write_filter(several, "minimiser"), True).drop("piece")
     partly = _partly_equal(staged(again.join(several, "minimiser"), "partly-equal"))
     spans = whole.unionByName(partly)
     return spans.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "n")).alias("__at"))
