@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, row_slices, staged
+from meterwise.llm.common import byte_view, discard, row_slices, staged
 from meterwise.llm.components import components
+from meterwise.llm.shared import BitFilter, shared_filter
 from meterwise.llm.words import NOT_SPACE, Words, mix
 
 SHINGLE = 5
@@ -120,21 +121,35 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     return tokens[order], rank[order]
 
 
-def set_table(texts: DataFrame, order, shingle: int, percent: int) -> DataFrame:
-    """Per row: ``__id``, ``n`` (size of its set), ``digest`` (of the set), ``first`` (its prefix) and ``small`` (all of a small set)."""
+def prefixes_of(order, shingle: int, percent: int):
+    """A function that gives the prefixes of a batch's sets, spread evenly: hashes that come first in an order do not."""
+
+    def prefixes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        arranged = Order(*order.value)
+        for tokens in shingle_sets(batch, "__text", shingle):
+            if len(tokens):
+                yield mix(arranged.arrange(tokens)[: prefix(len(tokens), percent)])
+
+    return prefixes
+
+
+def set_table(texts: DataFrame, order, shared: str, shingle: int, percent: int) -> DataFrame:
+    """Per row: ``__id``, ``n`` (size of its set), ``digest`` (of the set), ``first`` (what other sets have, too, of its prefix) and
+    ``small`` (all of a small set)."""
     kind = texts.schema["__id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arranged = Order(*order.value)
+        arranged, passed = Order(*order.value), BitFilter(shared)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 sizes, digests, firsts, smalls = [], [], [], []
                 for tokens in shingle_sets(part, "__text", shingle):
                     n = len(tokens)
+                    first = arranged.arrange(tokens)[: prefix(n, percent) if n else 0]
                     sizes.append(n)
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                    firsts.append(arranged.arrange(tokens)[: prefix(n, percent) if n else 0].view(np.int64))
+                    firsts.append(first[passed.passes(mix(first))].view(np.int64))
                     smalls.append(tokens.view(np.int64) if n <= LARGEST_LIGHT else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(smalls, pa.list_(pa.int64()))],
@@ -222,9 +237,10 @@ def whole_sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     return staged(marked.select("__id", "__text", "__bit").mapInArrow(sets, f"id {kind}, tokens binary"), "whole-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets link."""
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets link, as a written table. Only the sets of documents in pairs are made."""
     kind = pairs.schema["a"].dataType.simpleString()
+    sets = whole_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), shingle)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,10 +255,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield part.filter(pa.array(good)).select(["a", "b"])
 
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
-    return held.select("a", "b", "s", "t").mapInArrow(test, f"a {kind}, b {kind}").distinct()
+    links = staged(held.select("a", "b", "s", "t").mapInArrow(test, f"a {kind}, b {kind}").distinct(), "links")
+    discard(sets)
+    return links
 
 
-def heavy_links(sets: DataFrame, lists: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
+def likely(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a`` > ``b`` from a row per pair and list they meet on (``x``, ``n_x``, ``y``, ``n_y``), if they meet often enough.
+
+    Sets that link have an overlap by their sizes, of which all but those beyond the one prefix lie in both prefixes.
+    """
+    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100.0 + percent) - 1e-9)
+    beyond = F.greatest(*(F.ceil(percent * F.col(n) / 100.0 - 1e-9) for n in ("n_x", "n_y"))) - 1
+    counted = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), (need - beyond).alias("least")).groupBy("a", "b")
+    return counted.agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+
+
+def heavy_links(lists: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a`` and ``b``: links that connect all sets that link, given their postings ``lists`` (token, rep, n).
 
     First every set on a list is compared with one set of the list of about its size. What that links is one component;
@@ -251,40 +280,35 @@ def heavy_links(sets: DataFrame, lists: DataFrame, texts: DataFrame, known: Data
     prefix shingles as a link needs. So copies in any number are compared with one of them, not with each other, and no
     link between components is lost.
     """
-    whole = whole_sets(texts, lists.select("rep").distinct(), shingle)
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     banded = lists.withColumn("band", band)
     hubs = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "n")).alias("hub"))
     near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     met = near.join(hubs, ["token", "band"]).where((F.col("rep") != F.col("hub.rep")) & alike(F.col("n"), F.col("hub.n")))
-    pairs = staged(met.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct(), "hub-pairs")
-    first = staged(verified(pairs, whole, percent), "hub-links")
+    met = met.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("hub.rep").alias("y"), F.col("hub.n").alias("n_y"))
+    pairs = staged(likely(met, percent), "hub-pairs")
+    first = verified(pairs, texts, shingle, percent)
 
     labels = components(first.unionByName(known)).select(F.col("node").alias("rep"), "component")
     labelled = staged(lists.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
     groups = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    open_ = staged(labelled.join(largest.select("token", F.col("top.label").alias("top")), "token").withColumn("minor", F.col("label") != F.col("top")), "open-lists")
-    one = open_.where("minor").select("token", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "label")])
-    two = open_.select("token", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "label", "minor")])
+    open_ = labelled.join(largest.select("token", F.col("top.label").alias("top")), "token").withColumn("minor", F.col("label") != F.col("top"))
+    open_ = staged(open_.drop("top"), "open-lists")
+    discard(labelled)
+    one = open_.where("minor").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
+    two = open_.select(F.col("token").alias("token_y"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), "minor")
     rest = one.join(
         two,
-        (one["token"] == two["token"])
+        (F.col("token") == F.col("token_y"))
         & (F.col("label_x") != F.col("label_y"))
         & alike(F.col("n_x"), F.col("n_y"))
-        & (~F.col("minor_y") | (F.col("rep_x") < F.col("rep_y"))),
-    )
-    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent) - 1e-9)
-    beyond = F.greatest(F.ceil(percent * F.col("n_x") / 100.0 - 1e-9), F.ceil(percent * F.col("n_y") / 100.0 - 1e-9)) - 1
-    counted = (
-        rest.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b"), (need - beyond).alias("least"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
-        .where("shared >= least")
+        & (~F.col("minor") | (F.col("x") < F.col("y"))),
     )
-    counted = staged(counted.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "other-pairs")
-    return first.unionByName(verified(counted, whole, percent))
+    others = staged(likely(rest, percent).join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    discard(open_)
+    return first.unionByName(verified(others, texts, shingle, percent))
 
 
 def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -296,22 +320,25 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     texts = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
-    table = set_table(texts, order, shingle, percent)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = shared_filter(texts.select("__text"), prefixes_of(order, shingle, percent), parts)
+    table = set_table(texts, order, shared, shingle, percent)
     nodes = table.where("n > 0 and __id is not null")
     smallest = nodes.groupBy("digest").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     copies = staged(nodes.select("__id", "digest").join(smallest, "digest").where("__id <> rep"), "copies")
     single = nodes.join(copies.select("__id", "digest").distinct(), ["__id", "digest"], "left_anti").withColumnRenamed("__id", "rep")
 
     postings = single.select("rep", "n", F.explode("first").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = staged(postings.join(shared, "token"), "lists")
+    lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = staged(postings.join(lengths, "token"), "lists")
     size = lists.agg(F.avg("df").alias("mean")).first()["mean"] or 0.0
     limit = light_limit(size, percent)
     same = copies.select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     light = staged(light_links(single, limit, percent), "light-links")
     # A set needs its lists if a partner may be larger than the light ones.
-    heavy = heavy_links(single, lists.where(F.col("n") * 100 > limit * percent).drop("df"), texts, light, shingle, percent)
+    heavy = heavy_links(lists.where(F.col("n") * 100 > limit * percent).drop("df"), texts, light, shingle, percent)
     members = components(same.unionByName(light).unionByName(heavy))
+    discard(lists)
     return (
         table.select("__id", "n")
         .join(members, F.col("__id") == F.col("node"), "left")
