@@ -61,7 +61,7 @@ def detect_and_fix(
 def rebuild_state(
     metering: DataFrame,
     root: str,
-    version: int,
+    version: int | None = None,
     *,
     as_of: Moment,
     threshold: Decimal | float = K.SPIKE_THRESHOLD,
@@ -69,7 +69,10 @@ def rebuild_state(
     applied_at: Moment | None = None,
 ) -> State:
     """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table, and
-    one without notifications."""
+    one without notifications. Readers take the newest version, so the new one is above those of all tables; a
+    ``version`` is given only to repeat a write that failed."""
+    if version is None:
+        version = next_version(metering.sparkSession, root)
     write_version(metering.sparkSession.createDataFrame([], NOTIFICATIONS), root, "notifications", version)
     idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
     found = write_version(idle.unionByName(spikes), root, "found", version)
@@ -78,6 +81,14 @@ def rebuild_state(
     return _write_state(state, root, version)
 
 
+_STATE_TABLES = ("notifications", "found", "detected", "anomalies", "audit_log")
+
+
+def next_version(spark: SparkSession, root: str) -> int:
+    """One above the newest version of any table of the state."""
+    return 1 + max((v for table in _STATE_TABLES for v in committed_versions(spark, root, table)[-1:]), default=0)
+
+
 def _write_state(state: State, root: str, version: int) -> State:
     return State(
         write_version(state.anomalies, root, "anomalies", version, ("anomaly_start", "warehouse_name")),

@@ -785,6 +785,7 @@ FROM audit_log2""",
         FROM (SELECT unnest([1, 1, 2, 2, 3, 3]) AS slice, unnest([1, 2, 1, 2, 1, 2]) AS place) g) r)""",
         ),
     }
+    sql["rebuild_after_cycles"] = sql["full_rebuild"]
     # A scan of the past is the same scan at another time. Only the day's floor differs in the weekly one.
     for name, at in (
         ("metering_scan", AS_OF), ("detect_idle_lookback", AS_OF), ("recent_anomaly_counts", AS_OF), ("cost_attribution", AS_OF),

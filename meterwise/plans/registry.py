@@ -293,6 +293,20 @@ def full_rebuild(spark, sf_dir):
     ).anomalies
 
 
+@query
+def rebuild_after_cycles(spark, sf_dir):
+    """A rebuild of a state that an earlier rebuild and two cycles have left: nothing of them remains."""
+    rows = derived.metering(spark, sf_dir)
+    root = f"{_root(spark, sf_dir)}/cycles"
+    if not committed_versions(spark, root, "anomalies"):
+        jobs.rebuild_state(rows.filter(F.col("start_time") < F.lit(FIRST_RUN_END).cast("timestamp")), root, as_of=FIRST_RUN_END)
+        for at in (MID_MONTH, AS_OF):
+            jobs.run_cycle(rows, root, as_of=at)
+    return jobs.rebuild_state(
+        rows, root, as_of=AS_OF, detected_at=F.col("end_time"), applied_at=F.col("detected_at")
+    ).anomalies
+
+
 @query
 def live_cycle(spark, sf_dir):
     """One incremental cycle over the last day, on top of the state that the days before had left."""

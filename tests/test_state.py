@@ -79,6 +79,17 @@ def test_live_cycles_add_up(spark, metering, tmp_path):
     assert len(ids) == len(set(ids)) == 8 + full.anomalies.count()
 
 
+def test_rebuild_wipes_what_cycles_have_written(spark, metering, tmp_path):
+    frame = metering([usage("B", h, "0.3", "0.3", D(0)) for h in range(6)])
+    root = str(tmp_path)
+    for at in (3, 6):
+        jobs.run_cycle(frame.filter(F.col("start_time") < F.lit(hour(at))), root, as_of=hour(at))
+    jobs.rebuild_state(metering([]), root, as_of=hour(6))
+    state = jobs.load_state(spark, root)
+    assert state.anomalies.count() == 0 and state.audit_log.count() == 2
+    assert jobs.run_cycle(frame, root, as_of=hour(6)).anomalies.count() == 6
+
+
 def test_a_half_written_state_is_ignored(spark, metering, tmp_path):
     root = str(tmp_path)
     assert jobs.load_state(spark, root).anomalies.count() == 0
