@@ -11,42 +11,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm.common import row_slices, staged
-from meterwise.llm.words import mix
 
 GRAMS = (3, 4, 5)
 BITS = 20
 #: Rows of each class that the model is fitted on, at most; they are those with the smallest hashed ids.
 FIT_ROWS = 3000
 #: Features that the linear model gets, those with the most weight of evidence in the rows it is fitted on.
-FEATURES = 40_000
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+FEATURES = 20_000
+#: Features with a smaller log-count ratio than this say little and are left out.
+RATIO = 0.7
+_MULTIPLIER = np.uint32(0x9E3779B1)
+_MIXER = np.uint32(0x85EBCA6B)
 
 
-def gram_buckets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the row and the hash bucket of every character n-gram of the lower-case texts, white space as one
-    blank, a blank before and after each text. Null is an empty text."""
+def gram_buckets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: the rows of the first and last character and the hash bucket of all runs of n characters of the
+    lower-case texts, white space as one blank, a blank before and after each text. Null is an empty text. Runs over
+    two rows are among them."""
     lowered = [" " + " ".join((t or "").lower().split()) + " " for t in texts]
     sizes = np.array([len(t) for t in lowered])
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    h = np.zeros(len(codes), np.uint64)
+    h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         m = len(codes) - n + 1
         if m <= 0:
             return
         h = h[:m] * _MULTIPLIER + codes[n - 1 :]
         if n in GRAMS:
-            inside = rows[:m] == rows[n - 1 :]
-            bucket = (mix(h + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-            yield rows[:m][inside], bucket[inside]
+            mixed = (h ^ (h >> np.uint32(15))) * _MIXER
+            yield rows[:m], rows[n - 1 :], (mixed ^ (mixed >> np.uint32(13))) >> np.uint32(32 - BITS)
 
 
 def present(texts: list[str | None], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and buckets, each pair once, of the n-grams whose bucket is chosen."""
     keys = []
-    for rows, buckets in gram_buckets(texts):
-        keep = chosen[buckets]
-        keys.append((rows[keep] << BITS) | buckets[keep])
+    for rows, last, buckets in gram_buckets(texts):
+        keep = np.flatnonzero(chosen[buckets])
+        keep = keep[rows[keep] == last[keep]]
+        keys.append((rows[keep] << BITS) | buckets[keep].astype(np.int64))
     found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return found >> BITS, found & ((1 << BITS) - 1)
 
@@ -85,7 +88,7 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
     counts += 1
     # Shares of the class's documents: long documents of one class then do not shift every feature.
     ratio = np.log(counts[1] / (y.sum() + 2)) - np.log(counts[0] / ((1 - y).sum() + 2))
-    evidence = np.where(documents >= 3, np.abs(ratio) * np.sqrt(documents), 0)
+    evidence = np.where((documents >= 3) & (np.abs(ratio) >= RATIO), np.abs(ratio) * np.sqrt(documents), 0)
     picked = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
     picked = picked[evidence[picked] > 0]
     chosen = np.zeros(1 << BITS, bool)
