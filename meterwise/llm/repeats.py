@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, row_slices, staged
+from meterwise.llm.common import byte_view, discard, row_slices, staged
 from meterwise.llm.shared import BitFilter, shared_filter, write_filter
 from meterwise.llm.words import mix
 
@@ -97,29 +97,46 @@ def _minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield minimiser[keep]
 
 
-def _occurrences(texts: DataFrame, filter_path: str, with_text: bool) -> DataFrame:
+def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
     """The pieces whose minimiser passes the filter: ``minimiser``, ``piece`` (hash of its bytes), ``doc``, ``tag``, ``at`` (first
-    byte), ``n`` (windows), and ``bytes``."""
+    byte) and ``n`` (windows)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(filter_path)
         for batch in batches:
             for part in row_slices(batch, "__text"):
                 data, edges = byte_view(part.column(2))
-                minimiser, row, begin, count = pieces(data, edges)
-                keep = passed.passes(minimiser)
-                minimiser, row, begin, count = minimiser[keep], row[keep], begin[keep], count[keep]
+                minimiser, row, begin, count = (x[keep] for found in [pieces(data, edges)] for keep in [passed.passes(found[0])] for x in found)
                 doc, tag = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                size = count + WIDTH - 1
-                columns = {
-                    "minimiser": pa.array(minimiser.view(np.int64)), "piece": pa.array(_hashes(data, begin, size).view(np.int64)),
-                    "doc": pa.array(doc[row]), "tag": pa.array(tag[row]), "at": pa.array((begin - edges[row]).astype(np.int64)), "n": pa.array(count.astype(np.int32)),
-                }
-                if with_text:
-                    columns["bytes"] = pa.array([data[b : b + s].tobytes() for b, s in zip(begin, size, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "minimiser": pa.array(minimiser.view(np.int64)), "piece": pa.array(_hashes(data, begin, count + WIDTH - 1).view(np.int64)),
+                        "doc": pa.array(doc[row]), "tag": pa.array(tag[row]), "at": pa.array((begin - edges[row]).astype(np.int64)), "n": pa.array(count.astype(np.int32)),
+                    }
+                )
+
+    return texts.mapInArrow(find, "minimiser long, piece long, doc long, tag int, at long, n int")
+
 
-    return texts.mapInArrow(find, "minimiser long, piece long, doc long, tag int, at long, n int" + ", bytes binary" * with_text)
+def _piece_texts(texts: DataFrame, filter_path: str) -> DataFrame:
+    """``minimiser``, ``piece`` and ``text`` of the pieces whose minimiser passes the filter; a piece comes once per slice of texts."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = BitFilter(filter_path)
+        for batch in batches:
+            for part in row_slices(batch, "__text", 4 << 20):
+                data, edges = byte_view(part.column(2))
+                minimiser, _, begin, count = pieces(data, edges)
+                keep = passed.passes(minimiser)
+                minimiser, begin, size = minimiser[keep], begin[keep], count[keep] + WIDTH - 1
+                piece, first = np.unique(_hashes(data, begin, size), return_index=True)
+                raw = data.tobytes()
+                held = [raw[b : b + s] for b, s in zip(begin[first].tolist(), size[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(minimiser[first].view(np.int64)), pa.array(piece.view(np.int64)), pa.array(held, pa.binary())], names=["minimiser", "piece", "text"]
+                )
+
+    return texts.mapInArrow(find, "minimiser long, piece long, text binary")
 
 
 class Transform:
@@ -149,29 +166,36 @@ class Transform:
 
 
 def merge_transforms(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges the transforms by interleave refinement to suffixes in the order of their first ``depth`` symbols.
+    """Merges the transforms by interleave refinement to suffixes in the order of their first ``depth`` symbols, an even number.
 
     Returns the shard and the place in it of each suffix in merged order, and the length of the prefix that it has in
-    common with the one before it, ``depth`` where that is depth or more. Each round reads all transforms once in the order so
-    far and puts every suffix's predecessor behind the others with its symbol: an order by h symbols becomes one by
-    h + 1, and where neighbours fall apart the common prefix is h long. No suffixes are compared.
+    common with the one before it, rounded down to an even number, ``depth`` where it is that or more. Each round reads all
+    transforms once in the order so far and puts what stands two symbols before each suffix behind the others with the
+    same two symbols: an order by h symbols becomes one by h + 2, and neighbours that fall apart have h or h + 1 symbols
+    in common. No suffixes are compared.
     """
     kind = np.uint8 if len(shards) <= 256 else np.uint16
-    origin = np.repeat(np.arange(len(shards)), [len(s.transform) for s in shards]).astype(kind)
-    symbols = np.concatenate([s.transform for s in shards])
-    n = len(symbols)
+    origin = np.repeat(np.arange(len(shards)), [len(s.suffixes) for s in shards]).astype(kind)
+    # Two symbols as one number; texts use few symbols, so it mostly fits 16 bits, which sort fastest.
+    used = np.unique(np.concatenate([s.transform for s in shards]))
+    code = np.zeros(257, np.int64)
+    code[used] = np.arange(len(used))
+    pairs = np.concatenate([code[s.symbols[s.suffixes - 2]] * len(used) + code[s.transform] for s in shards])
+    pairs = pairs.astype(np.uint16 if len(used) ** 2 <= 1 << 16 else np.uint32)
+    n = len(pairs)
     common = np.full(n, depth, np.int16)
     common[0] = 0
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     read = np.arange(n)
-    for h in range(depth):
-        now = np.empty(n, np.int16)
-        now[read] = symbols
+    now = np.empty(n, pairs.dtype)
+    for h in range(0, depth, 2):
+        now[read] = pairs
         order = np.argsort(now, kind="stable")
+        sorted_, block = now[order], block[order]
         apart = np.zeros(n, bool)
-        apart[1:] = (now[order[1:]] != now[order[:-1]]) | (block[order[1:]] != block[order[:-1]])
+        apart[1:] = (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])
         common[apart & (common == depth)] = h
-        block = np.cumsum(apart)
+        block = np.cumsum(apart, dtype=np.int32)
         origin = origin[order]
         read = np.argsort(origin, kind="stable")
         if block[-1] == n - 1:
@@ -212,44 +236,60 @@ def windows_of_smaller(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     return [flat[base[i] : base[i + 1]] for i in range(len(texts))]
 
 
-def _partly_equal(found: DataFrame) -> DataFrame:
+def _partly_equal(placed: DataFrame, texts: DataFrame, filter_path: str) -> DataFrame:
     """``doc``, ``tag``, ``at``, ``n``: windows of pieces that share their minimiser with other pieces and occur in a smaller document.
 
-    ``found`` has all occurrences of such pieces with their bytes. A piece is judged once, for the smallest document that has it;
-    in any other document all of it is repeated.
+    ``placed`` has all occurrences of such pieces. A piece is judged once, for the smallest document that has it; in any
+    other document all of it is repeated.
     """
-    distinct = staged(found.groupBy("minimiser", "bytes").agg(F.min("doc").alias("least")), "pieces")
-    crowded = staged(distinct.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > PIECES).select("minimiser", F.lit(True).alias("crowded")), "crowded")
-    total = distinct.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0
+    known = staged(placed.groupBy("minimiser", "piece").agg(F.min("doc").alias("least"), F.min("n").alias("n")), "pieces")
+    crowded = known.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > PIECES)
+    crowded = staged(crowded.select(F.col("minimiser").alias("__m"), F.lit(True).alias("crowded")), "crowded")
+    total = known.agg(F.sum(F.col("n") + WIDTH - 1).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // MERGED))
-    held = distinct.join(crowded, "minimiser", "left")
     # A crowded minimiser's pieces are taken apart into windows, which are dealt out by what they are.
-    at = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.length("bytes") - WIDTH)).otherwise(F.array(F.lit(0))))
-    text = F.when(F.col("crowded"), F.substr(F.col("bytes"), F.col("first") + 1, F.lit(WIDTH))).otherwise(F.col("bytes"))
-    dealt = held.withColumn("first", at).withColumn("text", text)
+    held = _piece_texts(texts, filter_path).join(crowded, F.col("minimiser") == F.col("__m"), "left")
+    first = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.length("text") - WIDTH)).otherwise(F.array(F.lit(0))))
+    held = held.withColumn("first", first).withColumn("text", F.when(F.col("crowded"), F.substr(F.col("text"), F.col("first") + 1, F.lit(WIDTH))).otherwise(F.col("text")))
     spread = F.when(F.col("crowded"), F.xxhash64("minimiser", "text")).otherwise(F.xxhash64("minimiser"))
-    dealt = dealt.withColumn("bucket", F.pmod(spread, F.lit(buckets * 16))).select("bucket", "minimiser", "bytes", "least", "first", "text")
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        # Windows of a crowded minimiser may be the same in several pieces: they are merged once, for the smallest document.
-        least = frame.groupby("text", sort=False)["least"].min()
-        marks = dict(zip(least.index, windows_of_smaller(list(least.index), least.to_numpy()), strict=True))
-        rows = []
-        for minimiser, piece, doc, first, text in zip(frame["minimiser"], frame["bytes"], frame["least"], frame["first"], frame["text"], strict=True):
-            marked = marks[text] if doc == least[text] else np.ones(len(text) - WIDTH + 1, bool)
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]])))
-            rows += [(minimiser, piece, doc, first + a, b - a) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        return pd.DataFrame(rows, columns=["minimiser", "bytes", "least", "from", "count"])
-
-    schema = "minimiser long, bytes binary, least long, from int, count int"
-    judged = staged(dealt.groupBy("bucket").applyInPandas(judge, schema), "judged")
+    dealt = held.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int")).select("bucket", "minimiser", "piece", "first", "text")
+    # A crowded minimiser's pieces may be asked for in every bucket; there are few such minimisers.
+    every = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).cast("int")))
+    asked = known.join(crowded, F.col("minimiser") == F.col("__m"), "left").withColumn("bucket", F.explode(every)).select("bucket", "minimiser", "piece", "least")
+
+    def judge(found: pd.DataFrame, least: pd.DataFrame) -> pd.DataFrame:
+        # Which minimisers pass the filter wrongly, and copies of a piece from other tasks, fall out here.
+        found = found.drop_duplicates(["minimiser", "piece", "first"]).merge(least, on=["minimiser", "piece"])
+        out = {"minimiser": [], "piece": [], "doc": [], "from": [], "count": []}
+        if len(found):
+            smallest = found.groupby("text", sort=False)["least"].min()
+            marks = dict(zip(smallest.index, windows_of_smaller(list(smallest.index), smallest.to_numpy()), strict=True))
+            for minimiser, piece, doc, begin, text in zip(*(found[c].tolist() for c in ("minimiser", "piece", "least", "first", "text")), strict=True):
+                marked = marks[text] if doc == smallest[text] else np.ones(len(text) - WIDTH + 1, bool)
+                if marked.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]])))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                        for name, value in zip(out, (minimiser, piece, doc, begin + a, b - a), strict=True):
+                            out[name].append(value)
+        return pd.DataFrame(out)
+
+    judged = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(judge, "minimiser long, piece long, doc long, from int, count int")
+    judged = staged(judged, "judged")
     # The one document of a piece may hold it more than once.
-    own = judged.select("minimiser", "bytes", F.col("least").alias("doc"), "from", "count")
-    partly = found.join(own, ["minimiser", "bytes", "doc"]).select("doc", "tag", (F.col("at") + F.col("from")).alias("at"), F.col("count").alias("n"))
-    later = found.join(distinct, ["minimiser", "bytes"]).where("doc > least").select("doc", "tag", "at", "n")
+    partly = placed.join(judged, ["minimiser", "piece", "doc"]).select("doc", "tag", (F.col("at") + F.col("from")).alias("at"), F.col("count").alias("n"))
+    later = placed.join(known.drop("n"), ["minimiser", "piece"]).where("doc > least").select("doc", "tag", "at", "n")
     return partly.unionByName(later)
 
 
+def _tagged(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
+    """``__doc``, ``__tag``, ``__text`` and more columns. The tag is 0, or a hash of the text where several texts share an id."""
+    one = docs.select(F.col(id).cast("long").alias("__doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("__hash"), F.col(text).cast("string").alias("__text"), *more)
+    twins = one.where("__doc is not null").groupBy(F.col("__doc").alias("__twin")).agg(F.min("__hash").alias("a"), F.max("__hash").alias("b")).where("a <> b")
+    twins = staged(twins.select("__twin"), "twins")
+    tag = F.when(F.col("__twin").isNotNull(), F.col("__hash")).otherwise(F.lit(0))
+    return one.join(twins, F.col("__doc") == F.col("__twin"), "left").select("__doc", tag.alias("__tag"), "__text", *more)
+
+
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """``__doc``, ``__tag`` (of the text, so that rows that share an id are told apart) and ``__at``: the first bytes and numbers
     of windows that also start in a document with a smaller id. Windows are of the UTF-8 bytes; null texts and texts of
@@ -257,16 +297,16 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", part
     the same id do not count as smaller than each other.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id).cast("long").alias("__doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("__tag"), F.col(text).cast("string").alias("__text"))
-    texts = texts.where("__doc is not null and octet_length(__text) >= 50")
+    texts = _tagged(docs, id, text).where("__doc is not null and octet_length(__text) >= 50")
     shared = shared_filter(texts.select("__text"), _minimisers, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = staged(_occurrences(texts, shared, False), "occurrences")
+    found = staged(_occurrences(texts, shared), "occurrences")
     groups = found.groupBy("minimiser").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("piece").alias("p"), F.max("piece").alias("q"))
-    groups = staged(groups.where("least < most").select("minimiser", "least", (F.col("p") == F.col("q")).alias("alone")), "minimisers")
-    whole = found.join(groups.where("alone").select("minimiser", "least"), "minimiser").where("doc > least").select("doc", "tag", "at", "n")
-    several = groups.where("not alone").select("minimiser")
-    again = _occurrences(texts, write_filter(several, "minimiser"), True).drop("piece")
-    partly = _partly_equal(staged(again.join(several, "minimiser"), "partly-equal"))
+    groups = groups.where("least < most").select("minimiser", "least", (F.col("p") == F.col("q")).alias("alone"))
+    placed = staged(found.join(groups, "minimiser").where("not alone or doc > least").drop("least"), "placed")
+    discard(found)
+    whole = placed.where("alone").select("doc", "tag", "at", "n")
+    several = placed.where("not alone").drop("alone")
+    partly = _partly_equal(several, texts, write_filter(several, "minimiser"))
     spans = whole.unionByName(partly)
     return spans.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "n")).alias("__at"))
 
@@ -298,7 +338,23 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", par
                     [part.column(0), pa.array(np.diff(edges)), pa.array(ranges, span), pa.array(kept, pa.binary())], names=[id, "n_bytes", "spans", "kept"]
                 )
 
-    one = docs.select(F.col(id), F.col(text).cast("string").alias("__text"), F.col(id).cast("long").alias("__key"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("__mark"))
-    joined = one.join(spans, (F.col("__key") == F.col("__doc")) & (F.col("__mark") == F.col("__tag")), "left").select(id, "__text", "__at")
-    return joined.mapInArrow(cut, f"`{id}` {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    # Most texts have no spans and need not be moved to meet them.
+    met = write_filter(spans.select(F.xxhash64("__doc").alias("n")), "n")
+    schema = f"`{id}` {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
+    tagged = _tagged(docs.withColumn("__id", F.col(id)), id, text, "__id").withColumn("__number", F.xxhash64("__doc"))
+    maybe = tagged.mapInArrow(_passing(met, True), tagged.schema).drop("__number")
+    never = tagged.mapInArrow(_passing(met, False), tagged.schema).select("__id", "__text", F.lit(None).cast(spans.schema["__at"].dataType).alias("__at"))
+    joined = maybe.join(spans, ["__doc", "__tag"], "left").select("__id", "__text", "__at")
+    return joined.mapInArrow(cut, schema).unionByName(never.mapInArrow(cut, schema))
+
+
+def _passing(filter_path: str, wanted: bool):
+    """Keeps the rows whose ``__number`` passes the filter, or the others."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = BitFilter(filter_path)
+        for batch in batches:
+            number = batch.column(batch.schema.get_field_index("__number")).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(passed.passes(number) == wanted))
 
+    return keep

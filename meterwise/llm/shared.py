@@ -1,4 +1,4 @@
-"""Which 64-bit hashes do several documents have: a filter of bounded size, from eight shuffled bytes per hash and task."""
+"""Which 64-bit hashes do several documents have: a filter of bounded size, from five shuffled bytes per hash and task."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from meterwise.llm.common import scratch
 
 #: Bits of a filter; it is read by all tasks.
-FILTER_BITS = 26
+FILTER_BITS = 28
+#: Bytes of a hash that are shuffled, more than the filter can tell apart.
+PACKED = 5
 #: Hashes of a task that are told apart at once.
 COUNTED = 1_000_000
 
@@ -45,6 +47,16 @@ class BitFilter:
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    return (numbers >> np.uint64(64 - 8 * PACKED)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def _unpack(held: bytes) -> np.ndarray:
+    wide = np.zeros((len(held) // PACKED, 8), np.uint8)
+    wide[:, 8 - PACKED :] = np.frombuffer(held, np.uint8).reshape(-1, PACKED)
+    return wide.reshape(-1).view("<u8")
+
+
 def shared_filter(frame: DataFrame, numbers_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int) -> str:
     """The filter of the numbers that more than one row has.
 
@@ -62,8 +74,8 @@ def shared_filter(frame: DataFrame, numbers_of: Callable[[pa.RecordBatch], Itera
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(parts, dtype=np.int32)),
-                    pa.array([numbers[a:b].tobytes() for a, b in ranges], pa.binary()),
-                    pa.array([numbers[a:b][counts[a:b] > 1].tobytes() for a, b in ranges], pa.binary()),
+                    pa.array([_pack(numbers[a:b]) for a, b in ranges], pa.binary()),
+                    pa.array([_pack(numbers[a:b][counts[a:b] > 1]) for a, b in ranges], pa.binary()),
                 ],
                 names=["part", "numbers", "repeated"],
             )
@@ -80,8 +92,8 @@ def shared_filter(frame: DataFrame, numbers_of: Callable[[pa.RecordBatch], Itera
             yield flush()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        numbers, counts = np.unique(np.frombuffer(b"".join(group["numbers"]), np.uint64), return_counts=True)
-        found = np.union1d(numbers[counts > 1], np.frombuffer(b"".join(group["repeated"]), np.uint64))
+        numbers, counts = np.unique(_unpack(b"".join(group["numbers"])), return_counts=True)
+        found = np.union1d(numbers[counts > 1], _unpack(b"".join(group["repeated"])))
         return pd.DataFrame({"number": found.view(np.int64)})
 
     packed = frame.mapInArrow(pack, "part int, numbers binary, repeated binary")
