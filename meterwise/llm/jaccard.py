@@ -134,8 +134,8 @@ def prefixes_of(order, shingle: int, percent: int):
 
 
 def set_table(texts: DataFrame, order, shared: str, shingle: int, percent: int) -> DataFrame:
-    """Per row: ``__id``, ``n`` (size of its set), ``digest`` (of the set), ``first`` (what other sets have, too, of its prefix) and
-    ``small`` (all of a small set)."""
+    """Per row: ``__id``, ``n`` (size of its set), ``digest`` (of the set), ``first`` (what other sets have, too, of its prefix), ``place``
+    (where in its order) and ``small`` (all of a small set)."""
     kind = texts.schema["__id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +143,22 @@ def set_table(texts: DataFrame, order, shared: str, shingle: int, percent: int)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                sizes, digests, firsts, smalls = [], [], [], []
+                sizes, digests, firsts, places, smalls = [], [], [], [], []
                 for tokens in shingle_sets(part, "__text", shingle):
                     n = len(tokens)
                     first = arranged.arrange(tokens)[: prefix(n, percent) if n else 0]
                     sizes.append(n)
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                    firsts.append(first[passed.passes(mix(first))].view(np.int64))
+                    kept = np.flatnonzero(passed.passes(mix(first)))
+                    firsts.append(first[kept].view(np.int64))
+                    places.append(kept.astype(np.int32))
                     smalls.append(tokens.view(np.int64) if n <= LARGEST_LIGHT else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(smalls, pa.list_(pa.int64()))],
-                    names=["__id", "n", "digest", "first", "small"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(smalls, pa.list_(pa.int64()))],
+                    names=["__id", "n", "digest", "first", "place", "small"],
                 )
 
-    return staged(texts.select("__id", "__text").mapInArrow(sets, f"__id {kind}, n long, digest binary, first array<long>, small array<long>"), "sets")
+    return staged(texts.select("__id", "__text").mapInArrow(sets, f"__id {kind}, n long, digest binary, first array<long>, place array<int>, small array<long>"), "sets")
 
 
 def light_limit(mean_list: float, percent: int = PERCENT) -> int:
@@ -260,34 +262,43 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return links
 
 
-def likely(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a`` > ``b`` from a row per pair and list they meet on (``x``, ``n_x``, ``y``, ``n_y``), if they meet often enough.
+def needed(percent: int):
+    """The overlap that links sets of sizes ``n_x`` and ``n_y``."""
+    return F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100.0 + percent) - 1e-9)
 
-    Sets that link have an overlap by their sizes, of which all but those beyond the one prefix lie in both prefixes.
-    """
-    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100.0 + percent) - 1e-9)
+
+def likely(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a`` > ``b`` from a row per pair and list they meet on (``x``, ``n_x``, ``y``, ``n_y``), if their prefixes share
+    enough: of the overlap that links them all but what is beyond the one prefix lies in both."""
     beyond = F.greatest(*(F.ceil(percent * F.col(n) / 100.0 - 1e-9) for n in ("n_x", "n_y"))) - 1
-    counted = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), (need - beyond).alias("least")).groupBy("a", "b")
-    return counted.agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+    pairs = met.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.min(needed(percent) - beyond).alias("least"))
+    firsts = sets.where(F.size("first") > 0)
+    both = pairs.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("p")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("q")), "b")
+    return both.where(F.size(F.array_intersect("p", "q")) >= F.col("least")).select("a", "b").distinct()
 
 
-def heavy_links(lists: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
+def heavy_links(sets: DataFrame, lists: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a`` and ``b``: links that connect all sets that link, given their postings ``lists`` (token, rep, n).
 
-    First every set on a list is compared with one set of the list of about its size. What that links is one component;
+    First every set on a list is compared with up to three of the list of about its size: that with the smallest id, that
+    whose shingles others have most, and any. What that links is one component;
     on a list all of whose sets are in one component nothing is left to find. On the others, the sets outside the
-    list's largest component are paired with those of other components, and a pair is compared if it shares as many
-    prefix shingles as a link needs. So copies in any number are compared with one of them, not with each other, and no
+    list's largest component are paired with those of other components that the list's shingle is early enough for, and
+    a pair is compared if it shares as many prefix shingles as a link needs. So copies in any number are compared with one of them, not with each other, and no
     link between components is lost.
     """
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     banded = lists.withColumn("band", band)
-    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "n")).alias("hub"))
+    hub = F.struct("rep", "n")
+    hubs = banded.groupBy("token", "band").agg(
+        F.min(hub).alias("first"), F.max_by(hub, F.struct("known", F.xxhash64("rep"))).alias("common"), F.min_by(hub, F.xxhash64("rep", F.lit(1))).alias("any")
+    )
+    hubs = hubs.select("token", "band", F.explode(F.array_distinct(F.array("first", "common", "any"))).alias("hub"))
     near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     met = near.join(hubs, ["token", "band"]).where((F.col("rep") != F.col("hub.rep")) & alike(F.col("n"), F.col("hub.n")))
     met = met.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("hub.rep").alias("y"), F.col("hub.n").alias("n_y"))
-    pairs = staged(likely(met, percent), "hub-pairs")
+    pairs = staged(likely(met, sets, percent), "hub-pairs")
     first = verified(pairs, texts, shingle, percent)
 
     labels = components(first.unionByName(known)).select(F.col("node").alias("rep"), "component")
@@ -297,16 +308,19 @@ def heavy_links(lists: DataFrame, texts: DataFrame, known: DataFrame, shingle: i
     open_ = labelled.join(largest.select("token", F.col("top.label").alias("top")), "token").withColumn("minor", F.col("label") != F.col("top"))
     open_ = staged(open_.drop("top"), "open-lists")
     discard(labelled)
-    one = open_.where("minor").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    two = open_.select(F.col("token").alias("token_y"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), "minor")
+    one = open_.where("minor").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"), F.col("place").alias("place_x"))
+    two = open_.select(F.col("token").alias("token_y"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), "minor", F.col("place").alias("place_y"))
     rest = one.join(
         two,
         (F.col("token") == F.col("token_y"))
         & (F.col("label_x") != F.col("label_y"))
         & alike(F.col("n_x"), F.col("n_y"))
+        # Knowing both sizes, a shorter beginning of each is enough; the frequent shingles stand at the end.
+        & (F.col("place_x") <= F.col("n_x") - needed(percent))
+        & (F.col("place_y") <= F.col("n_y") - needed(percent))
         & (~F.col("minor") | (F.col("x") < F.col("y"))),
     )
-    others = staged(likely(rest, percent).join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    others = staged(likely(rest, sets, percent).join(pairs, ["a", "b"], "left_anti"), "other-pairs")
     discard(open_)
     return first.unionByName(verified(others, texts, shingle, percent))
 
@@ -328,7 +342,9 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     copies = staged(nodes.select("__id", "digest").join(smallest, "digest").where("__id <> rep"), "copies")
     single = nodes.join(copies.select("__id", "digest").distinct(), ["__id", "digest"], "left_anti").withColumnRenamed("__id", "rep")
 
-    postings = single.select("rep", "n", F.explode("first").alias("token"))
+    # How much of a prefix other sets have: all of it in a text that the others were made from.
+    postings = single.select("rep", "n", (F.size("first") / F.col("n")).alias("known"), F.explode(F.arrays_zip("first", "place")).alias("t"))
+    postings = postings.select("rep", "n", "known", F.col("t.first").alias("token"), F.col("t.place").alias("place"))
     lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = staged(postings.join(lengths, "token"), "lists")
     size = lists.agg(F.avg("df").alias("mean")).first()["mean"] or 0.0
@@ -336,7 +352,7 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     same = copies.select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     light = staged(light_links(single, limit, percent), "light-links")
     # A set needs its lists if a partner may be larger than the light ones.
-    heavy = heavy_links(lists.where(F.col("n") * 100 > limit * percent).drop("df"), texts, light, shingle, percent)
+    heavy = heavy_links(single, lists.where(F.col("n") * 100 > limit * percent).drop("df"), texts, light, shingle, percent)
     members = components(same.unionByName(light).unionByName(heavy))
     discard(lists)
     return (
