@@ -30,6 +30,8 @@ MERGED = 2 << 20
 PIECES = 10_000
 #: Bytes of a shard whose suffixes are sorted by themselves.
 SHARD = 128 << 10
+#: Bytes of text that are hashed at once; the work arrays are some eighty times as large.
+SLICE = 512 << 10
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -88,7 +90,7 @@ def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The minimisers of a batch's texts, each once per text."""
-    for part in row_slices(batch, "__text"):
+    for part in row_slices(batch, "__text", SLICE):
         minimiser, row, _, _ = pieces(*byte_view(part.column(part.schema.get_field_index("__text"))))
         order = np.lexsort((minimiser, row))
         minimiser, row = minimiser[order], row[order]
@@ -104,7 +106,7 @@ def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(filter_path)
         for batch in batches:
-            for part in row_slices(batch, "__text"):
+            for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
                 minimiser, row, begin, count = (x[keep] for found in [pieces(data, edges)] for keep in [passed.passes(found[0])] for x in found)
                 doc, tag = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
@@ -124,7 +126,7 @@ def _piece_texts(texts: DataFrame, filter_path: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(filter_path)
         for batch in batches:
-            for part in row_slices(batch, "__text", 4 << 20):
+            for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
                 minimiser, _, begin, count = pieces(data, edges)
                 keep = passed.passes(minimiser)
@@ -320,7 +322,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", par
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "__text"):
+            for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(1))
                 kept, ranges = [], []
                 for row, windows in enumerate(part.column(2).to_pylist()):
