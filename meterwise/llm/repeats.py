@@ -26,7 +26,7 @@ GRAM = 20
 #: Windows of a piece at most; also the number of minimiser candidates of a window.
 REACH = WIDTH - GRAM + 1
 #: Bytes of pieces that are merged in one task, about; a minimiser with more pieces than PIECES is split by its windows.
-MERGED = 2 << 20
+MERGED = 512 << 10
 PIECES = 10_000
 #: Bytes of a shard whose suffixes are sorted by themselves.
 SHARD = 128 << 10
