@@ -50,6 +50,9 @@ RULES = [
     ("cc-by-work", "CC-BY-4.0", ["cc-by-work"]),
     ("rights-reserved", "Proprietary", ["all-rights"]),
 ]
+#: The heading of the usual MIT text. It stands apart from RULES, which the query's SQL is made of, and comes behind "mit-name".
+HEADING = ("mit-heading", "MIT", ["mit-short"])
+_HEADED = [rule for one in RULES for rule in ([one, HEADING] if one[0] == "mit-name" else [one])]
 
 
 def normal(sentence: str) -> str:
@@ -58,21 +61,29 @@ def normal(sentence: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in low).split())
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text in order. A sentence ends at a line break, or after . ! ? before white space or the
-    end, so a sentence that is wrapped over lines is not recognised."""
+def lines(text: Column) -> Column:
+    """A text's lines, normalised, each behind a line break. Line breaks are two after . ! ? before white space, and as many as
+    there are where lines have no letters a-z or digits. Comment marks go with the punctuation; REM and dnl go too."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = F.regexp_replace(low, r"[.!?][ \t\r\n]+|[\r\n]+", "\n")
-    clean = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(clean, "\n"), lambda s: F.trim(s))
+    cut = F.regexp_replace(low, r"[.!?][ \t\r\n]+", "\n\n")
+    clean = F.regexp_replace(cut, r"[^a-z0-9\r\n]+", " ")
+    return F.regexp_replace(clean, r"(?:^ ?| ?(?:\r\n?|\n) ?)(?:(?:dnl|rem)\b ?)?", "\n")
 
 
 def known_sentences(text: Column, known: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences of a text, in order. Null and empty texts have none."""
+    """Identifiers of the known sentences of a text, in order. Null and empty texts have none.
+
+    A sentence begins where a line does or after . ! ? before white space, and ends where a line does or before such a mark, so
+    it may be wrapped over lines in any way and needs no blank line or full stop around it. It does not reach over a full
+    stop or a blank line, but for one before an address, which the Apache header sets off. Where two begin at the same
+    place the longer counts, and what belongs to a found sentence is not read again.
+    """
     by_text = {normal(s): name for name, s in (known or SENTENCES).items()}
+    wrapped = [s.replace(" http ", " (?:\n)?http ").replace(" ", r"[ \n]") for s in sorted(by_text, key=len, reverse=True)]
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    found = F.filter(sentences(F.coalesce(text.cast("string"), F.lit(""))), lambda s: s.isin(list(by_text)))
-    return F.transform(found, lambda s: F.element_at(table, s))
+    pattern = r"(?<=\n)(?:" + "|".join(wrapped) + r")(?=\n| ?\z)"
+    found = F.regexp_extract_all(lines(F.coalesce(text.cast("string"), F.lit(""))), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, r"\n+", " ")))
 
 
 def _pattern(sequence: list[str]) -> str:
@@ -87,7 +98,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[st
     no Python, and long texts and hot sources do not matter. Null and empty texts match nothing; repeated rows each give
     a row.
     """
-    rules = RULES if rules is None else rules
+    rules = _HEADED if rules is None else rules
     ids = F.array_join(F.transform("__found", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     found = docs.select(F.col(id), known_sentences(F.col(text), known).alias("__found")).withColumn("sentence_ids", ids)
     hits = [F.when(F.col("sentence_ids").like(_pattern(sequence)), F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"))) for name, licence, sequence in rules]

@@ -42,3 +42,85 @@ def test_no_documents_and_no_rule(docs):
 def test_known_sentences_are_distinct_and_rules_name_them():
     assert len({licences.normal(s) for s in S.values()}) == len(S)
     assert {name for _, _, sequence in licences.RULES for name in sequence} - {"*"} <= set(S)
+
+
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WRAPPED = {
+    APACHE: ("<apache-under-long><apache-copy><apache-as-is><apache-see>", "apache-header", "Apache-2.0"),
+    MIT: ("<mit-short><mit-grant><mit-notice><mit-as-is>", "mit-text", "MIT"),
+    GPL: ("<gpl-free><gpl-hope><gpl-see>", "gpl3-header", "GPL-3.0-or-later"),
+    BSD: ("<all-rights><bsd-redistribution><bsd-endorse>", "bsd3-text", "BSD-3-Clause"),
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM ", "dnl "])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_wrapped_notices(docs, mark, end):
+    rows = list(enumerate(end.join((mark + line).rstrip() for line in text.split("\n")) for text in WRAPPED))
+    for r in licences.scan(docs(rows)).collect():
+        assert (r.sentence_ids, r.rule, r.licence) == list(WRAPPED.values())[r.doc_id]
+
+
+def test_lines_and_headings(docs):
+    texts = {
+        "MIT License\n\nCopyright (c) 2020 Someone. All rights reserved.": ("<mit-short><all-rights>", "mit-heading"),
+        "Some package\nReleased under the MIT License\nSee its page": ("<mit-released>", "mit-line"),
+        "Licensed under the Apache License, Version 2.0\nCopyright 2020 Someone": ("<apache-under>", "apache-line"),
+        "Released under the\n\nMIT License": ("<mit-short>", "mit-heading"),
+        "Released under the. MIT License": ("<mit-short>", "mit-heading"),
+        "all rights\nreserved": ("<all-rights>", "rights-reserved"),
+        "all rights reserved by us\nor all rights reserved": ("", None),
+    }
+    for r in licences.scan(docs(list(enumerate(texts)))).collect():
+        assert (r.sentence_ids, r.rule) == list(texts.values())[r.doc_id]
