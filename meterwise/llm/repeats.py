@@ -4,7 +4,8 @@ Every window of WIDTH bytes is filed under its minimiser, the smallest hash of G
 any two documents are filed together. Consecutive windows with the same minimiser are one piece of text. Where a minimiser
 has one piece only, all that repeats is that piece as a whole. Where it has several, their windows may be equal in part:
 such pieces are dealt out by minimiser, split into shards, each shard's transform is built, and the transforms are merged by
-iterative interleave refinement, which gives the windows that are equal, without sorting all suffixes together.
+iterative interleave refinement, which gives the windows that are equal, without sorting all suffixes together. Where it has
+more pieces than a task should hold, their windows are compared one by one instead.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WIDTH = 50
 GRAM = 20
 #: Windows of a piece at most; also the number of minimiser candidates of a window.
 REACH = WIDTH - GRAM + 1
-#: Bytes of pieces that are merged in one task, about; a minimiser with more pieces than PIECES is split by its windows.
+#: Bytes of pieces that are merged in one task, about; a minimiser with more pieces than PIECES is judged by its windows.
 MERGED = 512 << 10
 PIECES = 10_000
 #: Bytes of a shard whose suffixes are sorted by themselves.
@@ -120,25 +121,47 @@ def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
     return texts.mapInArrow(find, "minimiser long, piece long, doc long, tag int, at long, n int")
 
 
-def _piece_texts(texts: DataFrame, filter_path: str) -> DataFrame:
-    """``minimiser``, ``piece`` and ``text`` of the pieces whose minimiser passes the filter; a piece comes once per slice of texts."""
+def _held_by(minimiser: np.ndarray, piece: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for a piece in a document."""
+    return mix(minimiser ^ mix(piece ^ mix(doc.astype(np.int64).view(np.uint64) + _A)))
+
+
+def _first_filter(known: DataFrame) -> str:
+    """The filter of pieces in the smallest document that has them."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minimiser, piece, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(_held_by(minimiser.view(np.uint64), piece.view(np.uint64), doc).view(np.int64))], names=["n"])
+
+    return write_filter(known.select("minimiser", "piece", "least").mapInArrow(number, "n long"), "n")
+
+
+def _piece_texts(texts: DataFrame, first_path: str) -> DataFrame:
+    """``minimiser``, ``piece``, ``doc`` and ``text`` of the pieces that pass the filter with their document; a piece comes once per slice
+    of texts and document. As the filter has one document of each piece, what many documents share is not handed on by each
+    of them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed = BitFilter(filter_path)
+        passed = BitFilter(first_path)
         for batch in batches:
             for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
-                minimiser, _, begin, count = pieces(data, edges)
-                keep = passed.passes(minimiser)
-                minimiser, begin, size = minimiser[keep], begin[keep], count[keep] + WIDTH - 1
-                piece, first = np.unique(_hashes(data, begin, size), return_index=True)
+                minimiser, row, begin, count = pieces(data, edges)
+                size = count + WIDTH - 1
+                doc = part.column(0).to_numpy(zero_copy_only=False)[row]
+                piece = _hashes(data, begin, size)
+                number = _held_by(minimiser, piece, doc)
+                keep = np.flatnonzero(passed.passes(number))
+                first = keep[np.unique(number[keep], return_index=True)[1]]
                 raw = data.tobytes()
                 held = [raw[b : b + s] for b, s in zip(begin[first].tolist(), size[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(minimiser[first].view(np.int64)), pa.array(piece.view(np.int64)), pa.array(held, pa.binary())], names=["minimiser", "piece", "text"]
+                    [pa.array(minimiser[first].view(np.int64)), pa.array(piece[first].view(np.int64)), pa.array(doc[first], pa.int64()), pa.array(held, pa.binary())],
+                    names=["minimiser", "piece", "doc", "text"],
                 )
 
-    return texts.mapInArrow(find, "minimiser long, piece long, text binary")
+    return texts.mapInArrow(find, "minimiser long, piece long, doc long, text binary")
 
 
 class Transform:
@@ -238,51 +261,68 @@ def windows_of_smaller(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     return [flat[base[i] : base[i + 1]] for i in range(len(texts))]
 
 
-def _partly_equal(placed: DataFrame, texts: DataFrame, filter_path: str) -> DataFrame:
+def _partly_equal(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """``doc``, ``tag``, ``at``, ``n``: windows of pieces that share their minimiser with other pieces and occur in a smaller document.
 
     ``placed`` has all occurrences of such pieces. A piece is judged once, for the smallest document that has it; in any
-    other document all of it is repeated.
+    other document all of it is repeated. A task that merges has whole minimisers of PIECES pieces at most, a row per piece.
     """
     known = staged(placed.groupBy("minimiser", "piece").agg(F.min("doc").alias("least"), F.min("n").alias("n")), "pieces")
     crowded = known.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > PIECES)
     crowded = staged(crowded.select(F.col("minimiser").alias("__m"), F.lit(True).alias("crowded")), "crowded")
-    total = known.agg(F.sum(F.col("n") + WIDTH - 1).alias("n")).first()["n"] or 0
+    marked = known.join(crowded, F.col("minimiser") == F.col("__m"), "left").select("minimiser", "piece", "least", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    # Which numbers pass a filter wrongly falls out here.
+    held = _piece_texts(texts, _first_filter(known)).withColumnsRenamed({"minimiser": "__m", "piece": "__p"})
+    held = held.join(marked, (F.col("__m") == F.col("minimiser")) & (F.col("__p") == F.col("piece")) & (F.col("doc") == F.col("least")))
+    held = staged(held.select("minimiser", "piece", "least", "crowded", "text"), "held")
+    total = marked.where("not crowded").agg(F.sum(F.col("n") + WIDTH - 1).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // MERGED))
-    # A crowded minimiser's pieces are taken apart into windows, which are dealt out by what they are.
-    held = _piece_texts(texts, filter_path).join(crowded, F.col("minimiser") == F.col("__m"), "left")
-    first = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.length("text") - WIDTH)).otherwise(F.array(F.lit(0))))
-    held = held.withColumn("first", first).withColumn("text", F.when(F.col("crowded"), F.substr(F.col("text"), F.col("first") + 1, F.lit(WIDTH))).otherwise(F.col("text")))
-    spread = F.when(F.col("crowded"), F.xxhash64("minimiser", "text")).otherwise(F.xxhash64("minimiser"))
-    dealt = held.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int")).select("bucket", "minimiser", "piece", "first", "text")
-    # A crowded minimiser's pieces may be asked for in every bucket; there are few such minimisers.
-    every = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).cast("int")))
-    asked = known.join(crowded, F.col("minimiser") == F.col("__m"), "left").withColumn("bucket", F.explode(every)).select("bucket", "minimiser", "piece", "least")
-
-    def judge(found: pd.DataFrame, least: pd.DataFrame) -> pd.DataFrame:
-        # Which minimisers pass the filter wrongly, and copies of a piece from other tasks, fall out here.
-        found = found.drop_duplicates(["minimiser", "piece", "first"]).merge(least, on=["minimiser", "piece"])
+    dealt = held.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).cast("int")).select("bucket", "minimiser", "piece", "least", "text")
+
+    def judge(found: pd.DataFrame) -> pd.DataFrame:
+        # Rows that share the smallest document may each have given the piece.
+        found = found.drop_duplicates(["minimiser", "piece"])
         out = {"minimiser": [], "piece": [], "doc": [], "from": [], "count": []}
-        if len(found):
-            smallest = found.groupby("text", sort=False)["least"].min()
-            marks = dict(zip(smallest.index, windows_of_smaller(list(smallest.index), smallest.to_numpy()), strict=True))
-            for minimiser, piece, doc, begin, text in zip(*(found[c].tolist() for c in ("minimiser", "piece", "least", "first", "text")), strict=True):
-                marked = marks[text] if doc == smallest[text] else np.ones(len(text) - WIDTH + 1, bool)
-                if marked.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]])))
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        for name, value in zip(out, (minimiser, piece, doc, begin + a, b - a), strict=True):
-                            out[name].append(value)
+        smallest = found.groupby("text", sort=False)["least"].min()
+        marks = dict(zip(smallest.index, windows_of_smaller(list(smallest.index), smallest.to_numpy()), strict=True))
+        for minimiser, piece, doc, text in zip(*(found[c].tolist() for c in ("minimiser", "piece", "least", "text")), strict=True):
+            marked = marks[text] if doc == smallest[text] else np.ones(len(text) - WIDTH + 1, bool)
+            if marked.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]])))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    for name, value in zip(out, (minimiser, piece, doc, a, b - a), strict=True):
+                        out[name].append(value)
         return pd.DataFrame(out)
 
-    judged = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(judge, "minimiser long, piece long, doc long, from int, count int")
-    judged = staged(judged, "judged")
+    merged = dealt.groupBy("bucket").applyInPandas(judge, "minimiser long, piece long, doc long, from int, count int")
+    judged = staged(merged.unionByName(_by_windows(held.where("crowded"))), "judged")
     # The one document of a piece may hold it more than once.
     partly = placed.join(judged, ["minimiser", "piece", "doc"]).select("doc", "tag", (F.col("at") + F.col("from")).alias("at"), F.col("count").alias("n"))
     later = placed.join(known.drop("n"), ["minimiser", "piece"]).where("doc > least").select("doc", "tag", "at", "n")
     return partly.unionByName(later)
 
 
+def _by_windows(held: DataFrame) -> DataFrame:
+    """The verdicts on the pieces of crowded minimisers (``minimiser``, ``piece``, ``least``, ``text``): ``minimiser``, ``piece``, ``doc``, ``from``,
+    ``count``.
+
+    The piece at the edge of a passage that many documents share differs in each of them, and they have windows in common. The
+    least document of each window is found by an aggregate, combined before the shuffle, and joined back; windows that one
+    document only has are not. Distinct windows have nothing in common that a transform could find.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.length("text") - WIDTH))
+    windows = held.withColumn("from", at).withColumn("window", F.substr(F.col("text"), F.col("from") + 1, F.lit(WIDTH))).drop("text")
+    least = windows.groupBy("minimiser", "window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last")
+    # Staged, so that both sides of the join are shuffles, which adaptive execution can split.
+    least = staged(least.select(F.col("minimiser").alias("__m"), F.col("window").alias("__w"), "first"), "windows")
+    hit = windows.join(least, (F.col("minimiser") == F.col("__m")) & (F.col("window") == F.col("__w")) & (F.col("least") > F.col("first")))
+    # Consecutive windows of a piece, of which it has REACH at most, become one row.
+    hit = hit.groupBy("minimiser", "piece", F.col("least").alias("doc")).agg(F.collect_set("from").alias("hit"))
+    edges = lambda gap: F.array_sort(F.filter("hit", lambda x: ~F.array_contains("hit", x + gap)))
+    runs = hit.select("minimiser", "piece", "doc", F.explode(F.arrays_zip(edges(-1).alias("a"), edges(1).alias("b"))).alias("run"))
+    return runs.select("minimiser", "piece", "doc", F.col("run.a").alias("from"), (F.col("run.b") - F.col("run.a") + 1).alias("count"))
+
+
 def _tagged(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     """``__doc``, ``__tag``, ``__text`` and more columns. The tag is 0, or a hash of the text where several texts share an id."""
     one = docs.select(F.col(id).cast("long").alias("__doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("__hash"), F.col(text).cast("string").alias("__text"), *more)
@@ -308,7 +348,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", part
     discard(found)
     whole = placed.where("alone").select("doc", "tag", "at", "n")
     several = placed.where("not alone").drop("alone")
-    partly = _partly_equal(several, texts, write_filter(several, "minimiser"))
+    partly = _partly_equal(several, texts)
     spans = whole.unionByName(partly)
     return spans.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "n")).alias("__at"))
 

@@ -84,6 +84,35 @@ def test_crowded_minimisers_are_split_by_window(docs, monkeypatch):
     assert run(docs(rows)) == brute(rows)
 
 
+def test_no_task_has_a_row_per_document(docs, monkeypatch):
+    """A passage that all documents share, with other text around it in each: what a Python task gets does not grow with them."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    monkeypatch.setattr(repeats, "PIECES", 5)
+    monkeypatch.setattr(repeats, "MERGED", 2_000)
+    most = []
+
+    def watched(kind, frames):
+        apply = kind.applyInPandas
+
+        def wrapped(self, func, schema):
+            for frame in frames(self):
+                if "bucket" in frame.columns:
+                    most.append(frame.groupBy("bucket").count().agg({"count": "max"}).first()[0] or 0)
+            return apply(self, func, schema)
+
+        monkeypatch.setattr(kind, "applyInPandas", wrapped)
+
+    watched(PandasGroupedOpsMixin, lambda group: [group._df])
+    watched(PandasCogroupedOps, lambda pair: [pair._gd1._df, pair._gd2._df])
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=140))
+    unlike = lambda: "".join(rng.choices("ijklmnop ", k=90))
+    rows = [(i, unlike() + passage + unlike()) for i in range(150)]
+    assert run(docs(rows)) == brute(rows)
+    assert most and max(most) < 75
+
+
 @pytest.mark.parametrize("shards", [1, 2, 5])
 def test_merged_order_is_the_order_of_suffixes(shards):
     rng = random.Random(shards)
