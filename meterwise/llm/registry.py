@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, repeats, rollups, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, pitman_yor, repeats, rollups, tokens, toxicity, warc
 from meterwise.llm.common import scratch
 
 
@@ -217,6 +217,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents under the averaged seatings, and under counts of single words."""
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_chunks": op1_warc_chunks,
@@ -229,6 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_rollup": op8_token_rollup,
         "op9_licence_scan": op9_licence_scan,
         "op10_toxicity": op10_toxicity,
+        "op11_pitman_yor": op11_pitman_yor,
     }
 
 
