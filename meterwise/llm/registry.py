@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, pitman_yor, repeats, rollups, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, pitman_yor, repeats, rollups, runs, tokens, toxicity, warc
 from meterwise.llm.common import scratch
 
 
@@ -222,6 +222,25 @@ def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, a tenth of which get a repeating tail first, and the digest of what stays without them."""
+    docs = _table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", runs.planted().alias("text")))
+    # The longest run, the earliest of equal ones, then the one of the smallest period.
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.n").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.floor(F.col("top.n") * 1000 / -F.col("top.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_chunks": op1_warc_chunks,
@@ -235,6 +254,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licence_scan": op9_licence_scan,
         "op10_toxicity": op10_toxicity,
         "op11_pitman_yor": op11_pitman_yor,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
