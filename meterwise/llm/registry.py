@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, pitman_yor, repeats, rollups, runs, tokens, toxicity, warc
+from meterwise.llm import decontamination, embeddings, jaccard, licences, mixing, pitman_yor, repeats, rollups, runs, spelling, tokens, toxicity, warc
 from meterwise.llm.common import scratch
 
 
@@ -222,6 +222,11 @@ def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some runs short of a letter, with the near word of largest count and where such words lead."""
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), lose=31))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words in all documents, a tenth of which get a repeating tail first, and the digest of what stays without them."""
     docs = _table(spark, sf_dir, "documents")
@@ -254,6 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licence_scan": op9_licence_scan,
         "op10_toxicity": op10_toxicity,
         "op11_pitman_yor": op11_pitman_yor,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
