@@ -28,18 +28,21 @@ def _time_order(metering: DataFrame) -> list[str]:
     return ["start_time", *rest]
 
 
-def _baseline(window) -> dict[str, Column]:
+def _baseline(window, more: dict[str, Column]) -> dict[str, Column]:
     frame = window.rowsBetween(-K.BASELINE_ROWS, -1)
     return {
+        **{name: total.over(frame) for name, total in more.items()},
         SUM: F.sum("credits_used").over(frame),
         COUNT: F.count("credits_used").over(frame),
         ROWS: F.count(F.lit(1)).over(frame),
     }
 
 
-def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS, more: dict[str, Column] | None = None) -> DataFrame:
     """Add sum, non-null count and row count of ``credits_used`` over the three rows before each row.
 
+    ``more`` names further aggregates of the same three rows.
+
     The frame counts rows, not hours: over a gap it reaches further back. One window per warehouse would put a
     warehouse with a third of all rows into one task, so the window runs per (warehouse, time chunk) instead. It is
     complete for every row but the first three of a chunk. Those get their values from a second window per warehouse
@@ -54,15 +57,17 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS) -> Dat
     in_time = [F.asc_nulls_last(name) for name in _time_order(metering)]
     within = W.partitionBy("warehouse_name", _CHUNK).orderBy(*in_time)
     position = F.row_number().over(within)
-    body = chunked.withColumns({**_baseline(within), _POSITION: position}).filter(F.col(_POSITION) > K.BASELINE_ROWS)
+    more = more or {}
+    body = chunked.withColumns({**_baseline(within, more), _POSITION: position}).filter(F.col(_POSITION) > K.BASELINE_ROWS)
 
     is_last = F.lead(F.lit(1), K.BASELINE_ROWS).over(within).isNull()
     edges = chunked.withColumns({_POSITION: position, _LAST: is_last}).filter(
         (F.col(_POSITION) <= K.BASELINE_ROWS) | F.col(_LAST)
     )
     across = W.partitionBy("warehouse_name").orderBy(*in_time)
-    heads = edges.withColumns(_baseline(across)).filter(F.col(_POSITION) <= K.BASELINE_ROWS)
-    return body.select(*metering.columns, SUM, COUNT, ROWS).unionByName(heads.select(*metering.columns, SUM, COUNT, ROWS))
+    heads = edges.withColumns(_baseline(across, more)).filter(F.col(_POSITION) <= K.BASELINE_ROWS)
+    columns = [*metering.columns, SUM, COUNT, ROWS, *more]
+    return body.select(*columns).unionByName(heads.select(*columns))
 
 
 def fitting_chunk_hours(metering: DataFrame, rows_per_chunk: int = 2_000_000) -> int:

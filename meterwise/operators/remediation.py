@@ -118,7 +118,7 @@ def apply_fixes(state: State, at: Moment) -> State:
 # --- human decisions ----------------------------------------------------------------------------------------------
 
 
-def _accepted(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
+def accepted_requests(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
     """The requests that meet a pending row; of several for one anomaly the first counts, as the rest find none.
 
     A request that names nobody is no decision.
@@ -151,7 +151,12 @@ def approve_fixes(state: State, approvals: DataFrame, at: Moment) -> State:
     Requests without a pending row change nothing. The added audit rows name no warehouse: reports take it from the
     anomaly.
     """
-    accepted = _accepted(state.audit_log, approvals)
+    return carry_out(state, accepted_requests(state.audit_log, approvals), at, highest(state.audit_log, "log_id"))
+
+
+def carry_out(state: State, accepted: DataFrame, at: Moment, after: Column) -> State:
+    """Resolves the accepted anomalies (anomaly_id, approver), closes their pending rows and logs the approvals behind the log id
+    ``after``. ``state`` may be a part of the tables that has all rows of these anomalies."""
     hit = F.col("approver").isNotNull()
     anomalies = (
         state.anomalies.join(accepted, "anomaly_id", "left")
@@ -173,7 +178,7 @@ def approve_fixes(state: State, approvals: DataFrame, at: Moment) -> State:
         F.col("approver").alias("approved_by"),
         F.lit(K.COMPLETED).alias("status"),
     )
-    actions = assign_ids_along(actions, "log_id", "anomaly_id", highest(state.audit_log, "log_id"))
+    actions = assign_ids_along(actions, "log_id", "anomaly_id", after)
     log = _close_pending(state.audit_log, accepted).unionByName(conform(actions, AUDIT_LOG))
     return State(anomalies, log)
 
@@ -200,9 +205,18 @@ def approval_results(audit_log: DataFrame, approvals: DataFrame) -> DataFrame:
 
 def dismiss_fixes(state: State, dismissals: DataFrame) -> State:
     """Dismiss anomalies (anomaly_id, dismissed_by, requested_at) and close their pending rows; nothing is logged."""
-    decided = dismissals.filter(F.col("dismissed_by").isNotNull()).groupBy("anomaly_id").agg(
+    return dismiss_decided(state, decided_dismissals(dismissals))
+
+
+def decided_dismissals(dismissals: DataFrame) -> DataFrame:
+    """Who dismissed each anomaly first; a request that names nobody is no decision."""
+    return dismissals.filter(F.col("dismissed_by").isNotNull()).groupBy("anomaly_id").agg(
         F.min_by("dismissed_by", F.struct("requested_at", "dismissed_by")).alias("approver")
     )
+
+
+def dismiss_decided(state: State, decided: DataFrame) -> State:
+    """``state`` may be a part of the tables that has all rows of the decided anomalies (anomaly_id, approver)."""
     anomalies = (
         state.anomalies.join(decided, "anomaly_id", "left")
         .withColumn("status", F.when(F.col("approver").isNotNull(), K.DISMISSED).otherwise(F.col("status")))

@@ -43,6 +43,13 @@ def scan_rows(new: DataFrame, threshold: Decimal | float, at: Moment, after: Col
     return idle.unionByName(spike)
 
 
+def scan_rows_of(new: DataFrame, at: Moment, lookback_hours: int, after: Column | int = 0) -> DataFrame:
+    """The audit rows of the two scans of the last hours that found the anomalies in ``new``."""
+    idle = D.scan_audit(_kind(new, K.IDLE_COMPUTE), "idle", at=at, parameter=lookback_hours, log_id=after + 1)
+    spike = D.scan_audit(_kind(new, K.COST_SPIKE), "spike", at=at, parameter=K.SPIKE_THRESHOLD, log_id=after + 2)
+    return idle.unionByName(spike)
+
+
 def detect_and_fix(
     metering: DataFrame,
     *,
@@ -120,13 +127,10 @@ def find_new(
 def absorb(state: State, new: DataFrame, *, as_of: Moment, lookback_hours: int = K.LOOKBACK_HOURS) -> State:
     """The state with new anomalies added, the two scans logged and every open anomaly fixed, older ones included."""
     last = highest(state.audit_log, "log_id")
-    idle_row = D.scan_audit(_kind(new, K.IDLE_COMPUTE), "idle", at=as_of, parameter=lookback_hours, log_id=last + 1)
-    spike_row = D.scan_audit(
-        _kind(new, K.COST_SPIKE), "spike", at=as_of, parameter=K.SPIKE_THRESHOLD, log_id=last + 2
-    )
+    scans = scan_rows_of(new, as_of, lookback_hours, last)
     everything = conform(state.anomalies, ANOMALIES).unionByName(new)
     fixes = fix_audit(everything, as_of, last + 2)
-    log = conform(state.audit_log, AUDIT_LOG).unionByName(idle_row).unionByName(spike_row).unionByName(fixes)
+    log = conform(state.audit_log, AUDIT_LOG).unionByName(scans).unionByName(fixes)
     return State(fix_anomalies(everything, as_of), log)
 
 

@@ -647,16 +647,40 @@ def audit_log_of_warehouse(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------------------------
 
 
-def _replay(spark: SparkSession, sf_dir: str, monitor_options: dict) -> HourlyMonitor:
-    """Append the metering table to a folder in three time slices and run the monitor after each, as a scheduler would."""
+def _in_order(rows: DataFrame) -> list[DataFrame]:
+    """The rows in three slices of time."""
+    bounds = [F.lit(end).cast("timestamp") for end in SLICE_ENDS[:-1]]
+    at = F.col("start_time")
+    return [rows.filter(at < bounds[0]), rows.filter((at >= bounds[0]) & (at < bounds[1])), rows.filter(at >= bounds[1])]
+
+
+def _out_of_order(rows: DataFrame) -> list[DataFrame]:
+    """Two slices of time that lack every fifth hour, and then the rows of these hours."""
+    is_held = X.hour_number(F.col("start_time")) % 5 == 2
+    first, *rest = _in_order(rows.filter(~is_held))
+    return [first, rest[0].unionByName(rest[1]), rows.filter(is_held)]
+
+
+def _with_repeats(rows: DataFrame) -> list[DataFrame]:
+    """Three slices of time; the second also repeats the hours of the first that some warehouses had, the third has other rows
+    for hours that had one."""
+    parts = _in_order(rows)
+    again = parts[0].filter(F.col("warehouse_id") % 3 == 0)
+    return [parts[0], parts[1].unionByName(again), parts[2].unionByName(_revised(rows))]
+
+
+def _revised(rows: DataFrame) -> DataFrame:
+    """Idle hours of some warehouses once more, with half a credit more."""
+    more = {c: (F.col(c) + F.lit(0.5).cast("decimal(18,9)")).cast("decimal(18,9)") for c in ("credits_used", "credits_used_cloud_services")}
+    idle = (F.col("credits_used_compute") == 0) & (F.col("credits_used_cloud_services") > 0)
+    return rows.filter(idle & (F.col("warehouse_id") % 5 == 0)).withColumns(more)
+
+
+def _replay(spark: SparkSession, sf_dir: str, monitor_options: dict, slices=_in_order) -> HourlyMonitor:
+    """Append slices of the metering table to a folder and run the monitor after each, as a scheduler would."""
     folder = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
     rows = write_version(derived.metering(spark, sf_dir), folder, "source", 1, ("start_time", "warehouse_name"))
-    start = F.lit(None).cast("timestamp")
-    for end in SLICE_ENDS:
-        part = rows.filter(F.coalesce(F.col("start_time") >= start, F.lit(True)))
-        if end is not None:
-            part = part.filter(F.col("start_time") < F.lit(end).cast("timestamp"))
-            start = F.lit(end).cast("timestamp")
+    for part in slices(rows):
         part.write.mode("append").parquet(f"{folder}/incoming")
         monitor = HourlyMonitor(
             folder,
@@ -696,3 +720,20 @@ def stream_fixes(spark, sf_dir):
 def stream_fixes_audit(spark, sf_dir):
     monitor = _replay(spark, sf_dir, {"fix": True})
     return monitor.audit_log(spark).select("log_id", "logged_at", "action_type", "anomaly_id", "action_details", "status")
+
+
+_JUDGED_COLUMNS = ("warehouse_name", "anomaly_start", "anomaly_type", "severity", "credits_wasted", "description")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Rows out of order: the anomalies that stand in the end are those of a batch job over all rows."""
+    monitor = _replay(spark, sf_dir, {}, _out_of_order)
+    return monitor.anomalies(spark).select(*_JUDGED_COLUMNS)
+
+
+@query
+def stream_repeats(spark, sf_dir):
+    """Rows that are delivered again count once, rows that differ in a value count each; Spark's state store tells them apart."""
+    monitor = _replay(spark, sf_dir, {"kinds": (K.IDLE_COMPUTE,), "repeats_within": "60 days"}, _with_repeats)
+    return monitor.anomalies(spark).select(*_JUDGED_COLUMNS)

@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -10,6 +11,7 @@ from meterwise.plans import jobs
 from meterwise.schemas import METERING
 from meterwise.sources import snapshots
 from meterwise.sources.metering import write_metering
+from meterwise.streaming import hourly
 from meterwise.streaming.hourly import HourlyMonitor, metering_stream
 
 KEY = ("anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "credits_wasted", "status")
@@ -90,6 +92,67 @@ def test_late_rows_are_kept_and_still_judged_as_idle(spark, metering, run):
     assert idle.count() == 0 and spikes.count() == 0
 
 
+JUDGED = ("warehouse_name", "anomaly_start", "anomaly_type", "severity", "credits_wasted", "description")
+
+
+def test_late_rows_give_what_a_batch_job_gives(spark, metering, run):
+    """Rows in random order over four arrivals, with gaps of days, equal times and repeats."""
+    rng = random.Random(4)
+    rows = []
+    for warehouse in "ABCD":
+        at = 0
+        while at < 400:
+            at += rng.choice([0, 1, 1, 2, 5, 30, 90])
+            rows.append(usage(warehouse, at, rng.choice([1, 2, 3, 9, 30]), rng.choice([0, 1])))
+    parts = [[] for _ in range(4)]
+    for row in rows:
+        parts[rng.randrange(4)].append(row)
+    parts[2] += parts[0][:7]
+    for part in parts:
+        monitor = run(part, fix=True)
+    idle, spikes = jobs.detect_all(metering(rows).distinct(), detected_at=AS_OF)
+    assert by(monitor.anomalies(spark), *JUDGED) == by(idle.unionByName(spikes), *JUDGED)
+    assert monitor.withdrawn(spark).count() > 0 and monitor.late_rows(spark).count() > 20
+    ids = [r.anomaly_id for r in monitor.anomalies(spark).collect()]
+    assert len(ids) == len(set(ids))
+    assert monitor.anomalies(spark).filter("status in ('OPEN')").count() == 0
+
+
+def test_a_late_row_withdraws_and_adds(spark, run):
+    """Hour 4 is a spike over 1, 1, 1; the late hour 3 lifts its baseline and is a spike itself."""
+    run([usage("A", h, v) for h, v in ((0, 1), (1, 1), (2, 1), (4, 5))], kinds=(K.COST_SPIKE,))
+    monitor = run([usage("A", 3, 20)], kinds=(K.COST_SPIKE,))
+    assert by(monitor.anomalies(spark), "anomaly_id", "anomaly_start") == [(2, usage("A", 3, 1)[0])]
+    assert by(monitor.withdrawn(spark), "anomaly_id") == [(1,)]
+
+
+def test_a_late_row_reads_only_the_days_around_it(spark, metering, run, monkeypatch):
+    run([usage("A", h, 1) for h in range(24 * 12)], kinds=(K.COST_SPIKE,))
+    asked = []
+    real = hourly.read_days
+
+    def watch(session, path, schema, days=None, before=None):
+        if path.endswith("/rows") and days is not None:
+            asked.append(len(set(days)))
+        return real(session, path, schema, days, before)
+
+    monkeypatch.setattr(hourly, "read_days", watch)
+    run([usage("A", 24 * 5 + 7, 2)], kinds=(K.COST_SPIKE,))
+    assert asked and max(asked) <= 3
+
+
+@pytest.mark.parametrize("within", [None, "30 days"])
+def test_repeats_are_dropped_and_rows_that_differ_are_kept(spark, metering, run, within):
+    idle = [usage("B", h, "0.3", "0.3", D(0)) for h in range(4)]
+    other = usage("B", 1, "0.4", "0.4", D(0))
+    options = dict(kinds=(K.IDLE_COMPUTE,), repeats_within=within)
+    run(idle, **options)
+    monitor = run([*idle[1:3], other], **options)
+    whole, _ = jobs.detect_all(metering([*idle, other]), detected_at=AS_OF)
+    assert by(monitor.anomalies(spark), *JUDGED) == by(whole, *JUDGED)
+    assert monitor.anomalies(spark).count() == 5
+
+
 def test_a_repeated_batch_changes_nothing(spark, metering, run, tmp_path):
     first, second = split(all_rows(), 48)
     run(first, fix=True)
@@ -102,7 +165,7 @@ def test_a_repeated_batch_changes_nothing(spark, metering, run, tmp_path):
 def test_an_empty_trigger_starts_no_batch(spark, run):
     monitor = run([usage("B", 0, "0.3", "0.3", D(0))])
     run([])
-    assert snapshots.committed_versions(spark, monitor.folder, "detected") == [0]
+    assert snapshots.committed_versions(spark, monitor.folder, "carry") == [0]
 
 
 def test_stream_reads_the_table_layout(spark, metering, tmp_path):
