@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterwise.functions import constants as K
 from meterwise.functions import expressions as X
+from meterwise.sources.history import DAY
 
 
 def warehouse_status(warehouses: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def spike_queries(anomalies: DataFrame, history: DataFrame) -> DataFrame:
 
     A window is cut into the hours it touches and joined on (warehouse, hour); a query lies in exactly one hour, so no
     pair comes out twice. The range test is then a residual condition on an equi-join, which the runtime plan may
-    broadcast or split by skew.
+    broadcast or split by skew. Of a history with a day column only the spikes' days are read.
     """
     last_instant = F.col("anomaly_end") - F.expr("interval 1 microsecond")
     touched = F.sequence(X.hour_number(F.col("anomaly_start")), X.hour_number(last_instant))
@@ -116,6 +117,10 @@ def spike_queries(anomalies: DataFrame, history: DataFrame) -> DataFrame:
         )
         .select("anomaly_id", "warehouse_name", "anomaly_start", "anomaly_end", F.explode(touched).alias("_hour"))
     )
+    if DAY in history.columns:
+        # One row per day: what is broadcast grows with the calendar only, and prunes the history's directories at run time.
+        days = spikes.select(F.to_date(F.timestamp_seconds(F.col("_hour") * 3600)).alias("_day")).distinct()
+        history = history.join(F.broadcast(days), F.col(DAY) == F.col("_day"), "left_semi")
     queries = history.select(
         "query_id",
         "warehouse_name",

@@ -798,6 +798,11 @@ FROM audit_log2""",
         ),
     }
     sql["rebuild_after_cycles"] = sql["full_rebuild"]
+    sql["live_cycle_days"] = sql["live_cycle"]
+    sql["approve_fix_days"] = sql["approve_fix_anomalies"]
+    sql["approve_fix_days_audit"] = sql["approve_fix_audit"]
+    sql["dismiss_fix_days"] = sql["dismiss_fix_anomalies"]
+    sql["outbox_second_cycle"] = sql["high_severity_outbox"] + " AND anomaly_start >= TIMESTAMP '2024-01-16'"
     # A scan of the past is the same scan at another time. Only the day's floor differs in the weekly one.
     for name, at in (
         ("metering_scan", AS_OF), ("detect_idle_lookback", AS_OF), ("recent_anomaly_counts", AS_OF), ("cost_attribution", AS_OF),

@@ -31,11 +31,14 @@ from meterwise.operators import (
     summary,
 )
 from meterwise.operators.remediation import State
-from meterwise.plans import jobs
+from meterwise.plans import daily, jobs
+from meterwise.schemas import AUDIT_LOG, conform
 from meterwise.session import shared_folder
 from meterwise.sources import derived
 from meterwise.sources.derived import AS_OF
-from meterwise.sources.metering import live_scan
+from meterwise.sources.history import read_query_history, write_query_history
+from meterwise.sources.marks import read_mark, write_mark
+from meterwise.sources.metering import live_scan, read_metering, write_metering
 from meterwise.sources.snapshots import committed_versions, read_version, write_version
 from meterwise.streaming.hourly import HourlyMonitor, metering_stream
 
@@ -322,9 +325,52 @@ def live_cycle(spark, sf_dir):
     )
 
 
+@query
+def live_cycle_days(spark, sf_dir):
+    """The same cycle on a state that is filed by day: only the days of the scan are read, only those it adds to are written."""
+    root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+    state = _fixed(spark, sf_dir)
+    yesterday = X.moment(AS_OF) - F.expr("interval 24 hours")
+    before = State(
+        state.anomalies.filter(F.col("anomaly_start") < yesterday), state.audit_log.filter(F.col("logged_at") <= yesterday)
+    )
+    daily.begin(before, root)
+    write_metering(derived.metering(spark, sf_dir), f"{root}/metering")
+    return daily.run_cycle(read_metering(spark, f"{root}/metering"), root, as_of=AS_OF).anomalies.select(
+        "anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "status", "resolved_at"
+    )
+
+
 # --- remediation ----------------------------------------------------------------------------------------------
 
 
+def _days_state(spark: SparkSession, sf_dir: str) -> str:
+    """The fixed state, filed by day in a folder of its own."""
+    root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+    daily.begin(_fixed(spark, sf_dir), root)
+    return root
+
+
+@query
+def approve_fix_days(spark, sf_dir):
+    state = _fixed(spark, sf_dir)
+    rows = daily.approve(spark, _days_state(spark, sf_dir), derived.approvals(_pending(state)), AS_OF).anomalies
+    return rows.select("anomaly_id", "warehouse_name", "severity", "status", "resolved_at", "resolved_by")
+
+
+@query
+def approve_fix_days_audit(spark, sf_dir):
+    state = _fixed(spark, sf_dir)
+    return conform(daily.approve(spark, _days_state(spark, sf_dir), derived.approvals(_pending(state)), AS_OF).audit_log, AUDIT_LOG).drop("error_message")
+
+
+@query
+def dismiss_fix_days(spark, sf_dir):
+    state = _fixed(spark, sf_dir)
+    rows = daily.dismiss(spark, _days_state(spark, sf_dir), derived.dismissals(_pending(state))).anomalies
+    return rows.select("anomaly_id", "warehouse_name", "severity", "status", "resolved_at", "resolved_by")
+
+
 @query
 def generate_fixes(spark, sf_dir):
     return remediation.generate_fixes(_detected(spark, sf_dir))
@@ -460,14 +506,23 @@ def recently_approved(spark, sf_dir):
     return operations.recently_approved(state.audit_log, state.anomalies)
 
 
+def _history_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query history as an installation keeps it, a directory per day."""
+    path = f"{_root(spark, sf_dir)}/query_history"
+    if read_mark(spark, f"{path}.json") is None:
+        write_query_history(derived.query_history(spark, sf_dir), path, "overwrite")
+        write_mark(spark, f"{path}.json", {"complete": True})
+    return read_query_history(spark, path)
+
+
 @query
 def spike_query_drilldown(spark, sf_dir):
-    return operations.spike_queries(_fixed(spark, sf_dir).anomalies, derived.query_history(spark, sf_dir))
+    return operations.spike_queries(_fixed(spark, sf_dir).anomalies, _history_by_day(spark, sf_dir))
 
 
 @query
 def spike_query_top(spark, sf_dir):
-    rows = operations.top_spike_queries(_fixed(spark, sf_dir).anomalies, derived.query_history(spark, sf_dir))
+    rows = operations.top_spike_queries(_fixed(spark, sf_dir).anomalies, _history_by_day(spark, sf_dir))
     return rows.select("anomaly_id", "cost_rank", "query_id", "user_name", "credits_used_cloud_services")
 
 
@@ -553,6 +608,16 @@ def high_severity_outbox(spark, sf_dir):
     return alerts.high_severity_outbox(_fixed(spark, sf_dir).anomalies)
 
 
+@query
+def outbox_second_cycle(spark, sf_dir):
+    """What a second run sends, after a first one that knew the first half of the month, and a third over the same state."""
+    root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+    rows = _fixed(spark, sf_dir).anomalies
+    alerts.send_outbox(rows.filter(F.col("anomaly_start") < F.lit(FIRST_RUN_END).cast("timestamp")), root)
+    second = alerts.send_outbox(rows, root)
+    return second.unionByName(alerts.send_outbox(rows, root))
+
+
 # --- intelligence ---------------------------------------------------------------------------------------------
 
 
