@@ -7,7 +7,7 @@ from conftest import AS_OF, by, hour, usage
 from meterwise.operators import attribution, audit, compliance, notifications, operations, remediation, summary
 from meterwise.operators.remediation import State
 from meterwise.session import build_session
-from meterwise.sources.history import scan_query_history
+from meterwise.sources.history import read_query_history, scan_query_history, write_query_history
 
 
 def test_kpis_of_nothing(anomalies):
@@ -226,3 +226,33 @@ def test_score_is_cut_not_rounded(inventory):
 
 def test_session_is_utc(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def metrics_of(frame, name: str) -> list[int]:
+    """The metric's value at each file scan of the executed plan."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and node.metrics().contains(name):
+            found.append(node.metrics().apply(name).value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_the_drilldown_reads_only_the_spikes_days(spark, anomalies, history, tmp_path):
+    rows = [(d * 100 + h, "A", "u", "r", hour(24 * d + h), "0.5") for d in range(10) for h in range(24)]
+    write_query_history(history(rows), str(tmp_path / "h"))
+    table = read_query_history(spark, str(tmp_path / "h"))
+    spikes = anomalies([dict(warehouse_name="A", anomaly_type="COST_SPIKE", anomaly_start=hour(24 * d + 5), anomaly_end=hour(24 * d + 7)) for d in (2, 6)])
+    found = operations.spike_queries(spikes, table)
+    assert by(found, "anomaly_id", "query_id") == [(1, 205), (1, 206), (2, 605), (2, 606)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    scans = metrics_of(found, "numPartitions")
+    assert scans == [2]
