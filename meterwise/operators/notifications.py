@@ -51,10 +51,10 @@ def generate_notifications(audit_log: DataFrame, anomalies: DataFrame, after: Co
 
 
 def notification_feed(
-    notifications: DataFrame, as_of: Moment, notification_type: str | None = None, limit: int = 30
+    notifications: DataFrame, as_of: Moment, notification_type: str | None = None, limit: int = 30, unread: bool = False
 ) -> DataFrame:
-    """The newest notifications with badge and age, optionally of one type."""
-    rows = notifications
+    """The newest notifications with badge and age, optionally of one type or only unread ones."""
+    rows = notifications.filter(~F.col("is_read")) if unread else notifications
     if notification_type is not None:
         rows = rows.filter(F.col("notification_type") == notification_type)
     return (

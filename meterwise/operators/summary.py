@@ -45,6 +45,11 @@ def snapshot_savings(anomalies: DataFrame) -> DataFrame:
         .groupBy(F.to_date("resolved_at").alias("snapshot_date"))
         .agg(F.sum("credits_wasted").alias("credits"))
     )
+    return running_savings(daily)
+
+
+def running_savings(daily: DataFrame) -> DataFrame:
+    """Cumulative dollars from (snapshot_date, credits), one row per day."""
     so_far = F.sum("credits").over(W.orderBy("snapshot_date").rowsBetween(W.unboundedPreceding, 0))
     rows = daily.select("snapshot_date", F.round(X.dollars(so_far), 2).alias("dollar_saved"))
     return conform(rows, SAVINGS_HISTORY)

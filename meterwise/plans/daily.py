@@ -13,27 +13,34 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise.functions import constants as K
 from meterwise.operators import detection as D
+from meterwise.operators.alerts import send_outbox
 from meterwise.operators.baseline import latest_rows
+from meterwise.operators.notifications import generate_notifications
+from meterwise.operators.notifications import mark_read as marked_read
 from meterwise.operators.remediation import State, accepted_requests, carry_out, decided_dismissals, dismiss_decided, fix_anomalies, fix_audit
+from meterwise.operators.summary import running_savings
 from meterwise.plans.jobs import number_anomalies, scan_rows_of
-from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, checked, conform
+from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, NOTIFICATIONS, SAVINGS_HISTORY, checked, conform
 from meterwise.sources.days import DAY, day_of, days_in, read_days, write_days
 from meterwise.sources.marks import read_mark, write_mark
 from meterwise.sources.metering import rows_since
-from meterwise.sources.snapshots import read_version, write_version
+from meterwise.sources.snapshots import committed_versions, read_all_versions, read_version, write_version
 
 
 class Mark(NamedTuple):
-    """How far the state has come: number of jobs, last ids, the job that wrote the carried rows and until when they hold."""
+    """How far the state has come: number of jobs, last ids, the job that wrote the carried rows and until when they hold, and the
+    job that began this state."""
 
     job: int = 0
     anomaly: int = 0
     log: int = 0
     carried_by: int = 0
     carried_until: str | None = None
+    begun: int = 0
 
 
 def mark(spark: SparkSession, root: str) -> Mark:
@@ -56,7 +63,8 @@ def begin(state: State, root: str) -> None:
     """Files a whole state by day, in place of what was there. A reader between the two writes would see a mix, so the mark is
     taken back first and such a reader sees nothing."""
     spark = state.anomalies.sparkSession
-    _commit(spark, root, Mark(job=mark(spark, root).job + 1))
+    job = mark(spark, root).job + 1
+    _commit(spark, root, Mark(job, begun=job))
     last = []
     for rows, name, schema, time, id in (
         (state.anomalies, "anomalies", ANOMALIES, "anomaly_start", "anomaly_id"), (state.audit_log, "audit_log", AUDIT_LOG, "logged_at", "log_id"),
@@ -64,7 +72,8 @@ def begin(state: State, root: str) -> None:
         filed = checked(conform(rows, schema), schema).withColumn(DAY, day_of(time))
         filed.hint("rebalance", F.col(DAY)).write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/{name}")
         last.append(read_days(spark, f"{root}/{name}", schema).agg(F.max(id)).first()[0] or 0)
-    _commit(spark, root, Mark(mark(spark, root).job, *last))
+    _savings_changed(read_days(spark, f"{root}/anomalies", ANOMALIES), None, root, job)
+    _commit(spark, root, Mark(job, *last, begun=job))
 
 
 def _days_between(since: dt.datetime, until: dt.datetime) -> list[dt.date]:
@@ -95,13 +104,15 @@ def run_cycle(metering: DataFrame, root: str, *, as_of: dt.datetime, lookback_ho
     found = write_version(idle.unionByName(spikes), root, "found", now.job + 1)
     new = write_version(checked(number_anomalies(found, now.anomaly), ANOMALIES), root, "detected", now.job + 1)
     count = new.count()
+    fixed = fix_anomalies(new, as_of)
     if count:
+        _savings_changed(fixed, None, root, now.job + 1)
         days = days_in(new.withColumn(DAY, day_of("anomaly_start")))
         held = conform(load(spark, root, anomaly_days=days).anomalies, ANOMALIES)
-        write_days(held.unionByName(fix_anomalies(new, as_of)), f"{root}/anomalies", "anomaly_start")
+        write_days(held.unionByName(fixed), f"{root}/anomalies", "anomaly_start")
     entries = scan_rows_of(new, as_of, lookback_hours, now.log).unionByName(fix_audit(new, as_of, now.log + 2))
     _log(spark, root, entries, [as_of.date()])
-    _commit(spark, root, Mark(now.job + 1, now.anomaly + count, now.log + 2 + count, now.job + 1, since.isoformat()))
+    _commit(spark, root, Mark(now.job + 1, now.anomaly + count, now.log + 2 + count, now.job + 1, since.isoformat(), now.begun))
     return load(spark, root)
 
 
@@ -129,6 +140,7 @@ def approve(spark: SparkSession, root: str, approvals: DataFrame, at: dt.datetim
         part = load(spark, root, days, [*log_days, at.date()])
         part = State(conform(part.anomalies, ANOMALIES), conform(part.audit_log, AUDIT_LOG))
         done = carry_out(part, decided, at, F.lit(now.log))
+        _savings_changed(done.anomalies, part.anomalies, root, now.job + 1)
         write_days(conform(done.anomalies, ANOMALIES), f"{root}/anomalies", "anomaly_start")
         write_days(conform(done.audit_log, AUDIT_LOG), f"{root}/audit_log", "logged_at")
     _commit(spark, root, now._replace(job=now.job + 1, log=now.log + count))
@@ -142,9 +154,97 @@ def dismiss(spark: SparkSession, root: str, dismissals: DataFrame) -> State:
     part = load(spark, root, days, log_days)
     done = dismiss_decided(State(conform(part.anomalies, ANOMALIES), conform(part.audit_log, AUDIT_LOG)), decided)
     if days:
+        _savings_changed(done.anomalies, part.anomalies, root, now.job + 1)
         write_days(conform(done.anomalies, ANOMALIES), f"{root}/anomalies", "anomaly_start")
     if log_days:
         write_days(conform(done.audit_log, AUDIT_LOG), f"{root}/audit_log", "logged_at")
     _commit(spark, root, now._replace(job=now.job + 1))
     return load(spark, root)
 
+
+
+# --- savings, notifications and messages of a state -----------------------------------------------------------------
+
+
+_CHANGE = T.StructType([SAVINGS_HISTORY["snapshot_date"], T.StructField("credits", T.DecimalType(28, 9))])
+
+
+def _saved(anomalies: DataFrame) -> DataFrame:
+    """Credits saved by the day of the resolution."""
+    solved = anomalies.filter((F.col("status") == K.RESOLVED) & F.col("resolved_at").isNotNull())
+    return solved.groupBy(F.to_date("resolved_at").alias("snapshot_date")).agg(F.sum("credits_wasted").alias("credits"))
+
+
+def _savings_changed(after: DataFrame, before: DataFrame | None, root: str, job: int) -> None:
+    """Writes what a job changes: the savings of the anomalies it touches as they are after it, less what they were before. A
+    day that is opened again is corrected by a signed row; no older anomaly is read."""
+    change = _saved(after)
+    if before is not None:
+        change = change.unionByName(_saved(before).withColumn("credits", -F.col("credits")))
+        change = change.groupBy("snapshot_date").agg(F.sum("credits").alias("credits"))
+    write_version(conform(change, _CHANGE), root, "savings", job)
+
+
+def savings_history(spark: SparkSession, root: str) -> DataFrame:
+    """Cumulative dollars saved by day, from the changes that jobs have written: as many rows as days and jobs, however many
+    anomalies there are."""
+    now = mark(spark, root)
+    changes = read_all_versions(spark, root, "savings", _CHANGE, before=now.job + 1, since=now.begun)
+    daily = changes.groupBy("snapshot_date").agg(F.sum("credits").alias("credits")).filter(F.col("credits") != 0)
+    return running_savings(daily)
+
+
+def notify(spark: SparkSession, root: str) -> DataFrame:
+    """The notifications of all entries logged since the last call, added to ``notifications`` (filed by day) and returned.
+
+    The log is read behind the mark ``notifications.json`` only, anomalies only of the days that the entries' anomalies have. A
+    call that died before its mark is repeated by the next: what it wrote has higher ids than the mark and is overwritten.
+    """
+    now = mark(spark, root)
+    done = _notified(spark, root, now)
+    new = load(spark, root).audit_log.filter(F.col("log_id") > done["log"])
+    new = write_version(conform(new, AUDIT_LOG), root, "to_notify", now.job)
+    anomalies = load(spark, root).anomalies.join(new.select("anomaly_id").distinct(), "anomaly_id", "left_semi")
+    made = write_version(generate_notifications(new, anomalies, done["notification"]), root, "notified", now.job)
+    last = made.agg(F.max("notification_id")).first()[0]
+    if last is not None:
+        days = days_in(made.withColumn(DAY, day_of("created_at")))
+        held = read_days(spark, f"{root}/notifications", NOTIFICATIONS, days).filter(F.col("notification_id") <= done["notification"])
+        write_days(conform(held, NOTIFICATIONS).unionByName(made), f"{root}/notifications", "created_at")
+    write_mark(spark, f"{root}/notifications.json", {"begun": now.begun, "log": now.log, "notification": last or done["notification"]})
+    return made
+
+
+def _notified(spark: SparkSession, root: str, now: Mark) -> dict:
+    found = read_mark(spark, f"{root}/notifications.json")
+    return found if found and found["begun"] == now.begun else {"log": 0, "notification": 0}
+
+
+def notifications(spark: SparkSession, root: str, days: list[dt.date] | None = None) -> DataFrame:
+    """All notifications of a state, or those of some days; what is read follows from the marks of :func:`mark_read`."""
+    done = _notified(spark, root, mark(spark, root))
+    rows = read_days(spark, f"{root}/notifications", NOTIFICATIONS, days).filter(F.col("notification_id") <= done["notification"])
+    upto = (read_mark(spark, f"{root}/read.json") or {"upto": 0})["upto"]
+    single = read_all_versions(spark, root, "read", T.StructType([NOTIFICATIONS["notification_id"]]))
+    rows = rows.withColumn("is_read", F.col("is_read") | (F.col("notification_id") <= upto))
+    return marked_read(conform(rows, NOTIFICATIONS), single)
+
+
+def mark_read(spark: SparkSession, root: str, ids: DataFrame | None = None) -> None:
+    """Marks all notifications there are as read, by one number, or those of ``ids`` by a row each. No notification is
+    rewritten."""
+    if ids is None:
+        done = _notified(spark, root, mark(spark, root))
+        write_mark(spark, f"{root}/read.json", {"upto": done["notification"]})
+    else:
+        version = 1 + max(committed_versions(spark, root, "read"), default=0)
+        write_version(ids.select(F.col("notification_id").cast("bigint")), root, "read", version)
+
+
+def run_hour(metering: DataFrame, root: str, *, as_of: dt.datetime, lookback_hours: int = K.LOOKBACK_HOURS) -> State:
+    """The whole hourly chain: scan, log, fix, keep the savings, notify, send. Each step has a mark of its own, so a chain that
+    stopped goes on where it was."""
+    state = run_cycle(metering, root, as_of=as_of, lookback_hours=lookback_hours)
+    notify(metering.sparkSession, root)
+    send_outbox(conform(state.anomalies, ANOMALIES), root)
+    return state

@@ -799,6 +799,37 @@ FROM audit_log2""",
     }
     sql["rebuild_after_cycles"] = sql["full_rebuild"]
     sql["live_cycle_days"] = sql["live_cycle"]
+    sql["notification_feed_unread"] = select([*NOTIFICATIONS, feed("NOT is_read")], FEED_BODY)
+    sql["notifications_mark_one"] = select(
+        NOTIFICATIONS,
+        """SELECT notification_id,
+       is_read OR notification_id = (SELECT min(notification_id) FROM notices WHERE NOT is_read) AS is_read
+FROM notices""",
+    )
+    # Every anomaly has one notification so far, and the last cycle's follow in the order of their ids.
+    last_cycle = f"""last_cycle AS (
+  SELECT l.anomaly_id AS notification_id, {AS_OF} AS created_at, {_KIND} AS notification_type, l.action_details AS message, a.warehouse_name
+  FROM audit_log l JOIN anomalies a USING (anomaly_id)
+  WHERE l.action_type <> 'DETECTION' AND a.anomaly_start >= {AS_OF} - INTERVAL 24 HOUR)"""
+    titles = " ".join(f"WHEN '{kind}' THEN {fill(text, warehouse='warehouse_name')}" for kind, text in W.NOTICE_TITLES.items())
+    sql["cycle_notifications"] = select(
+        [*STATE, last_cycle],
+        f"""SELECT notification_id, {ts('created_at')} AS created_at, notification_type, CASE notification_type {titles} END AS title, message,
+       warehouse_name, false AS is_read
+FROM last_cycle""",
+    )
+    sql["savings_snapshot_day"] = select(
+        [*AFTER, DAILY_SAVINGS.replace("FROM anomalies ", "FROM anomalies2 ")], f"SELECT {SAVINGS_COLUMNS} FROM savings"
+    )
+    # The end of a period decides in which of the two evaluations it was judged.
+    sql["alert_history"] = select(
+        EVALUATION,
+        f"""SELECT alert_id, metric, warehouse_name, {ts('period_start')} AS period_start, {num('value')} AS value,
+       parsed_condition, parsed_threshold,
+       CASE WHEN period_start + CASE metric WHEN 'weekly_spend' THEN INTERVAL 7 DAY WHEN 'credits_per_hour' THEN INTERVAL 1 HOUR
+                 ELSE INTERVAL 1 DAY END <= {MID_MONTH} THEN '2024-01-17 12:00:00' ELSE '2024-01-31 00:00:00' END AS evaluated_at
+FROM triggers""",
+    )
     sql["approve_fix_days"] = sql["approve_fix_anomalies"]
     sql["approve_fix_days_audit"] = sql["approve_fix_audit"]
     sql["dismiss_fix_days"] = sql["dismiss_fix_anomalies"]

@@ -341,6 +341,39 @@ def live_cycle_days(spark, sf_dir):
     )
 
 
+def _hourly_root(spark: SparkSession, sf_dir: str) -> str:
+    """A state filed by day over which the whole chain ran once more: it begins a day before the end and has been notified of."""
+    key = (spark.sparkContext.applicationId, sf_dir, "hourly")
+    if key not in _roots:
+        root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+        state = _fixed(spark, sf_dir)
+        yesterday = X.moment(AS_OF) - F.expr("interval 24 hours")
+        before = State(state.anomalies.filter(F.col("anomaly_start") < yesterday), state.audit_log.filter(F.col("logged_at") <= yesterday))
+        daily.begin(before, root)
+        daily.notify(spark, root)
+        write_metering(derived.metering(spark, sf_dir), f"{root}/metering")
+        daily.run_hour(read_metering(spark, f"{root}/metering"), root, as_of=AS_OF)
+        _roots[key] = root
+    return _roots[key]
+
+
+@query
+def cycle_notifications(spark, sf_dir):
+    """The notifications that the chain's last cycle added."""
+    rows = daily.notifications(spark, _hourly_root(spark, sf_dir), [AS_OF.date()])
+    return rows.filter(F.col("created_at") == X.moment(AS_OF))
+
+
+@query
+def savings_snapshot_day(spark, sf_dir):
+    """Savings by day, kept up by the jobs on a state: its beginning, a cycle, approvals and dismissals."""
+    root = _days_state(spark, sf_dir)
+    pending = _pending(_fixed(spark, sf_dir))
+    daily.approve(spark, root, derived.approvals(pending), AS_OF)
+    daily.dismiss(spark, root, derived.dismissals(pending))
+    return daily.savings_history(spark, root)
+
+
 # --- remediation ----------------------------------------------------------------------------------------------
 
 
@@ -581,6 +614,16 @@ def alert_triggers_new(spark, sf_dir):
     return alerts.alert_triggers(_alert_metrics(spark, sf_dir), _evaluated(spark, sf_dir, MID_MONTH), AS_OF)
 
 
+@query
+def alert_history(spark, sf_dir):
+    """What fired in an evaluation in the middle of the month, in one at its end, and in that one once more."""
+    root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+    metrics, rules = _alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir)
+    for as_of in (MID_MONTH, AS_OF, AS_OF):
+        rules = write_version(alerts.evaluate_and_record(metrics, rules, as_of, root), root, "rules", 1 + len(committed_versions(spark, root, "rules")))
+    return alerts.alert_history(spark, root)
+
+
 @query
 def evaluate_alerts(spark, sf_dir):
     rules = alerts.evaluate_alerts(_alert_metrics(spark, sf_dir), _alert_table(spark, sf_dir), AS_OF)
@@ -687,6 +730,19 @@ def notifications_mark_read(spark, sf_dir):
     return rows.groupBy("notification_type", "is_read").agg(F.count(F.lit(1)).alias("notifications"))
 
 
+@query
+def notification_feed_unread(spark, sf_dir):
+    return notifications.notification_feed(_notifications(spark, sf_dir), AS_OF, unread=True)
+
+
+@query
+def notifications_mark_one(spark, sf_dir):
+    """The oldest unread notification is marked as read."""
+    rows = _notifications(spark, sf_dir)
+    oldest = rows.filter(~F.col("is_read")).agg(F.min("notification_id").alias("notification_id"))
+    return notifications.mark_read(rows, oldest).select("notification_id", "is_read")
+
+
 @query
 def audit_stats(spark, sf_dir):
     return audit.audit_stats(_approved(spark, sf_dir).audit_log)
