@@ -18,8 +18,6 @@ BITS = 20
 FIT_ROWS = 3000
 #: Features that the linear model gets, those with the most weight of evidence in the rows it is fitted on.
 FEATURES = 20_000
-#: Features with a smaller log-count ratio than this say little and are left out.
-RATIO = 0.7
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _MIXER = np.uint32(0x85EBCA6B)
 
@@ -72,7 +70,7 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
     r = log((1 + documents of class 1 with the bucket) / their sum) - the same for class 0. The features with the largest
     |r| * sqrt(documents) are kept. Each is worth r where it is present; a logistic regression with an L2 penalty over
     these scaled features is minimised by accelerated gradient steps. With one class only, or none, all weights are 0 and the
-    score is that class's (or 0).
+    score is that class's (or 0); where no feature is in three rows or tells the classes apart, it is the share of class 1.
     """
     y = np.asarray(labels, float)
     if len(y) == 0 or y.min() == y.max():
@@ -88,9 +86,12 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
     counts += 1
     # Shares of the class's documents: long documents of one class then do not shift every feature.
     ratio = np.log(counts[1] / (y.sum() + 2)) - np.log(counts[0] / ((1 - y).sum() + 2))
-    evidence = np.where((documents >= 3) & (np.abs(ratio) >= RATIO), np.abs(ratio) * np.sqrt(documents), 0)
+    evidence = np.where(documents >= 3, np.abs(ratio) * np.sqrt(documents), 0)
     picked = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
     picked = picked[evidence[picked] > 0]
+    if len(picked) == 0:
+        # Nothing tells the classes apart: every text gets the share of class 1.
+        return picked, np.zeros(0), float(np.log(y.sum() / (1 - y).sum()))
     chosen = np.zeros(1 << BITS, bool)
     chosen[picked] = True
     rows_all, features_all = [], []
