@@ -36,6 +36,18 @@ def discard(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all columns of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
 def utf8(column: Column) -> Column:
     """The text as bytes; null counts as empty."""
     return F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8")

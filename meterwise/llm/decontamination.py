@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, row_slices, staged
+from meterwise.llm.common import byte_view, free_names, row_slices, staged
 from meterwise.llm.words import ALPHANUMERIC, Words
 
 WINDOW = 10
@@ -107,7 +107,7 @@ def contamination(
 ) -> DataFrame:
     """All columns of docs, and ``__words`` (number of words), ``__spans`` (byte ranges of the hit words in the UTF-8 text,
     ``[begin, end)``, neighbours joined), ``__hit`` (number of hit words) and ``__items`` (ids of the items with an
-    occurring window, sorted as strings).
+    occurring window, sorted as strings). Columns of docs with these four names are replaced.
 
     Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. A window never crosses documents. The windows of the
     items are taken in blocks of ``block_bytes``; each block goes to all tasks, and each needs one pass over docs whose
@@ -137,6 +137,9 @@ def contamination(
     return frame
 
 
+_ADDED = ("__words", "__spans", "__hit", "__items")
+
+
 def _pass(block, text: str, columns: list[str]):
     place = {name: columns.index(name) for name in ("__words", "__spans", "__hit", "__items", text)}
 
@@ -179,19 +182,26 @@ def _pass(block, text: str, columns: list[str]):
     return run
 
 
+def _set_aside(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The documents with their columns under names that :func:`contamination` does not use, and what the text is called then."""
+    names = {c: free_names(docs, c)[0] for c in docs.columns if c.lower() in _ADDED}
+    return docs.withColumnsRenamed(names), names.get(text, text)
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """The documents without a hit, with their columns as they were."""
-    return contamination(docs, items, text=text, **names).where("__hit = 0").select(*docs.columns)
+    frame, name = _set_aside(docs, text)
+    return contamination(frame, items, text=name, **names).where("__hit = 0").select(*frame.columns).toDF(*docs.columns)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", **names: str) -> DataFrame:
     """All documents, with the hit words cut out of their texts and each cut closed by one blank."""
-
-    columns = docs.columns
+    frame, name = _set_aside(docs, text)
+    columns = frame.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, where = batch.schema.get_field_index(text), batch.schema.get_field_index("__spans")
+            at, where = batch.schema.get_field_index(name), batch.schema.get_field_index("__spans")
             texts = batch.column(at).to_pylist()
             for row, spans in enumerate(batch.column(where).to_pylist()):
                 if spans:
@@ -204,7 +214,7 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", **names
             arrays = [pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).select(columns)
 
-    return contamination(docs, items, text=text, **names).mapInArrow(cut, docs.schema)
+    return contamination(frame, items, text=name, **names).mapInArrow(cut, frame.schema).toDF(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, discard, row_slices, staged
+from meterwise.llm.common import byte_view, discard, free_names, row_slices, staged
 from meterwise.llm.components import components
 from meterwise.llm.shared import BitFilter, shared_filter
 from meterwise.llm.words import NOT_SPACE, Words, mix
@@ -368,11 +368,12 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     Of rows that share an id one stays. Rows without an id, and texts without words, link with nothing and stay.
     Only the ids that go are joined, and only rows whose id repeats are compared with each other.
     """
+    removed, repeated, count, turn = free_names(docs, "gone", "again", "k", "row")
     members = shingle_components(docs, id, text, shingle, percent)
-    gone = staged(members.where(F.col("component_id") != F.col(id)).select(F.col(id).alias("__gone")).distinct(), "gone")
-    again = docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__again")).agg(F.count(F.lit(1)).alias("__k")).where("__k > 1")
-    again = staged(again.select("__again"), "repeated-ids")
-    kept = docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+    gone = staged(members.where(F.col("component_id") != F.col(id)).select(F.col(id).alias(removed)).distinct(), "gone")
+    again = docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias(repeated)).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1)
+    again = staged(again.select(repeated), "repeated-ids")
+    kept = docs.join(gone, F.col(id) == F.col(removed), "left_anti")
     order = Window.partitionBy(id).orderBy(F.col(text), F.xxhash64(*docs.columns))
-    one = kept.join(again, F.col(id) == F.col("__again"), "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return kept.join(again, F.col(id) == F.col("__again"), "left_anti").unionByName(one.drop("__row"))
+    one = kept.join(again, F.col(id) == F.col(repeated), "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    return kept.join(again, F.col(id) == F.col(repeated), "left_anti").unionByName(one.drop(turn))

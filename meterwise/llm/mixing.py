@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import staged
+from meterwise.llm.common import free_names, staged
 
 #: A mean above this is drawn as a sum of independent parts, so that exp(-mean) stays far from underflow.
 PART = 16.0
@@ -87,21 +87,22 @@ def mix_sources(
     broadcasts them below its threshold, and otherwise joins by source and splits hot ones.
     Null ids are drawn like the id 'null'. No documents give no rows.
     """
+    of, parts, chances, copies = free_names(docs, "source_of_rate", "parts", "chances", "copies")
     rates = staged(repetition_rates(docs, weights, total, source), "rates").select(
-        F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("chances").alias("__chances")
+        F.col("source").alias(of), F.col("parts").alias(parts), F.col("chances").alias(chances)
     )
     kept = docs.drop("copy", "shuffle_key")
     key = F.coalesce(F.col(id).cast("string"), F.lit("null"))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col(parts)),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter("__chances", lambda c: c <= unit(seed, part.cast("string"), key))),
+        lambda n, part: n + F.size(F.filter(chances, lambda c: c <= unit(seed, part.cast("string"), key))),
     )
     drawn = (
-        kept.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__copies", draw)
-        .where("__copies > 0")
-        .select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+        kept.join(rates, F.col(source).eqNullSafe(F.col(of)))
+        .withColumn(copies, draw)
+        .where(F.col(copies) > 0)
+        .select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias("copy"))
     )
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")))
     drawn = drawn.withColumn("shuffle_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))

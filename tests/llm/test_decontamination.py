@@ -75,3 +75,13 @@ def test_nothing_to_compare(spark, docs):
 
 def test_digest_of_no_items(spark):
     assert spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256).alias("s")).first().s == decontamination.items_digest([])
+
+
+def test_columns_of_any_name_are_kept(spark, docs):
+    frame = docs([(1, "keep this short item and that"), (2, "clean")])
+    for name in ("__words", "__spans", "__Hit", "__items"):
+        frame = frame.withColumn(name, F.lit(name))
+    kept = decontamination.without_contaminated(frame, items(spark, ITEMS))
+    assert kept.columns == frame.columns and [tuple(r)[-4:] for r in kept.collect()] == [("__words", "__spans", "__Hit", "__items")]
+    cut = decontamination.without_spans(frame.withColumn("__items", F.col("text")), items(spark, ITEMS), text="__items")
+    assert cut.columns == frame.columns and {r["__items"] for r in cut.collect()} == {"keep this and that", "clean"}

@@ -6,6 +6,8 @@ import random
 import pytest
 from plain import brute_components, docs  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from meterwise.llm import jaccard, registry
 
 
@@ -96,3 +98,15 @@ def test_bounds():
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted((tuple(r) for r in registry.op6_jaccard_join(spark, "/root/testdata/sf0.001").collect()), key=str) == brute_components(rows)
+
+
+def test_representatives_keep_columns_of_any_name(docs):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, long + " x"), (2, "other words that link with nothing at all"), (None, long), (3, None)]
+    frame = docs(rows)
+    for name in ("gone", "again", "row", "k", "__gone", "__again", "__row"):
+        frame = frame.withColumn(name, F.lit(name))
+    kept = jaccard.representatives(frame)
+    assert kept.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    assert kept.where("row = 'row' and k = 'k' and gone = 'gone' and __row = '__row'").count() == 3

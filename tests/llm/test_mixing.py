@@ -59,3 +59,13 @@ def test_no_python_in_the_plan(spark, docs):
     frame = docs([(1, "a", "b")])
     plan = mixing.mix_sources(frame, mixing.root_weights(frame))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_are_kept(spark, docs):
+    frame = docs([(i, "x", "a") for i in range(30)])
+    names = ("__source", "__parts", "__chances", "__copies", "parts", "chances", "copies", "source_of_rate")
+    for name in names:
+        frame = frame.withColumn(name, F.lit(name))
+    got = mixing.mix_sources(frame, weights(spark, [("a", 1.0)]), total=90)
+    assert got.columns == [*frame.columns, "copy", "shuffle_key"]
+    assert got.count() > 30 and all(got.where(F.col(n) != n).count() == 0 for n in names)
