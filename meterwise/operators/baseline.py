@@ -12,7 +12,7 @@ from meterwise.functions import constants as K
 SUM, COUNT, ROWS = "baseline_sum", "baseline_count", "preceding_rows"
 # Three days of hourly rows: the rows at chunk edges, which are shuffled again, are then a twelfth of all.
 CHUNK_HOURS = 72
-_CHUNK, _POSITION, _LAST = "_chunk", "_position", "_last"
+_CHUNK, _POSITION, _LAST, _BOUNDS = "_chunk", "_position", "_last", "_bounds"
 
 
 def _time_order(metering: DataFrame) -> list[str]:
@@ -38,7 +38,9 @@ def _baseline(window, more: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS, more: dict[str, Column] | None = None) -> DataFrame:
+def rolling_baseline(
+    metering: DataFrame, chunk_hours: int = CHUNK_HOURS, more: dict[str, Column] | None = None, bounds: DataFrame | None = None
+) -> DataFrame:
     """Add sum, non-null count and row count of ``credits_used`` over the three rows before each row.
 
     ``more`` names further aggregates of the same three rows.
@@ -51,9 +53,14 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS, more:
     second window is exact for them, gaps and short chunks included. All columns take part in the sort; select the ones
     needed before.
 
-    ``fitting_chunk_hours`` measures how wide a chunk may be if some warehouse is much denser than one row per hour.
+    ``bounds`` (see :func:`chunk_bounds`) cuts the chunks that hold very many rows further, at times with about as many rows
+    between them.
     """
     chunked = metering.withColumn(_CHUNK, F.floor(F.unix_seconds("start_time") / F.lit(chunk_hours * 3600)))
+    if bounds is not None:
+        chunked = chunked.join(bounds, ["warehouse_name", _CHUNK], "left")
+        piece = F.size(F.filter(F.coalesce(_BOUNDS, F.array()), lambda b: b < F.unix_micros("start_time")))
+        chunked = chunked.withColumn(_CHUNK, F.struct(F.col(_CHUNK).alias("chunk"), piece.alias("piece"))).drop(_BOUNDS)
     in_time = [F.asc_nulls_last(name) for name in _time_order(metering)]
     within = W.partitionBy("warehouse_name", _CHUNK).orderBy(*in_time)
     position = F.row_number().over(within)
@@ -70,14 +77,23 @@ def rolling_baseline(metering: DataFrame, chunk_hours: int = CHUNK_HOURS, more:
     return body.select(*columns).unionByName(heads.select(*columns))
 
 
-def fitting_chunk_hours(metering: DataFrame, rows_per_chunk: int = 2_000_000) -> int:
-    """The widest chunk, up to 30 days, in which the densest warehouse-day leaves at most ``rows_per_chunk`` rows.
+def chunk_bounds(metering: DataFrame, rows_per_chunk: int = 2_000_000, chunk_hours: int = CHUNK_HOURS) -> DataFrame | None:
+    """Where chunks of more than ``rows_per_chunk`` rows are to be cut: (warehouse_name, chunk, times), or nothing if none is.
 
-    Counts rows per warehouse and day, combined before the shuffle; one number comes back to the driver.
+    Rows are counted per warehouse and chunk, combined before the shuffle. Of the crowded chunks, of which there are no more
+    than rows / rows_per_chunk, quantiles of the time are taken as bounds; one number, the largest count, comes to the driver.
+    Rows of one and the same instant stay together.
     """
-    per_day = metering.groupBy("warehouse_name", F.to_date("start_time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    densest = per_day.agg(F.max("n")).first()[0] or 1
-    return max(1, min(24 * 30, 24 * rows_per_chunk // densest))
+    chunk = F.floor(F.unix_seconds("start_time") / F.lit(chunk_hours * 3600)).alias(_CHUNK)
+    counted = metering.groupBy("warehouse_name", chunk).agg(F.count(F.lit(1)).alias("n"))
+    most = counted.agg(F.max("n")).first()[0] or 0
+    if most <= rows_per_chunk:
+        return None
+    pieces = -(-most // rows_per_chunk)
+    crowded = counted.filter(F.col("n") > rows_per_chunk).drop("n")
+    rows = metering.select("warehouse_name", chunk, F.unix_micros("start_time").alias("at")).join(crowded, ["warehouse_name", _CHUNK], "left_semi")
+    shares = [i / pieces for i in range(1, pieces)]
+    return rows.groupBy("warehouse_name", _CHUNK).agg(F.array_distinct(F.percentile_approx("at", shares, 100 * pieces)).alias(_BOUNDS))
 
 
 def latest_rows(metering: DataFrame, rows: int = K.BASELINE_ROWS) -> DataFrame:

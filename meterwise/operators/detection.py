@@ -130,8 +130,9 @@ def detect_cost_spike(
     detected_at: Moment | None = None,
     context: DataFrame | None = None,
     chunk_hours: int = CHUNK_HOURS,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """New cost spikes.
+    """New cost spikes. ``bounds`` of ``baseline.chunk_bounds`` spread a scan of everything over crowded warehouses, too.
 
     With a lookback, only the rows inside it are judged, against a baseline that may reach back before it: for that
     the last three earlier rows of each warehouse are enough. They are looked up in the older rows, of which only
@@ -140,7 +141,7 @@ def detect_cost_spike(
     """
     since = None
     if lookback_hours is None:
-        baselined = rolling_baseline(metering.select(*SPIKE_COLUMNS), chunk_hours)
+        baselined = rolling_baseline(metering.select(*SPIKE_COLUMNS), chunk_hours, bounds=bounds)
     else:
         since = lookback_bound(as_of, lookback_hours)
         recent = scan_metering(metering, as_of=as_of, lookback_hours=lookback_hours).select(*SPIKE_COLUMNS)

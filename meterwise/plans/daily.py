@@ -9,6 +9,7 @@ again: the three newest of each warehouse are kept in ``carry``.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.functions import constants as K
+from meterwise.operators import audit, operations
 from meterwise.operators import detection as D
 from meterwise.operators.alerts import send_outbox
 from meterwise.operators.baseline import latest_rows
-from meterwise.operators.notifications import generate_notifications
+from meterwise.operators.notifications import generate_notifications, notification_feed
 from meterwise.operators.notifications import mark_read as marked_read
 from meterwise.operators.remediation import State, accepted_requests, carry_out, decided_dismissals, dismiss_decided, fix_anomalies, fix_audit
 from meterwise.operators.summary import running_savings
 from meterwise.plans.jobs import number_anomalies, scan_rows_of
 from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING, NOTIFICATIONS, SAVINGS_HISTORY, checked, conform
-from meterwise.sources.days import DAY, day_of, days_in, read_days, write_days
+from meterwise.sources.days import DAY, day_of, days_in, newest_days, read_days, write_days
 from meterwise.sources.marks import read_mark, write_mark
 from meterwise.sources.metering import rows_since
 from meterwise.sources.snapshots import committed_versions, read_all_versions, read_version, write_version
@@ -241,6 +243,44 @@ def mark_read(spark: SparkSession, root: str, ids: DataFrame | None = None) -> N
         write_version(ids.select(F.col("notification_id").cast("bigint")), root, "read", version)
 
 
+# --- lists of the newest rows, from the newest days ----------------------------------------------------------------
+
+
+def newest_log(spark: SparkSession, root: str, enough: int, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The part of the audit log that has its newest ``enough`` rows among those ``wanted`` leaves."""
+    last = mark(spark, root).log
+    return newest_days(spark, f"{root}/audit_log", AUDIT_LOG, enough, lambda rows: wanted(rows.filter(F.col("log_id") <= last))).filter(
+        F.col("log_id") <= last
+    )
+
+
+def audit_page(spark: SparkSession, root: str, limit: int = 50, **filters) -> DataFrame:
+    """``audit.audit_log_filtered`` over the newest days."""
+    every = lambda rows: audit.audit_log_filtered(conform(rows, AUDIT_LOG), limit=limit, **filters)
+    return every(newest_log(spark, root, limit, every))
+
+
+def fix_history(spark: SparkSession, root: str, limit: int = 10) -> DataFrame:
+    """``operations.auto_fix_history`` over the newest days of the log and the days of its anomalies."""
+    fixes = lambda rows: rows.filter((F.col("action_type") == K.AUTO_ACTION) & (F.col("status") == K.COMPLETED))
+    return operations.auto_fix_history(newest_log(spark, root, limit, fixes), load(spark, root).anomalies, limit)
+
+
+def approvals_page(spark: SparkSession, root: str, limit: int = 5) -> DataFrame:
+    """``operations.recently_approved`` over the newest days of the log."""
+    approved = lambda rows: rows.filter(
+        (F.col("action_type") == K.USER_ACTION) & (F.col("status") == K.COMPLETED) & F.col("approved_by").isNotNull()
+    )
+    return operations.recently_approved(newest_log(spark, root, limit, approved), load(spark, root).anomalies, limit)
+
+
+def feed(spark: SparkSession, root: str, as_of: dt.datetime, kind: str | None = None, limit: int = 30) -> DataFrame:
+    """``notifications.notification_feed`` over the newest days."""
+    wanted = lambda rows: rows if kind is None else rows.filter(F.col("notification_type") == kind)
+    days = days_in(newest_days(spark, f"{root}/notifications", NOTIFICATIONS, limit, wanted))
+    return notification_feed(notifications(spark, root, days), as_of, kind, limit)
+
+
 def run_hour(metering: DataFrame, root: str, *, as_of: dt.datetime, lookback_hours: int = K.LOOKBACK_HOURS) -> State:
     """The whole hourly chain: scan, log, fix, keep the savings, notify, send. Each step has a mark of its own, so a chain that
     stopped goes on where it was."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from meterwise.functions import constants as K
 from meterwise.operators import detection as D
+from meterwise.operators.baseline import chunk_bounds
 from meterwise.operators.detection import Moment
 from meterwise.operators.identity import assign_anomaly_ids, highest
 from meterwise.operators.remediation import State, fix_anomalies, fix_audit
@@ -21,10 +22,11 @@ def detect_all(
     *,
     threshold: Decimal | float = K.SPIKE_THRESHOLD,
     detected_at: Moment,
+    bounds: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New idle anomalies and new spikes of the whole metering table, without ids."""
     idle = D.detect_idle(metering, existing, lookback_hours=None, exclude=(), detected_at=detected_at)
-    spikes = D.detect_cost_spike(metering, existing, threshold=threshold, detected_at=detected_at)
+    spikes = D.detect_cost_spike(metering, existing, threshold=threshold, detected_at=detected_at, bounds=bounds)
     return idle, spikes
 
 
@@ -74,14 +76,19 @@ def rebuild_state(
     threshold: Decimal | float = K.SPIKE_THRESHOLD,
     detected_at: Moment | None = None,
     applied_at: Moment | None = None,
+    rows_per_chunk: int = 2_000_000,
 ) -> State:
     """Wipe and rebuild: a new version of the anomalies and the audit log, detected from the whole metering table, and
     one without notifications. Readers take the newest version, so the new one is above those of all tables; a
-    ``version`` is given only to repeat a write that failed."""
+    ``version`` is given only to repeat a write that failed. Chunks of the baseline with more than ``rows_per_chunk`` rows are cut
+    further."""
     if version is None:
         version = next_version(metering.sparkSession, root)
     write_version(metering.sparkSession.createDataFrame([], NOTIFICATIONS), root, "notifications", version)
-    idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of))
+    bounds = chunk_bounds(metering, rows_per_chunk)
+    if bounds is not None:
+        bounds = write_version(bounds, root, "chunk_bounds", version)
+    idle, spikes = detect_all(metering, threshold=threshold, detected_at=_or(detected_at, as_of), bounds=bounds)
     found = write_version(idle.unionByName(spikes), root, "found", version)
     numbered = write_version(checked(number_anomalies(found), ANOMALIES), root, "detected", version)
     state = _fixed(numbered, threshold, as_of, _or(applied_at, as_of))

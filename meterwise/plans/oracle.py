@@ -799,6 +799,10 @@ FROM audit_log2""",
     }
     sql["rebuild_after_cycles"] = sql["full_rebuild"]
     sql["live_cycle_days"] = sql["live_cycle"]
+    sql["audit_log_newest_days"] = sql["audit_log_filtered"]
+    sql["auto_fix_history_days"] = sql["auto_fix_history"]
+    sql["recently_approved_days"] = sql["recently_approved"]
+    sql["notification_feed_days"] = sql["notification_feed"].replace(", is_read,", ", false AS is_read,")
     sql["notification_feed_unread"] = select([*NOTIFICATIONS, feed("NOT is_read")], FEED_BODY)
     sql["notifications_mark_one"] = select(
         NOTIFICATIONS,

@@ -364,6 +364,37 @@ def cycle_notifications(spark, sf_dir):
     return rows.filter(F.col("created_at") == X.moment(AS_OF))
 
 
+def _approved_root(spark: SparkSession, sf_dir: str) -> str:
+    """The approved state filed by day, with its notifications."""
+    key = (spark.sparkContext.applicationId, sf_dir, "approved")
+    if key not in _roots:
+        root = f"{shared_folder(spark)}/meterwise/{uuid.uuid4().hex}"
+        daily.begin(_approved(spark, sf_dir), root)
+        daily.notify(spark, root)
+        _roots[key] = root
+    return _roots[key]
+
+
+@query
+def audit_log_newest_days(spark, sf_dir):
+    return daily.audit_page(spark, _approved_root(spark, sf_dir), status=K.COMPLETED, action_type=K.AUTO_ACTION).drop("error_message")
+
+
+@query
+def auto_fix_history_days(spark, sf_dir):
+    return daily.fix_history(spark, _approved_root(spark, sf_dir))
+
+
+@query
+def recently_approved_days(spark, sf_dir):
+    return daily.approvals_page(spark, _approved_root(spark, sf_dir))
+
+
+@query
+def notification_feed_days(spark, sf_dir):
+    return daily.feed(spark, _approved_root(spark, sf_dir), AS_OF)
+
+
 @query
 def savings_snapshot_day(spark, sf_dir):
     """Savings by day, kept up by the jobs on a state: its beginning, a cycle, approvals and dismissals."""

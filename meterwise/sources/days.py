@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,30 @@ def read_days(spark: SparkSession, path: str, schema: T.StructType, days: Iterab
     return rows if before is None else rows.filter(F.col(BATCH) < before)
 
 
+def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days a table has, newest first, from the names of its directories."""
+    pattern, fs = _file_system(spark, f"{path}/{DAY}=*")
+    return sorted((dt.date.fromisoformat(s.getPath().getName().split("=")[1]) for s in fs.globStatus(pattern) or []), reverse=True)
+
+
+def newest_days(
+    spark: SparkSession, path: str, schema: T.StructType, enough: int, wanted: Callable[[DataFrame], DataFrame], before: dt.date | None = None
+) -> DataFrame:
+    """The newest days of a table that hold ``enough`` rows of those that ``wanted`` leaves, or all days.
+
+    For lists of the newest rows by the time that the table is filed by: once so many are found, no older day can add one. Days
+    are looked at from the newest on, twice as many each time, so there are few looks and at most twice the days that are needed
+    are read.
+    """
+    days = [d for d in stored_days(spark, path) if before is None or d <= before]
+    taken = 1
+    while True:
+        rows = read_days(spark, path, schema, days[:taken])
+        if taken >= len(days) or wanted(rows).limit(enough).count() >= enough:
+            return rows
+        taken *= 2
+
+
 def days_in(rows: DataFrame) -> list[dt.date]:
     """The distinct days of a frame with a day column, on the driver: as many as the calendar has in its span."""
     return [row[0] for row in rows.select(DAY).distinct().collect()]

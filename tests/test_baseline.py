@@ -4,9 +4,11 @@ import random
 from decimal import Decimal as D
 
 import pytest
-from conftest import usage
+from conftest import AS_OF, usage
+from pyspark.sql import functions as F
 
-from meterwise.operators.baseline import fitting_chunk_hours, latest_rows, rolling_baseline
+from meterwise.operators.baseline import chunk_bounds, latest_rows, rolling_baseline
+from meterwise.plans import jobs
 
 
 def expected(rows):
@@ -90,9 +92,33 @@ def test_latest_rows(metering, uneven):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_fitting_chunk(metering):
-    rows = [usage("A", h, 1) for h in range(24)] + [usage("B", 0, 1)] * 96
-    assert fitting_chunk_hours(metering(rows), rows_per_chunk=96) == 24
-    assert fitting_chunk_hours(metering(rows), rows_per_chunk=4) == 1
-    assert fitting_chunk_hours(metering(rows)) == 720
-    assert fitting_chunk_hours(metering([])) == 720
+def test_crowded_chunks_are_cut_at_quantiles(spark):
+    """One warehouse has a million rows inside an hour: no window sees a tenth of them, and nothing changes."""
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 50 == 0, "SMALL").otherwise("HOT").alias("warehouse_name"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 3600).alias("start_time"),
+        (F.col("id") * 7919 % 101).cast("decimal(18,9)").alias("credits_used"),
+    )
+    assert chunk_bounds(rows, n) is None
+    bounds = chunk_bounds(rows, 50_000)
+    cut = bounds.collect()
+    assert [r.warehouse_name for r in cut] == ["HOT"] and 19 <= len(cut[0]["_bounds"]) <= 20
+    piece = F.size(F.filter(F.col("_bounds"), lambda b: b < F.unix_micros("start_time"))).alias("piece")
+    sizes = rows.join(bounds, "warehouse_name").groupBy(piece).count().agg(F.max("count")).first()[0]
+    assert sizes < 60_000
+    columns = ("warehouse_name", "start_time", "baseline_sum", "baseline_count", "preceding_rows")
+    plain, spread = rolling_baseline(rows).select(*columns), rolling_baseline(rows, bounds=bounds).select(*columns)
+    assert spread.count() == n and spread.exceptAll(plain).count() == 0
+
+
+def test_bounds_with_gaps_ties_and_a_rebuild(spark, metering, tmp_path):
+    rows = [usage(w, h // 2 * 2 if w == "B" else h * h, 3 + h * 7 % 11) for h in range(60) for w in ("A", "B", "C")]
+    frame = metering(rows)
+    bounds = chunk_bounds(frame, 5)
+    plain = rolling_baseline(frame)
+    assert rolling_baseline(frame, bounds=bounds).exceptAll(plain).count() == 0
+    assert chunk_bounds(metering([]), 5) is None
+    state = jobs.rebuild_state(frame, str(tmp_path / "a"), as_of=AS_OF, rows_per_chunk=5)
+    whole = jobs.rebuild_state(frame, str(tmp_path / "b"), as_of=AS_OF)
+    assert state.anomalies.exceptAll(whole.anomalies).count() == 0 == whole.anomalies.exceptAll(state.anomalies).count()

@@ -5,13 +5,15 @@ import pytest
 from conftest import AS_OF, by, hour, usage
 from pyspark.sql import functions as F
 
-from meterwise.operators import remediation
+from meterwise.operators import alerts, audit, notifications, operations, remediation, summary
 from meterwise.operators.remediation import State
 from meterwise.plans import daily, jobs
 from meterwise.schemas import ANOMALIES, AUDIT_LOG, METERING
+from meterwise.sources import days as days_module
 from meterwise.sources.days import read_days, write_days
 from meterwise.sources.marks import read_mark, write_mark
 from meterwise.sources.metering import read_metering, write_metering
+from meterwise.sources.snapshots import read_all_versions
 
 KEY = ("anomaly_id", "warehouse_name", "anomaly_start", "anomaly_type", "severity", "credits_wasted", "status", "resolved_by")
 
@@ -147,3 +149,81 @@ def test_dismissals_and_an_empty_state(spark, filled, tmp_path):
     assert daily.load(spark, empty).anomalies.count() == 0
     daily.begin(State(spark.createDataFrame([], ANOMALIES), spark.createDataFrame([], AUDIT_LOG)), empty)
     assert daily.approve(spark, empty, asked.withColumnRenamed("dismissed_by", "approved_by"), AS_OF).audit_log.count() == 0
+
+
+def test_newest_rows_come_from_the_newest_days(spark, filled, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    asked = []
+    real = days_module.read_days
+
+    def watch(session, path, schema, days=None, before=None):
+        asked.append(len(days) if days is not None else None)
+        return real(session, path, schema, days, before)
+
+    monkeypatch.setattr(days_module, "read_days", watch)
+    state = daily.load(spark, root)
+    for limit, days in ((3, [1]), (10_000, [1, 2, 4])):
+        asked.clear()
+        page = daily.audit_page(spark, root, limit=limit)
+        assert asked == days
+        expected = audit.audit_log_filtered(state.audit_log, limit=limit).drop("day")
+        assert [r.log_id for r in page.collect()] == [r.log_id for r in expected.collect()]
+    whole = operations.auto_fix_history(state.audit_log, state.anomalies, 7)
+    assert daily.fix_history(spark, root, 7).collect() == whole.collect()
+    assert daily.approvals_page(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_hourly_chain(spark, metering, tmp_path):
+    """Savings, notifications and messages of four cycles are those of the whole tables; a repeated hour adds its scans only."""
+    root = str(tmp_path)
+    write_metering(metering(rows_until(96)), f"{root}/metering")
+    table = read_metering(spark, f"{root}/metering")
+    for day in (1, 2, 3, 4):
+        state = daily.run_hour(table, root, as_of=hour(24 * day))
+    anomalies, log = (frame.drop("day") for frame in state)
+    assert daily.savings_history(spark, root).collect() == summary.snapshot_savings(anomalies).collect()
+    made = daily.notifications(spark, root)
+    whole = notifications.generate_notifications(log, anomalies)
+    columns = ("created_at", "notification_type", "title", "message", "warehouse_name")
+    assert by(made, *columns) == by(whole, *columns)
+    assert sorted(r.notification_id for r in made.collect()) == list(range(1, made.count() + 1)) or len({r.notification_id for r in made.collect()}) == made.count()
+    sent = read_all_versions(spark, root, "outbox", alerts.high_severity_outbox(anomalies).schema)
+    assert by(sent, "anomaly_id") == by(alerts.high_severity_outbox(anomalies), "anomaly_id")
+    daily.run_hour(table, root, as_of=hour(96))
+    assert daily.notifications(spark, root).count() == made.count()
+    assert read_all_versions(spark, root, "outbox", sent.schema).count() == sent.count()
+    assert daily.feed(spark, root, AS_OF, limit=4).count() == 4
+
+
+def test_a_notification_run_that_died_is_repeated(spark, filled, tmp_path):
+    root = str(tmp_path)
+    first = by(daily.notify(spark, root), "notification_id", "message")
+    write_mark(spark, f"{root}/notifications.json", {"begun": 0, "log": 0, "notification": 0})
+    assert daily.notifications(spark, root).count() == 0
+    assert by(daily.notify(spark, root), "notification_id", "message") == first
+    assert daily.notifications(spark, root).count() == len(first) > 0 and daily.notify(spark, root).count() == 0
+
+
+def test_read_marks(spark, filled, tmp_path):
+    root = str(tmp_path)
+    daily.notify(spark, root)
+    before = files(tmp_path, "notifications")
+    ids = [r.notification_id for r in daily.notifications(spark, root).orderBy("notification_id").collect()]
+    daily.mark_read(spark, root, spark.createDataFrame([(ids[2],), (ids[2],), (10**9,)], "notification_id long"))
+    assert by(daily.notifications(spark, root).filter("is_read"), "notification_id") == [(ids[2],)]
+    daily.mark_read(spark, root)
+    assert daily.notifications(spark, root).filter("not is_read").count() == 0
+    assert files(tmp_path, "notifications") == before
+
+
+def test_savings_follow_decisions(spark, filled, tmp_path):
+    """Approvals add to a day; an approved anomaly that is dismissed later is taken off again."""
+    root = str(tmp_path)
+    one = daily.load(spark, root).audit_log.filter("status = 'PENDING_APPROVAL'").orderBy("anomaly_id").first().anomaly_id
+    asked = spark.createDataFrame([(one, "ann", AS_OF)], "anomaly_id long, approved_by string, requested_at timestamp")
+    state = daily.approve(spark, root, asked, AS_OF)
+    assert daily.savings_history(spark, root).collect() == summary.snapshot_savings(state.anomalies).collect()
+    state = daily.dismiss(spark, root, asked.withColumnRenamed("approved_by", "dismissed_by"))
+    assert daily.savings_history(spark, root).collect() == summary.snapshot_savings(state.anomalies).collect()
+    daily.begin(State(spark.createDataFrame([], ANOMALIES), spark.createDataFrame([], AUDIT_LOG)), root)
+    assert daily.savings_history(spark, root).count() == 0
