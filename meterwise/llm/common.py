@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -36,6 +37,14 @@ def discard(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_names(frame: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as make it differ from all columns of the frame."""
     taken = {c.lower() for c in frame.columns}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import row_slices, staged
+from meterwise.llm.common import release, row_slices, staged
 
 GRAMS = (3, 4, 5)
 BITS = 20
@@ -94,13 +94,26 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
         return picked, np.zeros(0), float(np.log(y.sum() / (1 - y).sum()))
     chosen = np.zeros(1 << BITS, bool)
     chosen[picked] = True
-    rows_all, features_all = [], []
+    # Features of row after row, and how many each row has.
+    taken, lengths = [], np.zeros(len(y), np.int64)
     for begin, part in _chunks(texts):
         rows, buckets = present(part, chosen)
-        rows_all.append(begin + rows)
-        features_all.append(np.searchsorted(picked, buckets))
-    rows, features = np.concatenate(rows_all), np.concatenate(features_all)
-    value = ratio[picked][features]
+        lengths[begin : begin + len(part)] = np.bincount(rows, minlength=len(part))
+        taken.append(np.searchsorted(picked, buckets).astype(np.int32))
+    features, ratio = np.concatenate(taken), ratio[picked]
+    full = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[full]
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of its features' scaled weights."""
+        made = np.zeros(len(y))
+        made[full] = np.add.reduceat((ratio * weights)[features], starts)
+        return made
+
+    def back(values: np.ndarray) -> np.ndarray:
+        """Of each feature, the scaled sum of its rows' values."""
+        return np.bincount(features, np.repeat(values, lengths), len(picked)) * ratio
+
     n = len(y)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     penalty = 1e-4
@@ -108,19 +121,18 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
     v = np.ones(len(picked))
     for _ in range(12):
         v /= np.linalg.norm(v) + 1e-12
-        u = np.bincount(rows, value * v[features], n)
-        v = np.bincount(features, value * (share * u)[rows], len(picked))
+        v = back(share * sums(v))
     step = 1 / (0.3 * np.linalg.norm(v) + 0.3 + penalty)
     w, b, w_old, b_old = np.zeros(len(picked)), 0.0, np.zeros(len(picked)), 0.0
     for t in range(300):
         m = t / (t + 3)
         wy, by = w + m * (w - w_old), b + m * (b - b_old)
-        z = np.bincount(rows, value * wy[features], n) + by
+        z = sums(wy) + by
         g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         w_old, b_old = w, b
-        w = wy - step * (np.bincount(features, value * g[rows], len(picked)) + penalty * wy)
+        w = wy - step * (back(g) + penalty * wy)
         b = by - step * g.sum()
-    return picked, w * ratio[picked], float(b)
+    return picked, w * ratio, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -140,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__id")
         buckets, weights, intercept = fit(list(frame["__text"]), list(frame["__y"]))
+        release()
         return pd.DataFrame({"buckets": [buckets], "weights": [weights], "intercept": [intercept]})
 
     schema = "buckets array<long>, weights array<double>, intercept double"
