@@ -14,7 +14,7 @@ MID_MONTH = "TIMESTAMP '2024-01-17 12:00:00'"
 
 
 def num(value: str) -> str:
-    return f"CAST(ROUND({value}, 6) AS DOUBLE)"
+    return f"CAST(ROUND({value}, 9) AS DOUBLE)"
 
 
 def big(value: str) -> str:
@@ -438,7 +438,7 @@ FROM metering WHERE start_time >= {AS_OF} - INTERVAL 24 HOUR AND start_time < {A
             [USAGE, METERING, BASELINE],
             f"""SELECT warehouse_name, {ts('start_time')} AS start_time, {num(dec('used_u', 4, 9))} AS credits_used,
        {num(dec('s', 4, 9))} AS baseline_sum, n AS baseline_count, n AS preceding_rows,
-       {num(dec(half_up('s * 100', 'n'), 6))} AS rolling_average
+       {num(dec(half_up('s * 100000', 'n'), 9))} AS rolling_average
 FROM baseline""",
         ),
         "detect_cost_spike": select(spike_base, f"SELECT {FOUND_COLUMNS} FROM spike"),

@@ -53,12 +53,12 @@ _roots: dict[tuple[str, str], str] = {}
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Values another engine can be compared on: decimals as doubles of six digits, times as text."""
+    """Values another engine can be compared on: decimals as doubles of nine digits, times as text."""
 
     def shown(field: T.StructField):
         column = F.col(field.name)
         if isinstance(field.dataType, T.DecimalType):
-            column = F.round(column, 6).cast("double")
+            column = F.round(column, 9).cast("double")
         elif isinstance(field.dataType, T.TimestampType):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(field.dataType, T.DateType):
