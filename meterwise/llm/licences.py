@@ -27,12 +27,42 @@ SENTENCES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "cc-by": "Licensed under CC BY 4.0",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa": "Licensed under CC BY-SA 4.0",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc0-waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "isc-line": "Released under the ISC License",
+    "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
     "all-rights": "All rights reserved",
 }
+#: Identifiers that a line "SPDX-License-Identifier: ..." may have.
+SPDX = (
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Unlicense", "BSL-1.0", "Zlib", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+SENTENCES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in SPDX}
 
 #: Rules in order, the more telling first: name, licence, and the sentences that must follow one another among the known
 #: sentences of a text, "*" standing for any number of others.
 RULES = [
+    *((f"spdx-{name.lower()}-line", name, [f"spdx-{name.lower()}"]) for name in SPDX),
     ("apache-header", "Apache-2.0", ["apache-under-long", "apache-copy", "apache-as-is", "apache-see"]),
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("gpl3-header", "GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
@@ -43,16 +73,34 @@ RULES = [
     ("mit-part", "MIT", ["mit-grant"]),
     ("mit-line", "MIT", ["mit-released"]),
     ("mit-name", "MIT", ["mit-title"]),
+    ("mit-heading", "MIT", ["mit-short"]),
     ("gpl3-part", "GPL-3.0-or-later", ["gpl-free"]),
     ("gpl3-line", "GPL-3.0", ["gpl3-work"]),
+    ("gpl2-header", "GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
+    ("gpl2-part", "GPL-2.0-or-later", ["gpl2-free"]),
+    ("lgpl21-part", "LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("lgpl3-part", "LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("agpl3-part", "AGPL-3.0-or-later", ["agpl3-free"]),
+    ("mpl2-header", "MPL-2.0", ["mpl-form", "*", "mpl-copy"]),
+    ("mpl2-part", "MPL-2.0", ["mpl-form"]),
+    ("isc-text", "ISC", ["isc-grant"]),
+    ("isc-line", "ISC", ["isc-line"]),
+    ("unlicense-text", "Unlicense", ["unlicense"]),
+    ("boost-line", "BSL-1.0", ["boost-line"]),
+    ("epl2-terms", "EPL-2.0", ["epl2-terms"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "*", "zlib-grant"]),
+    ("cc0-line", "CC0-1.0", ["cc0-waived"]),
     ("cc-by-nc-line", "CC-BY-NC-4.0", ["cc-by-nc"]),
+    ("cc-by-nc-sa-work", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-work"]),
+    ("cc-by-nc-work", "CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("cc-by-nd-work", "CC-BY-ND-4.0", ["cc-by-nd-work"]),
+    ("cc-by-sa-line", "CC-BY-SA-4.0", ["cc-by-sa"]),
+    ("cc-by-sa-work", "CC-BY-SA-4.0", ["cc-by-sa-work"]),
     ("cc-by-line", "CC-BY-4.0", ["cc-by"]),
     ("cc-by-work", "CC-BY-4.0", ["cc-by-work"]),
+    ("bsd-line", "BSD-3-Clause", ["bsd-line"]),
     ("rights-reserved", "Proprietary", ["all-rights"]),
 ]
-#: The heading of the usual MIT text. It stands apart from RULES, which the query's SQL is made of, and comes behind "mit-name".
-HEADING = ("mit-heading", "MIT", ["mit-short"])
-_HEADED = [rule for one in RULES for rule in ([one, HEADING] if one[0] == "mit-name" else [one])]
 
 
 def normal(sentence: str) -> str:
@@ -70,6 +118,10 @@ def lines(text: Column) -> Column:
     return F.regexp_replace(clean, r"(?:^ ?| ?(?:\r\n?|\n) ?)(?:(?:dnl|rem)\b ?)?", "\n")
 
 
+def longest_first(sentences: dict[str, str]) -> list[str]:
+    return sorted(sentences, key=lambda s: (-len(s), s))
+
+
 def known_sentences(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order. Null and empty texts have none.
 
@@ -79,7 +131,7 @@ def known_sentences(text: Column, known: dict[str, str] | None = None) -> Column
     place the longer counts, and what belongs to a found sentence is not read again.
     """
     by_text = {normal(s): name for name, s in (known or SENTENCES).items()}
-    wrapped = [s.replace(" http ", " (?:\n)?http ").replace(" ", r"[ \n]") for s in sorted(by_text, key=len, reverse=True)]
+    wrapped = [s.replace(" http ", " (?:\n)?http ").replace(" ", r"[ \n]") for s in longest_first(by_text)]
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
     pattern = r"(?<=\n)(?:" + "|".join(wrapped) + r")(?=\n| ?\z)"
     found = F.regexp_extract_all(lines(F.coalesce(text.cast("string"), F.lit(""))), F.lit(pattern), F.lit(0))
@@ -98,7 +150,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[st
     no Python, and long texts and hot sources do not matter. Null and empty texts match nothing; repeated rows each give
     a row.
     """
-    rules = _HEADED if rules is None else rules
+    rules = RULES if rules is None else rules
     ids = F.array_join(F.transform("__found", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     found = docs.select(F.col(id), known_sentences(F.col(text), known).alias("__found")).withColumn("sentence_ids", ids)
     hits = [F.when(F.col("sentence_ids").like(_pattern(sequence)), F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"))) for name, licence, sequence in rules]

@@ -177,32 +177,39 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
+    """The same steps in another engine's patterns, which look neither back nor ahead: line breaks are doubled, so that each
+    sentence takes one on either side and leaves one to its neighbour."""
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(licences.normal(s))}, {quoted(name)})" for name, s in licences.SENTENCES.items())
+    by_text = {licences.normal(s): name for name, s in licences.SENTENCES.items()}
+    known = ", ".join(f"({quoted(s)}, {quoted(name)})" for s, name in by_text.items())
+    gap = r"(?: |\n\n)"
+    wrapped = "|".join(s.replace(" ", gap).replace(f"{gap}http{gap}", rf"{gap}(?:\n\n)?http{gap}") for s in licences.longest_first(by_text))
     rules = ", ".join(
         f"({i}, {quoted(name)}, {quoted(licence)}, {quoted('%' + ''.join('%' if x == '*' else f'<{x}>' for x in sequence) + '%')})"
         for i, (name, licence, sequence) in enumerate(licences.RULES)
     )
     return rf"""
 WITH known(s, name) AS (VALUES {known}), rules(n, rule, licence, pattern) AS (VALUES {rules}),
-parts AS (
-  SELECT doc_id, i, trim(list_sentence) AS s FROM (
-    SELECT doc_id, unnest(parts) AS list_sentence, generate_subscripts(parts, 1) AS i FROM (
-      SELECT doc_id, string_split(regexp_replace(regexp_replace(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[.!?][ 	
-]+|[
-]+', chr(10), 'g'), '[^a-z0-9
-]+', ' ', 'g'), chr(10)) AS parts FROM documents))
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?][ \t\r\n]+', chr(10) || chr(10), 'g') AS t
+  FROM documents
+), lined AS (
+  SELECT r, doc_id, regexp_replace(regexp_replace(t, '[^a-z0-9\r\n]+', ' ', 'g'),
+    '(?:^ ?| ?(?:\r\n?|\n) ?)(?:(?:dnl|rem)\b ?)?', chr(10), 'g') AS t FROM texts
+), parts AS (
+  SELECT r, unnest(p) AS part, generate_subscripts(p, 1) AS i
+  FROM (SELECT r, regexp_extract_all(replace(t, chr(10), chr(10) || chr(10)), '\n(?:{wrapped})(?:\n| ?\z)') AS p FROM lined)
 ), found AS (
-  SELECT doc_id, string_agg('<' || name || '>', '' ORDER BY i) AS ids, count(*) AS n FROM parts JOIN known USING (s) GROUP BY doc_id
+  SELECT r, string_agg('<' || name || '>', '' ORDER BY i) AS ids, count(*) AS n
+  FROM parts JOIN known ON s = trim(regexp_replace(part, '\n+', ' ', 'g')) GROUP BY r
 ), matched AS (
-  SELECT doc_id, min_by(rule, r.n) AS rule, min_by(licence, r.n) AS licence FROM found f, rules r WHERE f.ids LIKE r.pattern GROUP BY doc_id
+  SELECT r, min_by(rule, m.n) AS rule, min_by(licence, m.n) AS licence FROM found f, rules m WHERE f.ids LIKE m.pattern GROUP BY r
 ), each AS (
-  SELECT doc_id, licence, min(r.n) AS n FROM found f, rules r WHERE f.ids LIKE r.pattern GROUP BY doc_id, licence
-), lists AS (SELECT doc_id, string_agg(licence, ',' ORDER BY n) AS licences FROM each GROUP BY doc_id)
+  SELECT r, licence, min(m.n) AS n FROM found f, rules m WHERE f.ids LIKE m.pattern GROUP BY r, licence
+), lists AS (SELECT r, string_agg(licence, ',' ORDER BY n) AS licences FROM each GROUP BY r)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(n, 0) AS n_sentences, rule, licence, coalesce(licences, '') AS licences
-FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN matched USING (doc_id) LEFT JOIN lists USING (doc_id)
+FROM texts LEFT JOIN found USING (r) LEFT JOIN matched USING (r) LEFT JOIN lists USING (r)
 """
 
 

@@ -1,10 +1,11 @@
 """Licence rules on small texts. The query itself is checked by its SQL."""
 
+import duckdb
 import pytest
 
 from plain import docs  # noqa: F401
 
-from meterwise.llm import licences
+from meterwise.llm import licences, registry
 
 S = licences.SENTENCES
 TEXTS = {
@@ -124,3 +125,29 @@ def test_lines_and_headings(docs):
     }
     for r in licences.scan(docs(list(enumerate(texts)))).collect():
         assert (r.sentence_ids, r.rule) == list(texts.values())[r.doc_id]
+
+
+def test_the_sql_finds_what_the_query_finds(spark, tmp_path):
+    """Wrapped, indented, commented and broken notices, and every known sentence by itself and wrapped at each of its words."""
+    texts = [*TEXTS, APACHE, "# " + APACHE.replace("\n", "\n# "), "/* " + APACHE.replace("\n", "\r\n * ") + "*/"]
+    texts += ["MIT License\n\nCopyright (c) X\n\n" + S["mit-grant"].replace(" ", "\n", 9), "Released under the\n * MIT License", "dnl Released under\ndnl the MIT License\n"]
+    texts += ["\nMIT License", "\n\n MIT License \n", "MIT\n\nLicense", "MIT License\nMIT License\nThe MIT License", "REM MIT License", "x\nRELEASED\r\nunder the MIT  License!"]
+    for sentence in S.values():
+        words = sentence.split(" ")
+        texts += [f"{sentence}.", " ".join(words[: len(words) // 2]) + "\n// " + " ".join(words[len(words) // 2 :]), "\n".join(words), f"{sentence} indeed"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    query = registry.op9_licence_scan(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = connection.execute(registry.oracle_sql()["op9_licence_scan"])
+    assert [d[0] for d in result.description] == query.columns
+    got, expected = sorted(map(tuple, query.collect())), sorted(result.fetchall())
+    for a, b in zip(got, expected, strict=True):
+        assert a == b, texts[a[0]]
+    assert sum(r[2] > 0 for r in got) > 3 * len(S)
+    assert all(r.n_sentences == 1 for r in licences.scan(spark.createDataFrame([(i, s) for i, s in enumerate(S.values())], "doc_id long, text string")).collect())
+
+
+def test_an_identifier_line(docs):
+    rows = [(1, "# SPDX-License-Identifier: AGPL-3.0-only\nimport os"), (2, "// SPDX-License-Identifier: Apache-2.0")]
+    assert {r.doc_id: r.licence for r in licences.scan(docs(rows)).collect()} == {1: "AGPL-3.0-only", 2: "Apache-2.0"}
