@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, discard, row_slices, staged
+from meterwise.llm.common import byte_view, discard, release, row_slices, staged
 from meterwise.llm.shared import BitFilter, shared_filter, write_filter
 from meterwise.llm.words import mix
 
@@ -106,6 +106,7 @@ def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(filter_path)
+        release()
         for batch in batches:
             for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
@@ -117,6 +118,7 @@ def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
                         "doc": pa.array(doc[row]), "tag": pa.array(tag[row]), "at": pa.array((begin - edges[row]).astype(np.int64)), "n": pa.array(count.astype(np.int32)),
                     }
                 )
+        release()
 
     return texts.mapInArrow(find, "minimiser long, piece long, doc long, tag int, at long, n int")
 
@@ -144,6 +146,7 @@ def _piece_texts(texts: DataFrame, first_path: str) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(first_path)
+        release()
         for batch in batches:
             for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
@@ -160,6 +163,7 @@ def _piece_texts(texts: DataFrame, first_path: str) -> DataFrame:
                     [pa.array(minimiser[first].view(np.int64)), pa.array(piece[first].view(np.int64)), pa.array(doc[first], pa.int64()), pa.array(held, pa.binary())],
                     names=["minimiser", "piece", "doc", "text"],
                 )
+        release()
 
     return texts.mapInArrow(find, "minimiser long, piece long, doc long, text binary")
 
@@ -292,6 +296,8 @@ def _partly_equal(placed: DataFrame, texts: DataFrame) -> DataFrame:
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     for name, value in zip(out, (minimiser, piece, doc, a, b - a), strict=True):
                         out[name].append(value)
+        del marks, smallest, found
+        release()
         return pd.DataFrame(out)
 
     merged = dealt.groupBy("bucket").applyInPandas(judge, "minimiser long, piece long, doc long, from int, count int")
@@ -385,9 +391,16 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", par
     schema = f"`{id}` {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
     tagged = _tagged(docs.withColumn("__id", F.col(id)), id, text, "__id").withColumn("__number", F.xxhash64("__doc"))
     maybe = tagged.mapInArrow(_passing(met, True), tagged.schema).drop("__number")
-    never = tagged.mapInArrow(_passing(met, False), tagged.schema).select("__id", "__text", F.lit(None).cast(spans.schema["__at"].dataType).alias("__at"))
     joined = maybe.join(spans, ["__doc", "__tag"], "left").select("__id", "__text", "__at")
-    return joined.mapInArrow(cut, schema).unionByName(never.mapInArrow(cut, schema))
+
+    def cut_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in keep_others(batches):
+            ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", "__text"))
+            yield from cut([pa.RecordBatch.from_arrays([ids, texts, pa.nulls(batch.num_rows)], names=["__id", "__text", "__at"])])
+
+    # The other texts are cut where they are, in the same Python task that finds them.
+    keep_others = _passing(met, False)
+    return joined.mapInArrow(cut, schema).unionByName(tagged.mapInArrow(cut_others, schema))
 
 
 def _passing(filter_path: str, wanted: bool):
@@ -395,8 +408,11 @@ def _passing(filter_path: str, wanted: bool):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = BitFilter(filter_path)
+        release()
         for batch in batches:
-            number = batch.column(batch.schema.get_field_index("__number")).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(passed.passes(number) == wanted))
+            for part in row_slices(batch, "__text", SLICE):
+                number = part.column(part.schema.get_field_index("__number")).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield part.filter(pa.array(passed.passes(number) == wanted))
+        release()
 
     return keep
