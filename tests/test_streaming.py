@@ -178,3 +178,24 @@ def test_stream_reads_the_table_layout(spark, metering, tmp_path):
     monitor.start(stream).awaitTermination()
     idle, spikes = jobs.detect_all(metering(rows), detected_at=AS_OF)
     assert monitor.detected(spark).count() == idle.count() + spikes.count() > 0
+
+
+def test_what_a_late_row_changes_is_judged_once(spark, run, monkeypatch):
+    """The baseline of a batch with late rows is computed once per row, and the batch leaves none of its steps behind."""
+    rows = [usage("A", h, 1) for h in range(48)]
+    run(rows, kinds=(K.COST_SPIKE,))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def judged(at):
+        calls.add(1)
+        return True
+
+    real = hourly.rolling_baseline
+    monkeypatch.setattr(hourly, "rolling_baseline", lambda *a, **k: real(*a, **k).filter(judged.asNondeterministic()("start_time")))
+    monitor = run([usage("A", 20, 9)], kinds=(K.COST_SPIKE,))
+    # Once for the day of the late row, once among the three carried rows.
+    assert 0 < calls.value <= 25 + 4
+    assert monitor.late_rows(spark).count() == 1
+    folders = snapshots._file_system(spark, f"{monitor.folder}/work-*")
+    assert not folders[1].globStatus(folders[0])
