@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, free_names, row_slices, staged
+from meterwise.llm.common import byte_view, free_names, releasing, row_slices, staged
 from meterwise.llm.words import ALPHANUMERIC, Words
 
 WINDOW = 10
@@ -27,6 +27,7 @@ def item_windows(items: DataFrame, id: str = "item_id", text: str = "text", wind
     An item with fewer words than ``window`` is one window; without words, or null, it has none. Null ids are 'null'.
     """
 
+    @releasing
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in row_slices(batch, "__text"):
@@ -143,6 +144,7 @@ _ADDED = ("__words", "__spans", "__hit", "__items")
 def _pass(block, text: str, columns: list[str]):
     place = {name: columns.index(name) for name in ("__words", "__spans", "__hit", "__items", text)}
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WindowSet(block.value)
         for batch in batches:

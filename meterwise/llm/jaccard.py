@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, discard, free_names, row_slices, staged
+from meterwise.llm.common import byte_view, discard, free_names, releasing, row_slices, staged
 from meterwise.llm.components import components
 from meterwise.llm.shared import BitFilter, shared_filter
 from meterwise.llm.words import NOT_SPACE, Words, mix
@@ -88,6 +88,7 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     link depends on it. A document of s shingles adds s / 4,096 of them at most, so there are few whatever the input.
     """
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -138,6 +139,7 @@ def set_table(texts: DataFrame, order, shared: str, shingle: int, percent: int)
     (where in its order) and ``small`` (all of a small set)."""
     kind = texts.schema["__id"].dataType.simpleString()
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arranged, passed = Order(*order.value), BitFilter(shared)
         for batch in batches:
@@ -180,6 +182,7 @@ def light_links(sets: DataFrame, limit: int, percent: int) -> DataFrame:
     """
     kind = sets.schema["rep"].dataType.simpleString()
 
+    @releasing
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
@@ -226,6 +229,7 @@ def whole_sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     sent, marked = _taking_part(texts, reps)
     kind = texts.schema["__id"].dataType.simpleString()
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
@@ -244,6 +248,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     kind = pairs.schema["a"].dataType.simpleString()
     sets = whole_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), shingle)
 
+    @releasing
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):

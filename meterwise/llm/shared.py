@@ -12,7 +12,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import scratch
+from meterwise.llm.common import release, releasing, scratch
 
 #: Bits of a filter; it is read by all tasks.
 FILTER_BITS = 28
@@ -65,6 +65,7 @@ def shared_filter(frame: DataFrame, numbers_of: Callable[[pa.RecordBatch], Itera
     A part is a range of numbers, hence even.
     """
 
+    @releasing
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
             numbers, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -94,6 +95,8 @@ def shared_filter(frame: DataFrame, numbers_of: Callable[[pa.RecordBatch], Itera
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         numbers, counts = np.unique(_unpack(b"".join(group["numbers"])), return_counts=True)
         found = np.union1d(numbers[counts > 1], _unpack(b"".join(group["repeated"])))
+        del numbers, counts
+        release()
         return pd.DataFrame({"number": found.view(np.int64)})
 
     packed = frame.mapInArrow(pack, "part int, numbers binary, repeated binary")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import byte_view, row_slices, scratch, staged
+from meterwise.llm.common import byte_view, releasing, row_slices, scratch, staged
 from meterwise.llm.words import mix
 
 END_ID = 1
@@ -125,6 +125,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, id: str = "d
     system, path = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
 
+    @releasing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stream, ends, total = Encoder(content.value, end_id), None, [], 0
         keys, ordinals, counts, tokens, kind = [], [], [], [], None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import release, row_slices, staged
+from meterwise.llm.common import release, releasing, row_slices, staged
 
 GRAMS = (3, 4, 5)
 BITS = 20
@@ -52,7 +52,7 @@ def present(texts: list[str | None], chosen: np.ndarray) -> tuple[np.ndarray, np
     return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def _chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _chunks(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, list[str | None]]]:
     begin, held = 0, 0
     for i, text in enumerate(texts):
         size = len(text or "")
@@ -94,25 +94,28 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
         return picked, np.zeros(0), float(np.log(y.sum() / (1 - y).sum()))
     chosen = np.zeros(1 << BITS, bool)
     chosen[picked] = True
-    # Features of row after row, and how many each row has.
-    taken, lengths = [], np.zeros(len(y), np.int64)
+    # A chunk's rows, their features row after row, and how many each row has. Sums go chunk by chunk, so what they need
+    # beside the features has a bound.
+    taken, ratio = [], ratio[picked]
     for begin, part in _chunks(texts):
         rows, buckets = present(part, chosen)
-        lengths[begin : begin + len(part)] = np.bincount(rows, minlength=len(part))
-        taken.append(np.searchsorted(picked, buckets).astype(np.int32))
-    features, ratio = np.concatenate(taken), ratio[picked]
-    full = np.flatnonzero(lengths)
-    starts = (np.cumsum(lengths) - lengths)[full]
+        taken.append((slice(begin, begin + len(part)), np.searchsorted(picked, buckets).astype(np.int32), np.bincount(rows, minlength=len(part))))
 
     def sums(weights: np.ndarray) -> np.ndarray:
         """Of each row, the sum of its features' scaled weights."""
-        made = np.zeros(len(y))
-        made[full] = np.add.reduceat((ratio * weights)[features], starts)
+        made, scaled = np.zeros(len(y)), ratio * weights
+        for own, features, lengths in taken:
+            full = np.flatnonzero(lengths)
+            if len(full):
+                made[own][full] = np.add.reduceat(scaled[features], (np.cumsum(lengths) - lengths)[full])
         return made
 
     def back(values: np.ndarray) -> np.ndarray:
         """Of each feature, the scaled sum of its rows' values."""
-        return np.bincount(features, np.repeat(values, lengths), len(picked)) * ratio
+        made = np.zeros(len(picked))
+        for own, features, lengths in taken:
+            np.add.at(made, features.astype(np.int64), np.repeat(values[own], lengths))
+        return made * ratio
 
     n = len(y)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
@@ -187,6 +190,7 @@ def score(docs: DataFrame, model: DataFrame, id: str = "doc_id", text: str = "te
     repeated rows and null ids are scored like any other row."""
     sent = _broadcast(docs, model)
 
+    @releasing
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for batch in batches:
@@ -203,6 +207,7 @@ def without_toxic(docs: DataFrame, model: DataFrame, threshold: float = 0.7, tex
     do not matter; null and empty texts stay unless no evidence at all is already beyond the threshold."""
     sent = _broadcast(docs, model)
 
+    @releasing
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for batch in batches:
