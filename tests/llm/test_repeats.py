@@ -132,3 +132,27 @@ def test_query_digest(spark):
     rows = registry.op4_repeated_bytes(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert [tuple(r) for r in sorted(rows)] == [(d, n, g, s, hashlib.sha256(k).hexdigest()) for d, n, g, s, k in brute(texts.items())]
+
+
+@pytest.mark.parametrize(("shards", "step"), [(1, 1), (2, 3), (3, 6), (2, 12)])
+def test_rounds_of_any_number_of_symbols(shards, step):
+    """Longer steps, and shards that are in order as far as the depth only, give the same prefixes in the same order."""
+    rng = random.Random(step)
+    texts = sorted({bytes(rng.choices(range(256) if i % 2 else b"ab", k=rng.randint(1, 40))) for i in range(60)})
+    built = [repeats.Transform(texts[i::shards], 12) for i in range(shards)]
+    origin, place, common = repeats.merge_transforms(built, 12, step)
+    read = [tuple(np.take(built[o].symbols, range(p, p + 12), mode="wrap")) for o, p in zip(origin, place, strict=True)]
+    assert read == sorted(read) and len(set(zip(origin.tolist(), place.tolist(), strict=True))) == len(read)
+    for before, now, c in zip(read, read[1:], common[1:], strict=False):
+        assert c == next((i for i in range(12) if before[i] != now[i]), 12) // step * step
+
+
+def test_cut_spans_end_with_their_rows():
+    """Windows that touch a row's end and the next row's start, empty rows between, rows without windows."""
+    texts = [b"a" * 60, b"", b"b" * 50 + b"c" * 10, b"d" * 5, b""]
+    data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    kind = repeats.pa.list_(repeats.pa.struct([("at", repeats.pa.int64()), ("n", repeats.pa.int32())]))
+    held = repeats.pa.array([None, [{"at": 5, "n": 6}, {"at": 6, "n": 1}], None, [{"at": 0, "n": 1}], None, []], kind)[1:]
+    begin, end, row, kept = repeats._cut(data, edges, held)
+    assert [(b, e, r) for b, e, r in zip(begin.tolist(), end.tolist(), row.tolist(), strict=True)] == [(5, 60, 0), (60, 110, 2)]
+    assert kept.to_pylist() == [b"aaaaa", b"", b"c" * 10, b"d" * 5, b""]
