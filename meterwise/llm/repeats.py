@@ -34,69 +34,68 @@ PIECES = 10_000
 SHARD = 128 << 10
 #: Symbols that a round of the merge goes on by; a divisor of WIDTH.
 STEP = 10
-#: Bytes of text that are hashed at once; the work arrays are some eighty times as large, and short ones stay in the cache.
-SLICE = 128 << 10
+#: Bytes of text that are hashed at once; the work arrays are some 25 times as large, and short ones stay in the cache.
+SLICE = 64 << 10
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM (20) bytes from each place on."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    joined = lambda x, y, gap: x[: len(x) - gap] * _A + (y[gap:] ^ (y[gap:] >> np.uint64(31))) * _B
-    two = joined(h, h, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    sixteen = joined(eight, eight, 8)
     m = len(data) - GRAM + 1
-    return mix(sixteen[:m] * _A + (four[16 : 16 + m] ^ (four[16 : 16 + m] >> np.uint64(31))) * _B)
-
-
-def pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of consecutive rows' bytes: minimiser, row, first window and number of windows of every piece. A piece of n windows
-    has n + WIDTH - 1 bytes. Pieces never cross rows."""
+    # The bytes from each place on, read as numbers: two of eight bytes and one of four. Each is mixed before the next
+    # is added, so that differences in the same bytes of two of them do not cancel out.
+    number = lambda kind, place: np.ndarray(m, kind, data, place, (1,))
+    h = number("<u8", 0) * _A
+    h ^= h >> np.uint64(32)
+    h += number("<u8", 8)
+    h *= _B
+    h ^= h >> np.uint64(29)
+    h += number("<u4", 16)
+    return mix(h)
+
+
+def pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of consecutive rows' bytes: minimiser, hash of the bytes, row, first window and number of windows of every piece. A piece
+    of n windows has n + WIDTH - 1 bytes. Pieces never cross rows."""
     none = np.zeros(0, np.int64)
     if len(data) < WIDTH:
-        return none.astype(np.uint64), none, none, none
-    least = _grams(data)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    grams = least = _grams(data)
     for gap in (1, 2, 4, 8):
         least = np.minimum(least[:-gap], least[gap:])
     n = len(data) - WIDTH + 1
     least = np.minimum(least[:n], least[REACH - 16 : REACH - 16 + n])
-    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    valid = row[:n] == row[WIDTH - 1 :]
     fresh = np.ones(n, bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
-    begin = np.flatnonzero(fresh & valid)
-    if not len(begin):
-        return none.astype(np.uint64), none, none, none
-    stops = np.flatnonzero(np.concatenate([fresh | ~valid, [True]]))
-    count = stops[np.searchsorted(stops, begin, "right")] - begin
-    if count.max() > REACH:  # the same minimiser again and again, as in a run of one byte
+    np.not_equal(least[1:], least[:-1], out=fresh[1:])
+    fresh[edges[:-1][edges[:-1] < n]] = True
+    begin = np.flatnonzero(fresh)
+    row = np.searchsorted(edges, begin, "right") - 1
+    # Up to the next piece or the row's last window; what begins behind that is none.
+    count = np.minimum(np.append(begin[1:], n), edges[row + 1] - WIDTH + 1) - begin
+    held = count > 0
+    begin, row, count = begin[held], row[held], count[held]
+    if len(begin) and count.max() > REACH:  # the same minimiser again and again, as in a run of one byte
         cuts = -(-count // REACH)
         step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        begin, count = np.repeat(begin, cuts) + step * REACH, np.minimum(REACH, np.repeat(count, cuts) - step * REACH)
+        begin, row, count = np.repeat(begin, cuts) + step * REACH, np.repeat(row, cuts), np.minimum(REACH, np.repeat(count, cuts) - step * REACH)
     # Smallest hashes lie close together; mixed anew they are spread evenly.
-    return mix(least[begin]), row[begin], begin, count
+    return mix(least[begin]), _hashes(grams, begin, count + WIDTH - 1), row, begin, count
 
 
-def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each stretch."""
-    powers = np.full(len(data) + 1, _A, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    back = np.full(len(data) + 1, np.uint64(pow(int(_A), -1, 1 << 64)), np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    return mix((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64) * _B)
+def _hashes(grams: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each piece, from the hashes of grams that cover it."""
+    h = mix(size.astype(np.uint64) * _B)
+    for at in range(0, WIDTH + REACH - 1, GRAM):
+        h = mix(h + grams[begin + np.minimum(at, size - GRAM)])
+    return h
 
 
 def _minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The minimisers of a batch's texts, each once per text."""
     for part in row_slices(batch, "__text", SLICE):
-        minimiser, row, _, _ = pieces(*byte_view(part.column(part.schema.get_field_index("__text"))))
-        order = np.lexsort((minimiser, row))
+        minimiser, _, row, _, _ = pieces(*byte_view(part.column(part.schema.get_field_index("__text"))))
+        # Rows ascend, and equal minimisers stay in their order.
+        order = np.argsort(minimiser, kind="stable")
         minimiser, row = minimiser[order], row[order]
         keep = np.ones(len(row), bool)
         keep[1:] = (minimiser[1:] != minimiser[:-1]) | (row[1:] != row[:-1])
@@ -113,11 +112,11 @@ def _occurrences(texts: DataFrame, filter_path: str) -> DataFrame:
         for batch in batches:
             for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
-                minimiser, row, begin, count = (x[keep] for found in [pieces(data, edges)] for keep in [passed.passes(found[0])] for x in found)
+                minimiser, piece, row, begin, count = (x[keep] for found in [pieces(data, edges)] for keep in [passed.passes(found[0])] for x in found)
                 doc, tag = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "minimiser": pa.array(minimiser.view(np.int64)), "piece": pa.array(_hashes(data, begin, count + WIDTH - 1).view(np.int64)),
+                        "minimiser": pa.array(minimiser.view(np.int64)), "piece": pa.array(piece.view(np.int64)),
                         "doc": pa.array(doc[row]), "tag": pa.array(tag[row]), "at": pa.array((begin - edges[row]).astype(np.int64)), "n": pa.array(count.astype(np.int32)),
                     }
                 )
@@ -153,10 +152,9 @@ def _piece_texts(texts: DataFrame, first_path: str) -> DataFrame:
         for batch in batches:
             for part in row_slices(batch, "__text", SLICE):
                 data, edges = byte_view(part.column(2))
-                minimiser, row, begin, count = pieces(data, edges)
+                minimiser, piece, row, begin, count = pieces(data, edges)
                 size = count + WIDTH - 1
                 doc = part.column(0).to_numpy(zero_copy_only=False)[row]
-                piece = _hashes(data, begin, size)
                 number = _held_by(minimiser, piece, doc)
                 keep = np.flatnonzero(passed.passes(number))
                 first = keep[np.unique(number[keep], return_index=True)[1]]
@@ -184,47 +182,69 @@ class Transform:
         n = len(self.symbols)
         enough = min(n, depth or n)
         used = np.bincount(self.symbols, minlength=257) > 0
-        key, most, width = (np.cumsum(used) - 1)[self.symbols], int(used.sum()), 1
-        # As many symbols as fit one number, before anything is sorted.
-        while most * most < 1 << 62 and width < enough:
-            key, most, width = key * most + np.roll(key, -width), most * most, width * 2
+        code, base = (np.cumsum(used) - 1)[self.symbols], int(used.sum())
+        key, most, width = code, base, 1
+        # As many symbols as can be sorted at once, before anything is sorted.
+        while most * base < _sortable(n) and width < enough:
+            key, most, width = key * base + np.roll(code, -width), most * base, width + 1
         while True:
-            order = np.argsort(key)
-            fresh = np.ones(n, bool)
-            fresh[1:] = key[order[1:]] != key[order[:-1]]
-            if fresh.all() or width >= enough:
+            order, rank, most = _ranked(key, most)
+            if most == n or width >= enough:
                 break
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh) - 1
-            key = rank * (int(rank[order[-1]]) + 1) + np.roll(rank, -width)
-            width *= 2
+            key = rank * most + np.roll(rank, -width)
+            most, width = most * most, width * 2
         self.suffixes = order
         self.transform = self.symbols[order - 1]
 
 
-def _dense(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    """The numbers' places among the distinct ones, and how many these are."""
-    order = np.argsort(codes)
-    fresh = np.zeros(len(codes), np.int64)
-    fresh[1:] = codes[order[1:]] != codes[order[:-1]]
-    made = np.empty(len(codes), np.int64)
-    made[order] = np.cumsum(fresh)
-    return made, int(fresh.sum()) + 1
+def _sortable(n: int) -> int:
+    """Numbers below this can be sorted together with their places, n of them."""
+    return 1 << (63 - n.bit_length())
+
+
+def _ranked(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of the numbers, all below ``most``, their places among the distinct ones, and how many these are."""
+    n = len(codes)
+    if most <= _sortable(n):
+        # One sort of numbers with their places takes about half the time of sorting places by their numbers.
+        bits = n.bit_length()
+        held = (codes << bits) | np.arange(n)
+        held.sort()
+        order = held & ((1 << bits) - 1)
+        held >>= bits
+    else:
+        order = np.argsort(codes)
+        held = codes[order]
+    fresh = np.zeros(n, np.int64)
+    fresh[1:] = held[1:] != held[:-1]
+    fresh = np.cumsum(fresh)
+    rank = np.empty(n, np.int64)
+    rank[order] = fresh
+    return order, rank, int(fresh[-1]) + 1
 
 
 def _before(shards: list[Transform], step: int) -> np.ndarray:
     """Of each suffix, shard after shard in their orders, the ``step`` symbols that stand before it, as one small number."""
     edges = np.cumsum([0] + [len(s.suffixes) for s in shards])
+    back = lambda x, gap: np.concatenate([np.roll(x[a:b], gap) for a, b in zip(edges, edges[1:], strict=False)])
     used = np.unique(np.concatenate([s.transform for s in shards]))
     code = np.zeros(257, np.int64)
     code[used] = np.arange(len(used))
-    made, most = np.zeros(edges[-1], np.int64), 1
-    for gap in range(1, step + 1):
-        if most * len(used) >= 1 << 62:
-            made, most = _dense(made)
-        made += np.concatenate([np.roll(code[s.symbols], gap) for s in shards]) * most
-        most *= len(used)
-    made, _ = _dense(made)
+    symbols, most = code[np.concatenate([s.symbols for s in shards])], len(used)
+    # Stretches of so many symbols become one small number each, and these numbers together one for the step.
+    enough = _sortable(int(edges[-1]))
+    wide = max(c for c in range(1, step + 1) if step % c == 0 and (c == 1 or most**c <= enough))
+    made = back(symbols, 1)
+    for gap in range(2, wide + 1):
+        made += back(symbols, gap) * most ** (gap - 1)
+    _, made, most = _ranked(made, most**wide)
+    part, each = made, most
+    for gap in range(wide, step, wide):
+        if most * each > enough:
+            _, made, most = _ranked(made, most)
+        made, most = made + back(part, gap) * most, most * each
+    if wide < step:
+        _, made, _ = _ranked(made, most)
     return np.concatenate([made[a:b][s.suffixes] for a, b, s in zip(edges, edges[1:], shards, strict=False)])
 
 
@@ -244,7 +264,7 @@ def merge_transforms(shards: list[Transform], depth: int, step: int = 2) -> tupl
     bits = n.bit_length()
     at, mask = np.arange(n), (1 << bits) - 1
     before <<= bits
-    origin = np.repeat(np.arange(len(shards)), [len(s.suffixes) for s in shards])
+    origin = np.repeat(np.arange(len(shards), dtype=np.min_scalar_type(len(shards))), [len(s.suffixes) for s in shards])
     common = np.full(n, depth, np.int16)
     common[0] = 0
     block = np.zeros(n, np.int32)
@@ -262,9 +282,7 @@ def merge_transforms(shards: list[Transform], depth: int, step: int = 2) -> tupl
         common[apart & (common == depth)] = h
         block = np.cumsum(apart, dtype=np.int32)
         origin = origin[order]
-        read = (origin << bits) | at
-        read.sort()
-        read &= mask
+        read = np.argsort(origin, kind="stable")
         if block[-1] == n - 1:
             break
     place = np.empty(n, np.int64)
@@ -272,35 +290,32 @@ def merge_transforms(shards: list[Transform], depth: int, step: int = 2) -> tupl
     return origin, place, common
 
 
-def windows_of_smaller(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each text, which of its windows of WIDTH bytes also occur in a text with a smaller document. Texts are distinct."""
-    shards, members, held, size = [], [], [], 0
+def windows_of_smaller(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window and number of windows of the runs of windows of WIDTH bytes that also occur in a text with a smaller
+    document. Texts are distinct."""
+    shards, held, size = [], [], 0
     for i, text in enumerate(texts):
-        held.append(i)
+        held.append(text)
         size += len(text) + 1
         if size > SHARD or i == len(texts) - 1:
-            shards.append(Transform([texts[k] for k in held], WIDTH))
-            members.append(np.array(held))
+            shards.append(Transform(held, WIDTH))
             held, size = [], 0
     origin, place, common = merge_transforms(shards, WIDTH, STEP)
-    sizes = np.array([len(t) for t in texts])
-    # The text and the offset of every suffix.
-    owner, offset = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-    for s, own in enumerate(members):
-        mine = origin == s
-        starts = np.concatenate([[0], np.cumsum(sizes[own] + 1)])
-        k = np.searchsorted(starts, place[mine], "right") - 1
-        owner[mine], offset[mine] = own[k], place[mine] - starts[k]
-    whole = offset <= sizes[owner] - WIDTH
-    doc = np.where(whole, docs[owner], np.iinfo(np.int64).max)
-    starts = np.flatnonzero(common < WIDTH)
-    smallest = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
-    hit = whole & (smallest < doc)
-    result = [np.zeros(max(0, s - WIDTH + 1), bool) for s in sizes]
-    base = np.concatenate([[0], np.cumsum([len(r) for r in result])])
-    flat = np.zeros(base[-1], bool)
-    flat[base[owner[hit]] + offset[hit]] = True
-    return [flat[base[i] : base[i + 1]] for i in range(len(texts))]
+    # Where each suffix stands in all shards, one after the other, and what begins at each place.
+    place += np.cumsum([0] + [len(s.symbols) for s in shards])[origin]
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    whole = (np.arange(ends[-1]) - np.repeat(starts, sizes) + WIDTH < np.repeat(sizes, sizes))[place]
+    doc = np.where(whole, np.repeat(docs, sizes)[place], np.iinfo(np.int64).max)
+    equal = np.flatnonzero(common < WIDTH)
+    smallest = np.repeat(np.minimum.reduceat(doc, equal), np.diff(np.append(equal, len(doc))))
+    # The last places of a text begin no window, so no run goes on in the next one.
+    marked = np.zeros(len(doc) + 1, bool)
+    marked[place[whole & (smallest < doc)]] = True
+    edge = np.flatnonzero(np.diff(marked, prepend=False))
+    text = np.searchsorted(ends, edge[::2], "right")
+    return text, edge[::2] - starts[text], edge[1::2] - edge[::2]
 
 
 def _partly_equal(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,21 +337,14 @@ def _partly_equal(placed: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = held.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).cast("int")).select("bucket", "minimiser", "piece", "least", "text")
 
     def judge(found: pd.DataFrame) -> pd.DataFrame:
-        # Rows that share the smallest document may each have given the piece.
+        # Rows that share the smallest document may each have given the piece. Pieces are told apart by hashes of their texts,
+        # so texts are distinct.
         found = found.drop_duplicates(["minimiser", "piece"])
-        out = {"minimiser": [], "piece": [], "doc": [], "from": [], "count": []}
-        smallest = found.groupby("text", sort=False)["least"].min()
-        marks = dict(zip(smallest.index, windows_of_smaller(list(smallest.index), smallest.to_numpy()), strict=True))
-        for minimiser, piece, doc, text in zip(*(found[c].tolist() for c in ("minimiser", "piece", "least", "text")), strict=True):
-            marked = marks[text] if doc == smallest[text] else np.ones(len(text) - WIDTH + 1, bool)
-            if marked.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for name, value in zip(out, (minimiser, piece, doc, a, b - a), strict=True):
-                        out[name].append(value)
-        del marks, smallest, found
+        text, begin, count = windows_of_smaller(found["text"].tolist(), found["least"].to_numpy())
+        minimiser, piece, doc = (found[c].to_numpy()[text] for c in ("minimiser", "piece", "least"))
+        del found
         release()
-        return pd.DataFrame(out)
+        return pd.DataFrame({"minimiser": minimiser, "piece": piece, "doc": doc, "from": begin.astype(np.int32), "count": count.astype(np.int32)})
 
     merged = dealt.groupBy("bucket").applyInPandas(judge, "minimiser long, piece long, doc long, from int, count int")
     judged = staged(merged.unionByName(_by_windows(held.where("crowded"))), "judged")

@@ -156,3 +156,62 @@ def test_cut_spans_end_with_their_rows():
     begin, end, row, kept = repeats._cut(data, edges, held)
     assert [(b, e, r) for b, e, r in zip(begin.tolist(), end.tolist(), row.tolist(), strict=True)] == [(5, 60, 0), (60, 110, 2)]
     assert kept.to_pylist() == [b"aaaaa", b"", b"c" * 10, b"d" * 5, b""]
+
+
+def test_a_bucket_is_merged_without_sorting_places_by_numbers(monkeypatch):
+    """Several shards of pieces that have much in common: numbers are sorted with their places in them, which takes about half
+    the time; only the shard of a suffix, a byte, is sorted by. The runs are those of a dictionary of all windows."""
+    rng = random.Random(5)
+    passages = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé ", k=90)) for _ in range(300)]
+    texts = sorted({(p[a : a + 50 + rng.randint(0, 20)] + rng.choice("ABCDEFGH")).encode()[:80] for p in passages for a in range(20)})
+    docs = np.array([rng.randint(0, 40) for _ in texts])
+    assert sum(map(len, texts)) > 2 * repeats.SHARD
+    plain, widths = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda numbers, *more, **named: widths.append(numbers.dtype.itemsize) or plain(numbers, *more, **named))
+    text, begin, count = repeats.windows_of_smaller(texts, docs)
+    assert max(widths) == 1
+    first = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(first.get(t[i : i + 50], d), d)
+    want = {(k, i) for k, (t, d) in enumerate(zip(texts, docs.tolist(), strict=True)) for i in range(len(t) - 49) if first[t[i : i + 50]] < d}
+    runs = list(zip(text.tolist(), begin.tolist(), count.tolist(), strict=True))
+    got = [(k, i) for k, a, n in runs for i in range(a, a + n)]
+    assert want and len(got) == len(want) and set(got) == want
+    assert all((k, a - 1) not in want and (k, a + n) not in want for k, a, n in runs)
+
+
+def test_ranks_of_numbers_of_any_size():
+    """Numbers that leave room for their places, and numbers that do not."""
+    few = np.random.default_rng(1).integers(0, 500, 2000)
+    for factor, most in ((1, 500), (1 << 53, 1 << 62)):
+        order, rank, n = repeats._ranked(few * factor, most)
+        want, places = np.unique(few, return_inverse=True)
+        assert n == len(want) and rank.tolist() == places.tolist()
+        assert sorted(order.tolist()) == list(range(2000)) and (np.diff(few[order]) >= 0).all()
+
+
+def test_hashes_tell_grams_and_pieces_apart():
+    """Every byte counts, differences in several words do not cancel out, and where a piece stands does not matter."""
+    high = np.zeros((256, 256, 20), np.uint8)
+    high[:, :, 7], high[:, :, 15] = np.arange(256)[:, None], np.arange(256)[None, :]
+    assert len(np.unique(repeats._grams(high.reshape(-1))[::20])) == 1 << 16
+    rng = np.random.default_rng(2)
+    for size in range(50, 81):
+        text = rng.integers(0, 256, size, np.uint8)
+        versions = [text] + [np.where(np.arange(size) == i, text ^ 1, text) for i in range(size)] + [text]
+        data = np.concatenate(versions)
+        begin = np.arange(len(versions)) * size
+        found = repeats._hashes(repeats._grams(data), begin, np.full(len(versions), size))
+        assert found[0] == found[-1] and len(set(found.tolist())) == size + 1
+
+
+def test_pieces_end_with_their_rows():
+    """Rows shorter than a window, empty rows and rows of one byte among others: all windows of all rows, each once."""
+    rng = random.Random(7)
+    texts = [b"", b"x" * 49, b"y" * 200, b"", bytes(rng.choices(b"abc", k=300)), b"z" * 50, b"q", bytes(rng.choices(range(256), k=51)), b"r" * 3, b""]
+    data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    minimiser, piece, row, begin, count = repeats.pieces(data, edges)
+    windows = [(r, b + i) for r, b, n in zip(row.tolist(), begin.tolist(), count.tolist(), strict=True) for i in range(n)]
+    assert windows == [(r, edges[r] + i) for r, t in enumerate(texts) for i in range(len(t) - 49)]
+    assert count.max() <= repeats.REACH and len(minimiser) == len(piece) == len(row)
