@@ -225,3 +225,50 @@ def test_seating_leaves_no_customer_out():
         sizes, lengths = P.seat(sizes, lengths, target, np.full(5, 0.2), np.full(5, 0.1), 0.6, rng)
         ends = np.cumsum(lengths)
         assert [int(s.sum()) for s in np.split(sizes, ends[:-1])] == target.tolist() and sizes.min() > 0
+
+
+def test_a_sweep_seats_every_customer_anew():
+    """Where a new table is as good as sure, nobody stays: not of a large dish, not of one that others have joined or left."""
+    rng = np.random.default_rng(4)
+    target = np.array([1, 9, 700, 20_000, 300, 50])
+    sizes, lengths = np.array([1, 9, 700, 20_000, 100, 40, 60]), np.array([1, 1, 1, 1, 1, 2])
+    sizes, lengths = P.seat(sizes, lengths, target, np.full(6, 1e15), np.full(6, 0.1), 0.6, rng)
+    assert lengths.tolist() == target.tolist() and (sizes == 1).all()
+
+
+def mean_tables(n, fixed, slope, discount):
+    """The exact mean number of tables, by the weights of all seatings of one customer after the other."""
+    weights, t = np.zeros(n + 2), np.arange(n + 2)
+    weights[1] = 1.0
+    for i in range(1, n):
+        new = weights * (fixed + slope * t)
+        weights = weights * np.maximum(i - discount * t, 0)
+        weights[1:] += new[:-1]
+        weights /= weights.sum()
+    return float((weights * t).sum())
+
+
+@pytest.mark.parametrize(("n", "fixed", "slope", "discount"), [(60, 30.0, 0.2, 0.6), (120, 3.0, 0.9, 0.5), (300, 0.5, 0.1, 0.7)])
+def test_large_rows_follow_the_process(n, fixed, slope, discount, monkeypatch):
+    """Rows of many tables, swept in groups, and rows that one table dominates keep the law that plain sweeps have reached."""
+    rng, many = np.random.default_rng(6), 1500
+    rows = np.full(many, n), np.full(many, fixed), np.full(many, slope), discount, rng
+    sizes, lengths = np.full(many, n), np.ones(many, np.int64)
+    with monkeypatch.context() as plain:
+        plain.setattr(P, "GROUP_TABLES", n)
+        plain.setattr(P, "_dominated", lambda largest, customers: np.zeros(len(customers), bool))
+        for _ in range(25):
+            sizes, lengths = P.seat(sizes, lengths, *rows)
+    expected, means = mean_tables(n, fixed, slope, discount), []
+    for _ in range(12):
+        sizes, lengths = P.seat(sizes, lengths, *rows)
+        assert (np.add.reduceat(sizes, np.cumsum(lengths) - lengths) == n).all() and sizes.min() > 0
+        means.append(lengths.mean())
+    assert abs(np.mean(means) - expected) < 0.01 * expected + 0.03
+
+
+def test_many_tables_are_there_after_the_first_sweep():
+    rng, many, n = np.random.default_rng(8), 300, 300
+    sizes, lengths = P.seat(np.full(many, n), np.ones(many, np.int64), np.full(many, n), np.full(many, 60.0), np.full(many, 0.05), 0.8, rng, True)
+    assert (np.add.reduceat(sizes, np.cumsum(lengths) - lengths) == n).all()
+    assert abs(lengths.mean() - mean_tables(n, 60.0, 0.05, 0.8)) < 8
